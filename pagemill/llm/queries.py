@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import chat, mixing, neardup, sharding
 from .storage import table
 
 
@@ -19,6 +19,11 @@ def op6_pack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -35,7 +40,7 @@ def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mix_sources, op6_pack_shards, op10_format_chat)}
+    return {f.__name__: f for f in (op3_mix_sources, op6_pack_shards, op8_minhash_components, op10_format_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
