@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, sharding
+from . import chat, decontam, mixing, neardup, sharding
 from .storage import table
 
 
@@ -24,6 +24,16 @@ def op8_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    n_hit = decontam.hit_words(F.col("spans"))
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontam.contaminated(n_hit, F.col("n_words")).alias("contaminated"),
+    )
+
+
 def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -40,7 +50,7 @@ def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mix_sources, op6_pack_shards, op8_minhash_components, op10_format_chat)}
+    return {f.__name__: f for f in (op3_mix_sources, op6_pack_shards, op8_minhash_components, op9_fm_decontaminate, op10_format_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

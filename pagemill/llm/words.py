@@ -74,11 +74,11 @@ def word_bytes(kind: str) -> np.ndarray:
     return ok
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, A-Z folded to a-z, and the n + 1 places where texts begin among them.
-    Byte-wise arrays are made for SLICE bytes at a time, cut between words."""
+def word_hashes(data: np.ndarray, at: np.ndarray, kind: str, spots: bool = False) -> tuple:
+    """The hash of each word, A-Z folded to a-z, and the n + 1 places where texts begin among them;
+    with spots also the words' first bytes and ends. Byte-wise arrays are made for SLICE bytes at a time, cut between words."""
     ok, values = word_bytes(kind), byte_values()
-    hashes, starts_of, lo, n = [], [], 0, len(data)
+    hashes, starts_of, ends_of, lo, n = [], [], [], 0, len(data)
     firsts = np.zeros(n + 1, bool)
     firsts[at] = True
     while lo < n:
@@ -97,10 +97,14 @@ def word_hashes(data: np.ndarray, at: np.ndarray, kind: str) -> tuple[np.ndarray
         np.cumsum(values[part] * powers(size, int(_BASE))[: len(part)], out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * powers(size, int(_BACK))[s] + (e - s).astype(np.uint64)))
         starts_of.append(s + lo)
+        if spots:
+            ends_of.append(e + lo)
         lo = hi
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_of), at)
+        none = np.zeros(0, np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(at), np.int64), *([none, none] if spots else []))
+    starts = np.concatenate(starts_of)
+    return (np.concatenate(hashes), np.searchsorted(starts, at), *([starts, np.concatenate(ends_of)] if spots else []))
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
