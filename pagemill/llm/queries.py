@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, neardup, sharding
+from . import chat, decontam, mixing, neardup, repeats, sharding
 from .storage import table
 
 
@@ -14,6 +14,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken", "starts")
 
 
+def op4_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_pack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.pack_shards(table(spark, sf_dir, "documents"), n_shards=24, overhead=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -50,7 +56,7 @@ def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mix_sources, op6_pack_shards, op8_minhash_components, op9_fm_decontaminate, op10_format_chat)}
+    return {f.__name__: f for f in (op3_mix_sources, op4_radix_repeats, op6_pack_shards, op8_minhash_components, op9_fm_decontaminate, op10_format_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -55,3 +55,20 @@ def window_hits(text, items, width=13):
                     hit.update(range(i, i + n))
                     met.add(name)
     return len(words), len(hit), sorted(str(x) for x in met if x is not None)
+
+
+def repeat_cut(texts, depth):
+    """(bytes kept, removed runs) of each text, by counting every string of ``depth`` bytes."""
+    raw, seen = [(t or "").encode() for t in texts], defaultdict(int)
+    for b in raw:
+        for i in range(len(b) - depth + 1):
+            seen[b[i : i + depth]] += 1
+    out = []
+    for b in raw:
+        gone = bytearray(len(b))
+        for i in range(len(b) - depth + 1):
+            if seen[b[i : i + depth]] > 1:
+                gone[i : i + depth] = b"\1" * depth
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        out.append((bytes(x for x, g in zip(b, gone) if not g), runs))
+    return out
