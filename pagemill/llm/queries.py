@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, neardup, repeats, sharding
+from . import chat, decontam, langid, mixing, neardup, quality, repeats, sharding
 from .storage import table
 
 
+def fold(parts: int):
+    """The remainder of a document's id, as text, by its checksum; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op2_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    out = quality.score_quality(docs, quality.fit(docs, labels))
+    return out.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken", "starts")
@@ -20,6 +32,13 @@ def op4_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.fit_profiles(docs.where(fold(4) != 2))
+    out = langid.identify(docs.select("doc_id", "text"), profiles)
+    return out.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_pack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.pack_shards(table(spark, sf_dir, "documents"), n_shards=24, overhead=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -56,7 +75,7 @@ def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mix_sources, op4_radix_repeats, op6_pack_shards, op8_minhash_components, op9_fm_decontaminate, op10_format_chat)}
+    return {f.__name__: f for f in (op2_ftrl_quality, op3_mix_sources, op4_radix_repeats, op5_rank_order_langid, op6_pack_shards, op8_minhash_components, op9_fm_decontaminate, op10_format_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
