@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import hidden, shown
 from .words import U, mix, slices, word_hashes
 
 WINDOW = 13
@@ -259,7 +260,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     text; ends excluded), items (ids of the items with occurring windows, as sorted strings). Null,
     empty or wordless texts: 0 words, no spans. Items without words have no windows; an item without
     id hits words and is not listed; repeated items count once. Empty benchmark: no spans. Empty
-    docs: no rows. Columns of docs named as the added ones must be renamed before."""
+    docs: no rows. Columns of docs with the added names are replaced."""
     spark = docs.sparkSession
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
     parts = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_segments(width), "item string, part long, words array<long>")
@@ -287,8 +288,8 @@ def hit_words(spans):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, as they are."""
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(F.col("text").alias("text"), *[F.col(c).alias(x) for c, x in zip(docs.columns, names) if c != "text"])
+    at = f"_{docs.columns.index('text')}"
+    plain = hidden(docs).withColumnRenamed(at, "text")
     found = find_contamination(plain, benchmark)
     clean = found.where(~contaminated(hit_words(F.col("spans")), F.col("n_words")))
-    return clean.select(*[F.col("text" if c == "text" else x).alias(c) for c, x in zip(docs.columns, names)])
+    return clean.withColumnRenamed("text", at).select(*shown(docs))

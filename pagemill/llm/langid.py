@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import hidden, shown
+
 TOP = 300  # n-grams of a profile
 LANGS = 256  # profiles in one broadcast
 UND = "und"
@@ -118,7 +120,7 @@ def identify(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     ties by name. Null, empty and letterless texts, and all if there are no profiles: lang_pred
     "und", score 0. Profiles are broadcast LANGS languages at a time, one pass for each such block.
     Repeated rows get equal results. Empty docs: no rows. Columns of docs named lang_pred or score
-    must be renamed before."""
+    are replaced."""
     spark = docs.sparkSession
     out = docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
     langs = sorted(r[0] for r in profiles.select("lang").distinct().collect())
@@ -142,7 +144,7 @@ def identify(docs: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def drop_unidentified(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """The rows of docs in which a language was found, as they are."""
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    plain = docs.select("text", *[F.col(c).alias(x) for c, x in zip(docs.columns, names) if c != "text"])
+    at = f"_{docs.columns.index('text')}"
+    plain = hidden(docs).withColumnRenamed(at, "text")
     found = identify(plain, profiles).where(F.col("lang_pred") != UND)
-    return found.select(*[F.col("text" if c == "text" else x).alias(c) for c, x in zip(docs.columns, names)])
+    return found.withColumnRenamed("text", at).select(*shown(docs))

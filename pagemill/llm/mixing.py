@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import Stash, row_key
+from .storage import Stash, hidden, row_key, shown
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -142,10 +142,7 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """The rows of docs as the mix takes them: each once for every slot that takes its first word, so
     none to ``repeat`` times; wordless documents go. The columns are those of docs."""
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    plain = docs.withColumns({"_k1": k1, "_k2": k2}).toDF(*names, "_k1", "_k2")
-    by = Window.partitionBy("_k1", "_k2").orderBy(names[0])
-    mine = mix.documents.where(F.col("starts") > 0).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("copy_no").alias("_copy"), F.col("starts").alias("_starts"))
-    out = plain.withColumn("_copy", F.row_number().over(by)).join(mine, ["_k1", "_k2", "_copy"])
-    out = out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_starts"))))
-    return out.select(*[F.col(x).alias(c) for x, c in zip(names, docs.columns)])
+    by = Window.partitionBy("k1", "k2").orderBy("_0")
+    mine = mix.documents.where(F.col("starts") > 0).select("k1", "k2", "copy_no", "starts")
+    out = hidden(docs, k1=k1, k2=k2).withColumn("copy_no", F.row_number().over(by)).join(mine, ["k1", "k2", "copy_no"])
+    return out.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("starts")))).select(*shown(docs))

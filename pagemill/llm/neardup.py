@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import Stash, row_key
+from .storage import Stash, hidden, row_key, shown
 from .words import mix, shingles, slices, word_hashes
 
 WORDS = 5
@@ -195,8 +195,6 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     doc_id (then of the least hash); documents without words all stay. Columns as in docs."""
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
     found = near_duplicates(docs, percent).where("first").groupBy("k1", "k2").agg(F.max((F.col("n_shingles") > 0).cast("int")).alias("worded"))
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    plain = docs.withColumns({"k1": k1, "k2": k2}).toDF(*names, "k1", "k2").join(found, ["k1", "k2"])
-    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(names[0]))
-    plain = plain.withColumn("_nth", nth).where((F.col("_nth") == 1) | (F.col("worded") == 0))
-    return plain.select(*[F.col(x).alias(c) for x, c in zip(names, docs.columns)])
+    plain = hidden(docs, k1=k1, k2=k2).join(found, ["k1", "k2"])
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("_0"))
+    return plain.withColumn("nth", nth).where((F.col("nth") == 1) | (F.col("worded") == 0)).select(*shown(docs))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, neardup, quality, repeats, sharding
+from . import chat, decontam, langid, licenses, media, mixing, neardup, quality, repeats, sharding
 from .storage import table
 
 
@@ -14,6 +14,12 @@ def fold(parts: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def op1_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = F.array_sort(F.array_distinct(F.col("licenses.license")))
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_notices"), F.array_join(named, ",").alias("licenses"), F.coalesce(F.array_max("licenses.coverage"), F.lit(0.0)).alias("coverage"), F.col("licenses").alias("notices"))
+
+
 def op2_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
@@ -44,6 +50,18 @@ def op6_pack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_media(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    out = media.read_media(stored)
+    points = F.filter("units", lambda u: u["random_access"])
+    told = [
+        ("programs", F.array_join("programs", ",")), ("streams", F.array_join("streams", ",")), ("packets", F.col("packets")), ("continuity_errors", F.col("continuity_errors")), ("errors", F.col("errors")),
+        ("units", F.size("units")), ("pts", F.concat_ws("-", F.array_min("units.pts"), F.array_max("units.pts"))), ("points", F.array_join(F.transform(points, lambda u: u["pts"]), ",")),
+    ]
+    feature = F.concat_ws(";", *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in told])
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op8_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -75,7 +93,7 @@ def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ftrl_quality, op3_mix_sources, op4_radix_repeats, op5_rank_order_langid, op6_pack_shards, op8_minhash_components, op9_fm_decontaminate, op10_format_chat)}
+    return {f.__name__: f for f in (op1_patience_licenses, op2_ftrl_quality, op3_mix_sources, op4_radix_repeats, op5_rank_order_langid, op6_pack_shards, op7_transport_streams, op8_minhash_components, op9_fm_decontaminate, op10_format_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Stash, row_key
+from .storage import Stash, hidden, row_key, shown
 from .words import SLICE, U, flat, mix, powers
 
 DEPTH = 400  # bytes that suffixes are ordered through
@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     spans (start, stop: maximal removed runs of the UTF-8 bytes). Null text: as empty. Texts shorter
     than ``depth`` stay whole. Repeated rows of ``depth`` bytes or more are each other's repeats. Ties do not
     occur: every occurrence goes. Empty table: no rows. Null doc_id: as any value. Columns of docs
-    named kept or spans must be renamed before."""
+    named kept or spans are replaced."""
     spark, stash = docs.sparkSession, Stash(docs.sparkSession, "repeats")
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), "text")
@@ -238,8 +238,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     found = whole.union(settled).union(single).groupBy("rid").agg(F.collect_list("spot").alias("found")).join(names, "rid")
     found = stash.keep(found.select("k1", "k2", "found").dropDuplicates(["k1", "k2"]), "found")
     stash.drop(runs, met, blocks, open_)
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(F.col("text").alias("text"), k1.alias("k1"), k2.alias("k2"), *[F.col(c).alias(n) for c, n in zip(docs.columns, names) if c != "text"])
+    plain = hidden(docs, text=F.col("text"), k1=k1, k2=k2).drop(f"_{docs.columns.index('text')}")
     joined = plain.join(found, ["k1", "k2"], "left").drop("k1", "k2").withColumns({"kept": F.lit(b"").cast("binary"), "spans": F.array().cast("array<struct<start: long, stop: long>>")})
     out = joined.mapInArrow(_cut(depth), joined.schema)
-    return out.select(*[F.col("text" if c == "text" else n).alias(c) for c, n in zip(docs.columns, names)], "kept", "spans")
+    out = out.withColumnRenamed("text", f"_{docs.columns.index('text')}")
+    return out.select(*shown(docs, but=("kept", "spans")), "kept", "spans")

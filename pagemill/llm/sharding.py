@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import Stash, text_digest
+from .storage import Stash, hidden, shown, text_digest
 
 LARGE = 4096  # groups of at least 1/LARGE of all bytes are packed one by one: at most LARGE of them
 CRATES = 16384  # smaller groups are packed by the crate, a bucket of their digest
@@ -99,7 +99,7 @@ def pack_shards(docs: DataFrame, n_shards: int = 24, overhead: int = 8, toleranc
     Returns doc_id, text_crc32, size, shard, slot (gapless from 0 within the shard), with keep_text
     all input columns, text included. Null text: no bytes, checksum 0. Null doc_id: as any value.
     Repeated rows each get a slot. Ties go by doc_id, then text digest. Empty input: empty output.
-    Columns other than doc_id and text are not read unless keep_text."""
+    Columns other than doc_id and text are not read unless keep_text; those with the returned names are replaced."""
     spark, stash = docs.sparkSession, Stash(docs.sparkSession, "shards")
     text = F.col("text")
     facts = [
@@ -153,9 +153,9 @@ def pack_shards(docs: DataFrame, n_shards: int = 24, overhead: int = 8, toleranc
     before = Window.partitionBy("_shard").orderBy("_bucket")
     offsets = dealt.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("_from", F.sum("n").over(before) - F.col("n")).drop("n")
     if keep_text:
-        dealt = placed(docs.select("*", *facts))
+        dealt = placed(hidden(docs, doc_id=F.col("doc_id"), text=F.col("text")).select("*", *facts).drop("text"))
     slot = F.row_number().over(Window.partitionBy("_shard", "_bucket").orderBy("doc_id", "_digest")) - 1
     out = dealt.withColumn("_slot", slot).join(offsets, ["_shard", "_bucket"])
-    kept = docs.columns if keep_text else ["doc_id"]
     named = {"size": F.col("_size"), "text_crc32": F.col("_crc"), "shard": F.col("_shard").cast("int"), "slot": (F.col("_from") + F.col("_slot")).cast("long")}
-    return out.select(*[out[c] for c in kept if c not in named], *[v.alias(k) for k, v in named.items()])
+    kept = shown(docs, but=tuple(named)) if keep_text else ["doc_id"]
+    return out.select(*kept, *[v.alias(k) for k, v in named.items()])

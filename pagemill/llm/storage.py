@@ -65,6 +65,20 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(d, t), F.xxhash64(t, F.lit(1), d)]
 
 
+def hidden(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs with its columns renamed to _0, _1, ... so that no name can clash, and more columns."""
+    return docs.select(*[F.col(_quoted(c)).alias(f"_{i}") for i, c in enumerate(docs.columns)], *[v.alias(k) for k, v in more.items()])
+
+
+def shown(docs: DataFrame, but: tuple = ()) -> list[Column]:
+    """The columns of docs by their own names again, without those named in ``but``."""
+    return [F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in but]
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_digest(text: Column) -> Column:
     """16 bytes of SHA-256 over a text's UTF-8; null for a null text."""
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
