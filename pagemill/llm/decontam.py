@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import hidden, shown
+from .storage import shown, with_text
 from .words import U, mix, slices, word_hashes
 
 WINDOW = 13
@@ -261,20 +261,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     empty or wordless texts: 0 words, no spans. Items without words have no windows; an item without
     id hits words and is not listed; repeated items count once. Empty benchmark: no spans. Empty
     docs: no rows. Columns of docs with the added names are replaced."""
-    spark = docs.sparkSession
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
+    spark, columns = docs.sparkSession, ("n_words", "spans", "items")
+    at = f"_{docs.columns.index('text')}"
+    out = with_text(docs).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
     parts = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_segments(width), "item string, part long, words array<long>")
     total = parts.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK))
     if not total:
         words = F.coalesce(F.regexp_count("text", F.lit(r"[0-9A-Za-z[^\x00-\x7F]]+")), F.lit(0)).cast("long")
-        return out.withColumn("n_words", words)
+        out = out.withColumn("n_words", words)
+        blocks = 0
     for b in range(blocks):
         rows = parts.where(F.pmod(F.xxhash64("item", "part", "words"), F.lit(blocks)) == b).select("item", "words").collect()
         if rows:
             shared = spark.sparkContext.broadcast(Phrases(rows, width))
             out = out.mapInArrow(_scan(shared), out.schema)
-    return out
+    return out.withColumnRenamed("text", at).select(*shown(docs, but=columns), *columns)
 
 
 def contaminated(n_hit, n_words, share: int = 20):
@@ -288,8 +290,6 @@ def hit_words(spans):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, as they are."""
-    at = f"_{docs.columns.index('text')}"
-    plain = hidden(docs).withColumnRenamed(at, "text")
-    found = find_contamination(plain, benchmark)
+    found = find_contamination(with_text(docs), benchmark)
     clean = found.where(~contaminated(hit_words(F.col("spans")), F.col("n_words")))
-    return clean.withColumnRenamed("text", at).select(*shown(docs))
+    return clean.withColumnRenamed("text", f"_{docs.columns.index('text')}").select(*shown(docs))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import hidden, shown
+from .storage import shown, with_text
 
 TOP = 300  # n-grams of a profile
 LANGS = 256  # profiles in one broadcast
@@ -43,23 +43,17 @@ def _count(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams, counts) of one to three letters, words padded by a blank, as numbers of 21 bits a letter."""
-    parts = []
+    parts, before = [], np.zeros(1, np.int64)  # the last two letters or blanks of the piece before
     for i in range(0, len(text or ""), PIECE):
-        # a piece starts two characters early; its n-grams begin in its own part
-        lead = min(i, 2)
-        codes = _letters()[np.frombuffer(text[i - lead : i + PIECE].encode("utf-32-le", "replace"), np.uint32)]
-        solid = np.append(codes[0] > 0 or i == 0, (codes[1:] > 0) | (codes[:-1] > 0))  # a run of blanks counts once
-        c = codes[solid]
-        c = np.concatenate([[0] if i == 0 and c[0] else [], c, [0] if i + PIECE >= len(text) else []]).astype(np.int64)
-        a, b, d = c[:-2], c[1:-1], c[2:]
-        three = (a << 42 | b << 21 | d)[b > 0]
-        two = (c[:-1] << 42 | 0x1FFFFF << 21 | c[1:])[(c[:-1] > 0) | (c[1:] > 0)]
-        one = c[c > 0]
-        if lead:  # what lies in the two characters before was counted by the piece before
-            head = int(solid[:lead].sum())
-            skip3 = int((b[: max(0, head - 2)] > 0).sum())
-            three, two, one = three[skip3:], two[max(0, head - 1) :], one[int((c[:head] > 0).sum()) :]
+        codes = _letters()[np.frombuffer(text[i : i + PIECE].encode("utf-32-le", "replace"), np.uint32)]
+        c = codes[(codes > 0) | (np.append(before[-1], codes[:-1]) > 0)]  # a run of blanks counts once
+        if i + PIECE >= len(text) and len(c) and c[-1] > 0:
+            c = np.append(c, 0)
+        s, n = np.concatenate([before, c]), len(before)
+        one, two = c[c > 0], s[n - 1 : -1] << 42 | 0x1FFFFF << 21 | s[n:]
+        three = (s[:-2] << 42 | s[1:-1] << 21 | s[2:])[s[1:-1] > 0]
         parts.append(np.unique(np.concatenate([one, two, three]), return_counts=True))
+        before = s[-2:]
     return _count(parts)
 
 
@@ -122,7 +116,8 @@ def identify(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     Repeated rows get equal results. Empty docs: no rows. Columns of docs named lang_pred or score
     are replaced."""
     spark = docs.sparkSession
-    out = docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
+    at, columns = f"_{docs.columns.index('text')}", ("lang_pred", "score")
+    out = with_text(docs).withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
     langs = sorted(r[0] for r in profiles.select("lang").distinct().collect())
     for i in range(0, len(langs), LANGS):
         rows = profiles.where(F.col("lang").isin(langs[i : i + LANGS])).collect()  # TOP rows a language
@@ -139,12 +134,10 @@ def identify(docs: DataFrame, profiles: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([cols.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)
-    return out
+    return out.withColumnRenamed("text", at).select(*shown(docs, but=columns), *columns)
 
 
 def drop_unidentified(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """The rows of docs in which a language was found, as they are."""
-    at = f"_{docs.columns.index('text')}"
-    plain = hidden(docs).withColumnRenamed(at, "text")
-    found = identify(plain, profiles).where(F.col("lang_pred") != UND)
-    return found.withColumnRenamed("text", at).select(*shown(docs))
+    found = identify(with_text(docs), profiles).where(F.col("lang_pred") != UND)
+    return found.withColumnRenamed("text", f"_{docs.columns.index('text')}").select(*shown(docs))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import map_batches
 from .words import slices, word_hashes
 
 COVERAGE = 0.9  # share of a template's words that must be aligned
@@ -195,5 +196,4 @@ def scan_licenses(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
             cols = {"licenses": pa.array(out, batch.schema.field("licenses").type)}
             yield pa.RecordBatch.from_arrays([cols.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
 
-    plain = docs.withColumn("licenses", F.array().cast(FOUND))
-    return plain.mapInArrow(run, plain.schema)
+    return map_batches(docs, run, {"licenses": F.array().cast(FOUND)})

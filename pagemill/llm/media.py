@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import map_batches
 from .words import flat
 
 PACKET, BODY = 188, 184
@@ -174,14 +175,15 @@ def store_media(docs: DataFrame, column: str = "text") -> DataFrame:
             cols = {"media": pa.array(media, pa.binary()), "n_bytes": pa.array(np.diff(at), pa.int64())}
             yield pa.RecordBatch.from_arrays([cols.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
 
-    plain = docs.withColumns({"media": F.lit(b"").cast("binary"), "n_bytes": F.lit(0).cast("long")})
-    return plain.mapInArrow(run, plain.schema)
+    return map_batches(docs, run, {"media": F.lit(b"").cast("binary"), "n_bytes": F.lit(0).cast("long")}, column)
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """Adds ``read``, what demux finds in each stored stream, checksums of what was read, and the
-    timestamps and random-access points of its units."""
-    schema = f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets long, continuity_errors long, errors long, programs array<int>, streams array<int>, units {UNITS}"
+    """Adds what demux finds in each stored stream (column media, null as empty): checksums of the payload
+    and of the stream, packet and error counts, program and stream numbers, and the timestamps and
+    random-access points of the units. Columns with those names are replaced."""
+    fields = dict.fromkeys(("payload_bytes", "tail_crc32", "media_bytes", "packets", "continuity_errors", "errors"), "long")
+    fields |= {"payload_sha256": "string", "media_sha256": "string", "programs": "array<int>", "streams": "array<int>", "units": UNITS}
 
     def run(batches):
         for batch in batches:
@@ -194,10 +196,7 @@ def read_media(stored: DataFrame) -> DataFrame:
                     "payload_bytes": len(load), "payload_sha256": hashlib.sha256(load).hexdigest(), "tail_crc32": zlib.crc32(load[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
                     "packets": x["packets"], "continuity_errors": x["continuity_errors"], "errors": x["errors"], "programs": [p["pmt_pid"] for p in x["programs"]], "streams": [s["pid"] for s in x["streams"]], "units": x["units"],
                 })
-            cols = {n: pa.array([r[n] for r in rows], batch.schema.field(n).type) for n in added}
+            cols = {n: pa.array([r[n] for r in rows], batch.schema.field(n).type) for n in fields}
             yield pa.RecordBatch.from_arrays([cols.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
 
-    fields = [f.strip().split(" ", 1) for f in schema.split(", ") if not f.strip().startswith(("random", "offset", "size"))]
-    added = [f[0] for f in fields]
-    plain = stored.withColumns({n: F.lit(None).cast(UNITS if n == "units" else t) for n, t in fields})
-    return plain.mapInArrow(run, plain.schema)
+    return map_batches(stored, run, {n: F.lit(None).cast(t) for n, t in fields.items()}, "media")

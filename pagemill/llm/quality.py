@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import map_batches
 from .words import U, mix, slices, word_hashes
 
 BITS = 20  # of a feature's number
@@ -121,5 +122,4 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             score = pa.array(sigmoid(np.array(out, float)), pa.float64())
             yield pa.RecordBatch.from_arrays([score if n == "score" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
-    plain = docs.withColumn("score", F.lit(0.0))
-    return plain.mapInArrow(run, plain.schema)
+    return map_batches(docs, run, {"score": F.lit(0.0)})

@@ -72,7 +72,19 @@ def hidden(docs: DataFrame, **more: Column) -> DataFrame:
 
 def shown(docs: DataFrame, but: tuple = ()) -> list[Column]:
     """The columns of docs by their own names again, without those named in ``but``."""
-    return [F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in but]
+    return [F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in but]
+
+
+def with_text(docs: DataFrame, column: str = "text") -> DataFrame:
+    """docs with its columns renamed to _0, _1, ..., but for one."""
+    return hidden(docs).withColumnRenamed(f"_{docs.columns.index(column)}", column)
+
+
+def map_batches(docs: DataFrame, run, added: dict[str, Column], column: str = "text") -> DataFrame:
+    """Adds columns, filled by ``run`` over Arrow batches that hold ``column`` and the added ones by name."""
+    plain = with_text(docs, column).withColumns(added)
+    out = plain.mapInArrow(run, plain.schema).withColumnRenamed(column, f"_{docs.columns.index(column)}")
+    return out.select(*shown(docs, but=tuple(added)), *added)
 
 
 def _quoted(name: str) -> str:
