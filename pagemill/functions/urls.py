@@ -1,0 +1,202 @@
+"""URL columns: normal forms, patterns, scores and host tests, as built-in expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Parameters that never change a response.
+TRACKING = """
+utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_name utm_source_platform _ga _gl _gid ga_source ga_medium
+fbclid gclid gclsrc dclid msclkid twclid igshid mc_cid mc_eid yclid wbraid gbraid
+ref referer referrer source src spm scm from trk trk_params
+n_media n_query n_rank n_ad_group n_ad n_keyword NaPm nl_query cm_id acode
+""".split()
+SESSION = r"(?i)^(?:jsessionid|phpsessid|aspsessionid[a-z]*|sid|session_?id|zenid|osCsid)$"
+PROMISING = r"(?i)/(?:product|item|goods|article|post|news|story|job|listing|detail|view|p|read)(?:/|$|\?)"
+UNPROMISING = (
+    r"(?i)/(?:tag|tags|category|categories|archive|author|search|login|signin|signup|register|cart|checkout|account|profile|settings"
+    r"|privacy|terms|policy|legal|help|faq|contact|about|sitemap|feed|rss|print|share|comment|reply)(?:/|$|\?)"
+)
+# Characters that travel unescaped.
+PATH_SAFE = r"[A-Za-z0-9/\-._~!$&'()*+,;=:@%]"
+QUERY_SAFE = r"[A-Za-z0-9\-._~!$'()*+,;=:@/?]"
+PARTS = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+#: Suffixes under which anyone may register, besides single labels.
+SUFFIXES = "co.uk org.uk ac.uk gov.uk com.au net.au org.au co.jp ne.jp or.jp ac.jp co.kr or.kr go.kr ac.kr com.br com.cn net.cn org.cn com.tw com.hk co.in co.nz com.mx github.io blogspot.com herokuapp.com".split()
+
+
+def _part(url: Column, n: int) -> Column:
+    return F.regexp_extract(url, PARTS, n)
+
+
+def escape(text: Column, safe: str) -> Column:
+    """Percent-escapes the characters of a text that ``safe`` does not match."""
+    one = lambda c: F.when(c.rlike(f"^{safe}$"), c).when(c == " ", F.lit("%20")).otherwise(F.url_encode(c))
+    done = F.array_join(F.transform(F.split(text, ""), one), "")
+    return F.when(text.rlike(f"^{safe}*$"), text).otherwise(done)
+
+
+def normal_escapes(text: Column, safe: str) -> Column:
+    """Decodes escapes of unreserved characters, writes the others in capitals, escapes what is unsafe."""
+    pieces = F.split(text, "%")
+
+    def piece(p: Column) -> Column:
+        digits = F.upper(F.substring(p, 1, 2))
+        char = F.char(F.conv(digits, 16, 10).cast("int"))
+        return F.when(~p.rlike("^[0-9a-fA-F]{2}"), F.concat(F.lit("%"), p)).otherwise(F.concat(F.when(char.rlike(r"^[A-Za-z0-9\-._~]$"), char).otherwise(F.concat(F.lit("%"), digits)), F.substring(p, 3, 1 << 30)))
+
+    decoded = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece), ""))
+    return escape(F.when(text.contains("%"), decoded).otherwise(text), safe)
+
+
+def solid_path(path: Column) -> Column:
+    """Resolves . and .., collapses empty segments, keeps a trailing slash."""
+
+    def step(done: Column, s: Column) -> Column:
+        return F.when(s.isin("", "."), done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+
+    out = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
+    return F.when(path.endswith("/") & (out != "/"), F.concat(out, F.lit("/"))).otherwise(out)
+
+
+def query_pairs(query: Column) -> Column:
+    """Array of (key, value) of a query without its question mark; blank values stay."""
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    items = F.filter(F.split(query, "&"), lambda p: p != "")
+    return F.transform(items, lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("key"), F.when(p.contains("="), plain(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("").alias("value")))
+
+
+def clean_query(query: Column, keep: list[str] | None = None, ordered: bool = False) -> Column:
+    """A query without tracking and session parameters; with ``keep`` only those, with ``ordered`` sorted."""
+    kept = F.filter(query_pairs(query), lambda p: ~p["key"].isin(TRACKING) & ~p["key"].rlike(SESSION) & (p["key"].isin(keep) if keep is not None else F.lit(True)))
+    shown = lambda p: F.concat(escape(p["key"], QUERY_SAFE), F.when(p["value"] == "", "").otherwise(F.concat(F.lit("="), escape(p["value"], QUERY_SAFE))))
+    return F.when(F.coalesce(query, F.lit("")) == "", "").otherwise(F.array_join(F.transform(F.array_sort(kept) if ordered else kept, shown), "&"))
+
+
+def join(base: Column, href: Column) -> Column:
+    """href against base; null where href is blank."""
+    href = F.trim(href)
+    root = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
+    path = _part(base, 3)
+    out = (
+        F.when(href == "", F.lit(None).cast("string"))
+        .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
+        .when(href.startswith("//"), F.concat(_part(base, 1), F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("?"), F.concat(root, path, href))
+        .when(href.startswith("#"), F.concat(root, path, _part(base, 4), href))
+        .otherwise(F.concat(root, F.coalesce(F.nullif(F.regexp_extract(path, "^(.*/)", 1), F.lit("")), F.lit("/")), href))
+    )
+    return out
+
+
+def normalize(raw: Column, base: Column | None = None, keep: list[str] | None = None) -> Column:
+    """(url, dedupe_key, scheme, host, port, path) of a URL, null where it is none that can be fetched.
+
+    url is to be fetched, dedupe_key to be compared. TAB, CR and LF go, other control characters
+    reject. The host is folded, not put into punycode (see ``idna``)."""
+    text = F.trim(F.regexp_replace(F.trim(raw), r"[\t\r\n]", ""))
+    whole = join(base, text) if base is not None else text
+    scheme, net = F.lower(_part(whole, 1)), F.regexp_replace(_part(whole, 2), "^.*@", "")
+    host = F.lower(F.regexp_extract(net, r"^(\[[^\]]*\]|[^:]*)", 1))
+    port = F.regexp_extract(net, r":(\d*)$", 1)
+    number = F.try_element_at(F.array(F.nullif(port, F.lit("")).try_cast("int")), F.lit(1))
+    number = F.when(((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443)), None).otherwise(number)
+    root = F.concat(scheme, F.lit("://"), host, F.coalesce(F.concat(F.lit(":"), number.cast("string")), F.lit("")))
+    path = solid_path(normal_escapes(_part(whole, 3), PATH_SAFE))
+    query = F.regexp_replace(_part(whole, 4), r"^\?", "")
+    asked = lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))
+    bare = F.coalesce(F.nullif(F.regexp_replace(path, "/+$", ""), F.lit("")), F.lit("/"))
+    good = scheme.isin("http", "https") & (host != "") & ~text.rlike(r"[\x00-\x1F\x7F]") & (F.coalesce(number, F.lit(0)) <= 65535) & net.rlike(r"^(\[[^\]]*\]|[^:]*)(:\d*)?$")
+    made = F.struct(
+        F.concat(root, path, asked(clean_query(query))).alias("url"), F.concat(root, bare, asked(clean_query(query, keep, True))).alias("dedupe_key"),
+        scheme.alias("scheme"), F.regexp_replace(host, r"[\[\]]", "").alias("host"), number.alias("port"), path.alias("path"),
+    )
+    return F.when(good, made)
+
+
+@F.pandas_udf("string")
+def idna(hosts):
+    """Punycode of hosts with other than ASCII characters."""
+
+    def one(h):
+        try:
+            return h if h is None or h.isascii() else h.encode("idna").decode("ascii")
+        except UnicodeError:
+            return h
+
+    return hosts.map(one)
+
+
+def pattern(normal: Column) -> Column:
+    """The shape of a normalised URL: its host, its path with identifiers as placeholders, its query keys."""
+
+    def place(s: Column) -> Column:
+        return (
+            F.when(s.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), "{uuid}")
+            .when(s.rlike(r"^\d{4}-\d{2}(?:-\d{2})?$"), "{date}")
+            .when((F.length(s) >= 8) & s.rlike(r"^(?=.*\d)[A-Za-z0-9_-]+$"), "{id}")
+            .when(s.rlike(r"^\d+$"), "{n}")
+            .otherwise(F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s))
+        )
+
+    parts = F.transform(F.filter(F.split(normal["path"], "/"), lambda s: s != ""), place)
+    keys = F.transform(query_pairs(F.regexp_extract(normal["dedupe_key"], r"\?(.*)$", 1)), lambda p: F.concat(p["key"], F.lit("={v}")))
+    return F.concat(normal["host"], F.lit("/"), F.array_join(parts, "/"), F.when(F.size(keys) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(keys), "&"))).otherwise(""))
+
+
+def score(url: Column, depth: Column, from_sitemap: Column | None = None, hint: Column | None = None) -> Column:
+    """Higher is crawled sooner."""
+    out = F.lit(1000) - depth * 100 + F.when(url.rlike(PROMISING), 200).otherwise(0) - F.when(url.rlike(UNPROMISING), 400).otherwise(0)
+    if from_sitemap is not None:
+        extra = F.floor(F.coalesce(hint, F.lit(0.0)) * 100) if hint is not None else F.lit(0)
+        out = out + F.when(from_sitemap, extra + 300).otherwise(0)
+    return (out - F.regexp_count(url, F.lit("&")) * 20).cast("int")
+
+
+def is_ip(host: Column) -> Column:
+    byte = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
+    return host.rlike(rf"^{byte}(\.{byte}){{3}}$") | (host.contains(":") & host.rlike(r"^[0-9a-fA-F:.%]+$"))
+
+
+def registrable_domain(host: Column) -> Column:
+    """The name one label below its public suffix; null for addresses and bare suffixes."""
+    labels, n = F.split(host, r"\."), F.size(F.split(host, r"\."))
+    two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".")
+    depth = F.when(two.isin(SUFFIXES), 3).otherwise(2)
+    return F.when(~is_ip(host) & (n >= depth), F.array_join(F.slice(labels, F.greatest(n - depth + 1, F.lit(1)), depth), "."))
+
+
+def in_scope(host: Column, domains: list[str]) -> Column:
+    """Equal to an allowed domain, or below one (addresses: equal only)."""
+    out = F.lit(False)
+    for d in domains:
+        out = out | (host == d) | (~is_ip(host) & host.endswith("." + d))
+    return out
+
+
+# IPv4 ranges that may not be fetched.
+DENIED = {
+    "0.0.0.0/8": "this_network", "10.0.0.0/8": "private", "100.64.0.0/10": "shared", "127.0.0.0/8": "loopback", "169.254.0.0/16": "link_local", "172.16.0.0/12": "private",
+    "192.0.0.0/24": "protocol", "192.0.2.0/24": "documentation", "192.168.0.0/16": "private", "198.18.0.0/15": "benchmark", "198.51.100.0/24": "documentation",
+    "203.0.113.0/24": "documentation", "224.0.0.0/4": "multicast", "240.0.0.0/4": "reserved",
+}
+
+
+def denied_address(address: Column) -> Column:
+    """Why an IPv4 address may not be fetched; null if it may, or is none."""
+    octets = F.split(address, r"\.")
+    number = F.aggregate(F.transform(octets, lambda o: o.try_cast("long")), F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+    out = F.lit(None).cast("string")
+    for net, why in reversed(DENIED.items()):
+        at, bits = net.split("/")
+        low = sum(int(x) << 8 * (3 - i) for i, x in enumerate(at.split(".")))
+        out = F.when((number >= low) & (number < low + (1 << 32 - int(bits))), why).otherwise(out)
+    return F.when(F.size(octets) == 4, out)
+
+
+def next_data_url(page: Column, build: Column) -> Column:
+    """The data route of a server-rendered page."""
+    path = F.regexp_replace(_part(page, 3), "^/+|/+$", "")
+    return F.concat(_part(page, 1), F.lit("://"), _part(page, 2), F.lit("/_next/data/"), build, F.lit("/"), F.when(path == "", "index").otherwise(path), F.lit(".json"))

@@ -15,7 +15,7 @@ from .words import mix, shingles, slices, word_hashes
 
 WORDS = 5
 BANDS, ROWS = 25, 5  # a pair of similarity 0.85 shares no band once in 2 million times
-STAR_ROUNDS = 4
+FEW = 16  # members of a bucket that are held against each other one by one
 
 
 @lru_cache(2)
@@ -100,16 +100,35 @@ def components(edges: DataFrame, stash: Stash) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
+def _prefix_pairs(many: DataFrame, sets: DataFrame, wanted: DataFrame, percent: int, stash: Stash) -> DataFrame:
+    """Pairs (id, id2) of different roots among which every link is, by prefix filtering.
+
+    With its shingles in one order for all, the rarest first, a set of n linked with one of n2 shares one of its
+    first n - least + 1 shingles, least being the overlap that the threshold asks of such sizes. What
+    only one root has among its first shingles is left out."""
+    tokens = many.join(sets, "id").select("id", "root", F.explode("set").alias("token"))
+    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token")) - 1
+    placed = tokens.join(rare, "token").withColumn("place", place).join(wanted.select("id", "n"), "id")
+    first = stash.keep(placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("token", "id", "root", "n", "place"), "first")
+    met = first.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("token")
+    one = first.join(met, "token")
+    two = one.select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "place")])
+    least = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-9)
+    near = (F.col("root") < F.col("root2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+    return one.join(two, "token").where(near & (F.col("place") <= F.col("n") - least) & (F.col("place2") <= F.col("n2") - least))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Groups of documents linked by 100 * |A and B| >= percent * |A or B| over sets of 5-word shingles.
 
     Words are runs without ASCII white space, A-Z folded. Rows of equal sets form one class first, so
     copies cost one row each. Classes meet where a band of ROWS minima agrees. In each band bucket
-    all members are held against one of them, by signature and then by full set, and linked ones
-    merge; a few more rounds take another member of the buckets that still hold more than one
-    component; then every pair of a bucket that is still apart is held against each other. So no
-    pair that shares a band and is linked stays apart, yet a bucket of thousands of near copies
-    costs about its size, not its square. The signature drops a pair only where six standard errors
+    all members are held against its most central one, by signature and then by full set, and
+    linked ones merge. In buckets that still hold more than one component, members of different
+    components meet: each other in buckets of up to FEW, and by the prefix filter in larger ones,
+    which finds every link among them. So no pair that shares a band and is linked stays apart,
+    yet a bucket of thousands of near copies costs about its size, not its square. The signature drops a pair only where six standard errors
     below the threshold leave no doubt.
 
     Returns one row per input row: k1, k2 (hash of doc_id and text), doc_id, n_shingles,
@@ -150,39 +169,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     def pair(x, y):
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    links = roots = None
-    apart = members.withColumn("root", F.col("id"))
-    for turn in range(STAR_ROUNDS + 1):
-        per_root = apart.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
-        cross = per_root.groupBy("band").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("sq"))
-        pairs_left, members_left = cross.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("sq")) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-        if not pairs_left:
-            break
-        last = pairs_left <= 2 * members_left or turn == STAR_ROUNDS
-        if last:
-            other = apart.select("band", F.col("id").alias("id2"), F.col("root").alias("root2"))
-            todo = apart.join(other, "band").where(F.col("root") < F.col("root2"))
-        else:
-            # another member of each bucket each time: the least by a hash of the turn
-            order = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("id2"), F.col("root").alias("root2"))
-            pivot = apart.groupBy("band").agg(F.min(order).alias("p")).select("band", "p.id2", "p.root2")
-            todo = apart.join(pivot, "band").where(F.col("root") != F.col("root2"))
-        found = stash.keep(linked(todo.select(*pair("id", "id2")).distinct()), "links")
-        links = found if links is None else links.union(found)
-        roots = stash.keep(components(links, stash), "roots")
-        if last:
-            break
-        tagged = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("band")
-        apart = stash.keep(tagged.join(mixed, "band"), "apart")
+    def pairs_of(df: DataFrame, x: str, y: str) -> DataFrame:
+        return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    # the member of each bucket that shares most buckets with most others is held against the rest
+    sized = members.join(members.groupBy("band").agg(F.count(F.lit(1)).alias("m")), "band")
+    central = members.join(sized.groupBy("id").agg(F.sum("m").alias("score")), "id")
+    pivot = central.groupBy("band").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("p")).select("band", (-F.col("p.neg")).alias("pivot"))
+    star = pairs_of(members.join(pivot, "band").where(F.col("id") != F.col("pivot")), "id", "pivot").distinct()
+    links = stash.keep(linked(star), "links")
+    roots = stash.keep(components(links, stash), "roots")
+    tagged = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = tagged.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("band", "m")
+    apart = stash.keep(tagged.join(apart, "band"), "apart")
+    few = apart.where(F.col("m") <= FEW)
+    other = few.select("band", F.col("id").alias("id2"), F.col("root").alias("root2"))
+    todo = pairs_of(few.join(other, "band").where(F.col("root") < F.col("root2")), "id", "id2")
+    many = apart.where(F.col("m") > FEW).select("id", "root").distinct()
+    todo = todo.union(pairs_of(_prefix_pairs(many, sets, wanted, percent, stash), "id", "id2")).distinct()
+    rest = stash.keep(linked(todo), "links")
+    roots = stash.keep(components(rest.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), stash), "roots")
     stash.drop(sets, members)
-    slim = classes.select("id", "f1", "f2", "n", "least")
-    if roots is not None:
-        slim = slim.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        best = slim.groupBy("root").agg(F.min("least").alias("best"))
-        slim = slim.join(best, "root").select("f1", "f2", "n", "best")
-    else:
-        slim = slim.select("f1", "f2", "n", F.col("least").alias("best"))
+    slim = classes.select("id", "f1", "f2", "n", "least").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    slim = slim.join(slim.groupBy("root").agg(F.min("least").alias("best")), "root").select("f1", "f2", "n", "best")
     out = rows.select("k1", "k2", "doc_id", "n", "f1", "f2").join(slim, ["f1", "f2", "n"], "left")
     lone = F.col("n") == 0
     component = F.when(lone, F.col("doc_id")).otherwise(F.col("best.doc_id"))
