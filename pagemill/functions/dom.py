@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-BOUND = {"li": {"ul", "ol"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+BOUND = {"li": {"ul", "ol"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 SILENT = {"script", "style", "noscript", "template"}
 
 
@@ -27,15 +27,18 @@ class Node:
             yield n
             todo += [c for c in reversed(n.children) if isinstance(c, Node)]
 
-    def text(self, skip=frozenset()) -> str:
-        out, todo = [], [self]
+    def pieces(self, skip=frozenset()):
+        """Runs of text below, in document order."""
+        todo = [self]
         while todo:
             n = todo.pop()
             if isinstance(n, str):
-                out.append(n)
+                yield n
             elif n.tag not in skip:
                 todo += reversed(n.children)
-        return "".join(out)
+
+    def text(self, skip=frozenset()) -> str:
+        return "".join(self.pieces(skip))
 
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
@@ -64,7 +67,6 @@ class _Builder(HTMLParser):
         while n.parent is not None and n.tag not in bounds:
             if n.tag in tags:
                 self.here = n.parent
-                return
             n = n.parent
 
     def handle_endtag(self, tag):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Parameters that never change a response.
 TRACKING = """
@@ -116,7 +117,7 @@ def normalize(raw: Column, base: Column | None = None, keep: list[str] | None =
     return F.when(good, made)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def idna(hosts):
     """Punycode of hosts with other than ASCII characters."""
 

@@ -94,8 +94,17 @@ PLAIN = {
 WITH_ARGUMENTS = {"regex_extract": regex_extract, "split": split, "default": default}
 
 
+def check(steps: list[str]) -> None:
+    """Raises an error on the name of an unknown transform; needs no session."""
+    known = sorted([*PLAIN, *WITH_ARGUMENTS, "to_absolute_url"])
+    for step in steps:
+        if step.strip().partition("(")[0] not in known:
+            raise ValueError(f"unknown transform {step!r}; there are: {', '.join(known)}")
+
+
 def chain(v: Column, steps: list[str], base: Column | None = None) -> Column:
     """Applies transforms such as ``split(/, 1)`` from left to right; an unknown name is an error."""
+    check(steps)
     for step in steps:
         name, _, rest = step.strip().partition("(")
         args = [a.strip().strip("\"'") for a in rest.rstrip()[:-1].split(",")] if rest.rstrip().endswith(")") and rest.rstrip() != ")" else []
@@ -103,10 +112,8 @@ def chain(v: Column, steps: list[str], base: Column | None = None) -> Column:
             v = urls.join(base, v) if base is not None else F.when(F.trim(v) != "", v)
         elif name in WITH_ARGUMENTS:
             v = WITH_ARGUMENTS[name](v, *args)
-        elif name in PLAIN:
-            v = PLAIN[name](v.cast("string") if name not in ("to_number", "to_int", "to_float") else v.cast("string"))
         else:
-            raise ValueError(f"unknown transform {name!r}; there are: {', '.join(sorted([*PLAIN, *WITH_ARGUMENTS, 'to_absolute_url']))}")
+            v = PLAIN[name](v.cast("string"))
     return v
 
 

@@ -14,8 +14,8 @@ BITS, THRESHOLD, MIN_TOKENS = 60, 6, 30
 def exact(df: DataFrame, key: str, text: str, order: str, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(key, of_key) of pages whose text an earlier page has. A group of any size costs one join of two
     columns; only digests are shuffled."""
-    long = df.where(F.size(texts.tokens(F.col(text))) >= min_tokens).select(key, order, F.sha2(text, 256).alias("digest"))
-    first = long.groupBy("digest").agg(F.min(F.struct(order, key)).alias("f")).select("digest", F.col(f"f.{key}").alias("of_key"))
+    long = df.where(F.size(texts.tokens(F.col(text))) >= min_tokens).select(*dict.fromkeys([key, order]), F.sha2(text, 256).alias("digest"))
+    first = long.groupBy("digest").agg(F.min(F.struct(F.col(order).alias("at"), F.col(key).alias("of"))).alias("f")).select("digest", F.col("f.of").alias("of_key"))
     return long.join(first, "digest").where(F.col(key) != F.col("of_key")).select(key, "of_key")
 
 

@@ -28,7 +28,8 @@ def reap_stale(jobs: DataFrame, now: Column, after_s: int = 120, attempts: int =
     """Running jobs without a heartbeat for too long go back to the queue, or fail after too many attempts."""
     stale = (F.col("status") == "running") & (F.coalesce("heartbeat_at", "started_at") < now - F.expr(f"INTERVAL {after_s} SECONDS"))
     tried = F.col("attempts") + 1
-    return jobs.withColumn("status", F.when(stale & (tried > attempts), "failed").when(stale, "pending").otherwise(F.col("status"))).withColumn("attempts", F.when(stale, tried).otherwise(F.col("attempts")))
+    status = F.when(stale & (tried > attempts), "failed").when(stale, "pending").otherwise(F.col("status"))
+    return jobs.withColumns({"status": status, "attempts": F.when(stale, tried).otherwise(F.col("attempts"))})
 
 
 TERMINAL = ["completed", "failed", "cancelled"]

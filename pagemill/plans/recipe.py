@@ -30,7 +30,7 @@ class Field:
             raise ValueError("a field's name has 1 to 64 characters")
         if self.type not in ("text", "html", "href", "src", "attr"):
             raise ValueError(f"unknown type {self.type!r}")
-        values.chain(F.lit(None).cast("string"), list(self.transform))  # an unknown transform is an error here
+        values.check(list(self.transform))
 
 
 @dataclass(frozen=True)

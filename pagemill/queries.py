@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import paths, texts, urls, values
-from pagemill.operators import dedupe, extract, filters, gate, jobs, quality
+from pagemill.operators import dedupe, extract, filters, gate, jobs, quality, structure
 from pagemill.operators.filters import RecordFilter
 from pagemill.plans import recipe
 from pagemill.streaming import crawl
@@ -36,7 +36,7 @@ WITH raw AS (SELECT page_id, url, lower(regexp_extract(url, '^([a-zA-Z]+):', 1))
 n AS (SELECT page_id, scheme, host, path, q,
   scheme || '://' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url,
   scheme || '://' || host || CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS dedupe_key FROM raw),
-p AS (SELECT *, host || '/' || array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), s ->
+p AS (SELECT *, host || '/' || array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
     CASE WHEN regexp_matches(s, '^\d{4}-\d{2}(-\d{2})?$') THEN '{date}' WHEN length(s) >= 8 AND regexp_matches(s, '^[A-Za-z0-9_-]+$') AND regexp_matches(s, '\d') THEN '{id}'
          WHEN regexp_matches(s, '^\d+$') THEN '{n}' ELSE s END), '/')
   || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(list_transform(q, lambda x: regexp_extract(x, '^[^=]*') || '={v}')), '&') ELSE '' END AS pattern,
@@ -319,11 +319,24 @@ def q_bfs_depth(spark, sf_dir):
 @query()
 def q_crawl(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    found = extract.extract(pages.select("page_id", "url", "html"), ["links"]).select(urls.normalize(F.col("url"))["dedupe_key"].alias("page_key"), F.explode("links").alias("href"))
+    found = extract.extract(pages.select("page_id", "url", "html"), ["links"]).select(urls.normalize(F.col("url"))["dedupe_key"].alias("page_key"), "links")
+    found = found.select("page_key", F.explode("links").alias("href"))
     frontier, _ = crawl.crawl(found, pages.select("url"), gate.Limits(max_pages=500, max_depth=1, per_pattern_budget=50))
     return frontier
 
 
+@query()
+def q_containers(spark, sf_dir):
+    found = structure.containers(table(spark, sf_dir, "pages"), crawl.keeper(spark))
+    return found.select("page_id", "place", "selector", "parent_selector", "count", "depth", "text_density", "score", F.size("columns").alias("n_columns"))
+
+
+@query()
+def q_fingerprints(spark, sf_dir):
+    prints = structure.fingerprints(structure.containers(table(spark, sf_dir, "pages"), crawl.keeper(spark)))
+    return prints.groupBy("digest").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
+
+
 VEC = "list_transform(range(64), lambda i: CASE WHEN i % 2 = 0 THEN 1.0 ELSE -1.0 END::FLOAT)"
 
 

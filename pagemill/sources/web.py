@@ -112,7 +112,7 @@ def read_feed(body, base):
     return out
 
 
-@F.udf("struct<text: string, encoding: string, declared: string>", useArrow=True)
+@F.udf(T.StructType([T.StructField(n, T.StringType()) for n in ("text", "encoding", "declared")]), useArrow=True)
 def decode_html(body, content_type):
     """Text of a body: by its byte-order mark, its header, its meta tag, else UTF-8, Korean, Western; a
     declaration that does not decode is passed over."""
