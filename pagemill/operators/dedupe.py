@@ -45,7 +45,7 @@ def near_leaders(df: DataFrame, key: str, text: str, keep_table, threshold: int
     prints = keep_table(prints)
     groups = prints.groupBy("fingerprint").agg(F.min(key).alias("node"))
     pairs = keep_table(near_pairs(groups, "node", threshold).select("a", "b"))
-    state = keep_table(groups.select("node", F.lit(None).cast("long").alias("leader")))
+    state = keep_table(groups.select("node", F.lit(None).cast(groups.schema["node"].dataType).alias("leader")))
     while not state.where(F.col("leader").isNull()).isEmpty():
         known = state.select(F.col("node").alias("a"), F.col("leader").alias("la"))
         before = pairs.join(known, "a").groupBy("b").agg(F.min(F.when(F.col("la") == F.col("a"), F.col("a"))).alias("lead"), F.count_if(F.col("la").isNull()).alias("open"), F.min(F.when(F.col("la").isNull(), F.col("a"))).alias("first_open"))
@@ -67,11 +67,11 @@ def soft_404(df: DataFrame, key: str, text: str, pattern: str | None = None) ->
     return df.withColumn("soft_404", texts.says_missing(F.col(text)))
 
 
-def stub_pages(df: DataFrame, key: str, text: str, corroboration: int = 3) -> DataFrame:
+def stub_pages(df: DataFrame, key: str, text: str, corroboration: int = 3, keep_table=lambda t: t) -> DataFrame:
     """Keys of thin pages (6 to 39 words) that at least two earlier thin pages resemble: the shape rule, with
-    each page's earliest near neighbour as its group."""
+    each page's earliest near neighbour as its group. ``keep_table`` may write the fingerprints, which are read thrice."""
     thin = df.where(F.size(texts.tokens(F.col(text))).between(6, 39))
-    prints = texts.simhash(thin, key, texts.tokens(F.col(text)))
+    prints = keep_table(texts.simhash(thin, key, texts.tokens(F.col(text))))
     same = prints.groupBy("fingerprint").agg(F.min(key).alias("node"))
     lead = near_pairs(same, "node").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("lead"))
     grouped = prints.join(same.join(lead, "node", "left").select("fingerprint", F.coalesce("lead", "node").alias("lead")), "fingerprint")

@@ -11,6 +11,7 @@ from email.utils import parsedate_to_datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from pagemill.functions import urls
 
@@ -61,12 +62,68 @@ def read_sitemap(body):
         return [(None, None, None, None, str(e)[:200])]
 
 
+def sitemap_time(text: Column) -> Column:
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM", "yyyy")])
+
+
+def sitemap_priority(text: Column) -> Column:
+    """From 0 to 1; null if it is no number."""
+    number = text.try_cast("double")
+    return F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
+
+
 def sitemap_entries(df: DataFrame, key: str, body: str) -> DataFrame:
     """(key, kind, loc, lastmod, priority, error) with typed times and priorities from 0 to 1."""
     out = df.select(key, F.explode(read_sitemap(F.col(body))).alias("e")).select(key, "e.*")
-    time = F.coalesce(F.try_to_timestamp("lastmod"), *[F.try_to_timestamp("lastmod", F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM", "yyyy")])
-    priority = F.col("priority").try_cast("double")
-    return out.withColumn("lastmod", time).withColumn("priority", F.when(priority.isNotNull(), F.least(F.greatest(priority, F.lit(0.0)), F.lit(1.0))))
+    return out.withColumn("lastmod", sitemap_time(F.col("lastmod"))).withColumn("priority", sitemap_priority(F.col("priority")))
+
+
+def sitemap_roots(sites: DataFrame, robots: DataFrame) -> DataFrame:
+    """(site, pos, url): where to look for the sitemaps of each of sites (site, url): at the addresses that its
+    robots.txt, in robots (site, url, text), names, else at the usual ones."""
+    named = robots_sitemaps(robots.select("site", "url", "text"), "site", "text", "url").select("site", "pos", F.col("sitemap").alias("url"))
+    usual = sites.join(named.select("site"), "site", "left_anti").select("site", F.posexplode(sitemap_candidates(F.col("url"))).alias("pos", "url"))
+    return named.unionByName(usual)
+
+
+def walk_sitemaps(documents: DataFrame, roots: DataFrame, keep_table, max_depth: int = 3, max_documents: int = 50, max_entries: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """All addresses that the sitemaps of each site list, indexes followed round by round.
+
+    documents has url and body; roots has site, pos and url. Returns (entries, errors): entries has site,
+    place, pos, loc, lastmod and priority, place being the document's turn; errors has site, url and error. A
+    site's documents are read breadth first, each once, up to max_documents counting robots.txt and those
+    that documents lacks; the first max_entries entries of a site stay. Indexes below max_depth are not followed.
+    ``keep_table`` writes a round's rows."""
+    bodies = documents.select(urls.normalize(F.col("url"))["url"].alias("url"), "body").where("url IS NOT NULL").dropDuplicates(["url"])
+    todo = roots.select("site", F.lit(0).cast("long").alias("up"), F.col("pos").cast("long").alias("pos"), urls.normalize(F.col("url"))["url"].alias("url")).where("url IS NOT NULL")
+    seen = read = None
+    for depth in range(max_depth + 1):
+        new = todo.groupBy("site", "url").agg(F.min(F.struct("up", "pos")).alias("at"))
+        if seen is not None:
+            new = new.join(seen.select("site", "url"), ["site", "url"], "left_anti").join(seen.groupBy("site").agg(F.max("place").alias("before")), "site")
+        else:
+            new = new.withColumn("before", F.lit(0).cast("long"))
+        new = new.withColumn("nth", F.row_number().over(Window.partitionBy("site").orderBy("at", "url"))).where(F.col("nth") < max_documents)
+        front = keep_table(new.select("site", "url", (F.col("before") + F.col("nth")).alias("place")).where(F.col("place") < max_documents))
+        if front.isEmpty():
+            break
+        seen = front if seen is None else seen.unionByName(front)
+        rows = front.join(bodies, "url").select("site", "url", "place", F.posexplode(read_sitemap(F.col("body"))).alias("pos", "e"))
+        rows = rows.withColumn("loc", urls.normalize(F.col("e.loc"), F.col("url"))["url"])
+        rows = keep_table(rows.select("site", "url", "place", F.col("pos").cast("long").alias("pos"), "e.kind", "loc", "e.lastmod", "e.priority", "e.error"))
+        read = rows if read is None else read.unionByName(rows)
+        todo = rows.where("kind = 'sitemap' AND loc IS NOT NULL").select("site", F.col("place").alias("up"), "pos", F.col("loc").alias("url"))
+    if read is None:
+        read = seen_nothing(front)
+    listed = read.where("kind = 'url' AND loc IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy("site").orderBy("place", "pos")))
+    entries = listed.where(F.col("nth") <= max_entries).select("site", "place", "pos", "loc", sitemap_time(F.col("lastmod")).alias("lastmod"), sitemap_priority(F.col("priority")).alias("priority"))
+    return entries, read.where("error IS NOT NULL").select("site", "url", "error")
+
+
+def seen_nothing(front: DataFrame) -> DataFrame:
+    """The rows of no document."""
+    told = [F.lit(None).cast("string").alias(c) for c in ("kind", "loc", "lastmod", "priority", "error")]
+    return front.where("false").select("site", "url", "place", F.lit(None).cast("long").alias("pos"), *told)
 
 
 FEED = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "url", "published_at", "summary", "author", "error")]))
