@@ -44,14 +44,16 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(y[:n], y[width - reach : width - reach + n])
 
 
-def _anchored(data: np.ndarray, at: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, ...]:
+def _anchored(data: np.ndarray, at: np.ndarray, depth: int, gram: int, most: int = SLICE) -> tuple[np.ndarray, ...]:
     """(low, count, h, s): runs of suffix starts whose first ``depth`` bytes have the same anchor, the
     leftmost of the least-hashed grams in them, with hashes of the gram and of all bytes of the run's
-    strings. ``at`` are the texts' bounds; no string crosses one."""
+    strings. ``at`` are the texts' bounds; no string crosses one. A long text is read ``most`` bytes at a
+    time, and each run comes whole from the part it begins in."""
     found = []
-    step = SLICE if len(at) == 2 else len(data)
+    step = most if len(at) == 2 else max(len(data), 1)
     for c in range(0, max(len(data) - depth + 1, 0), step):
-        part = data[c : c + step + depth - 1]
+        lead = min(c, 1)  # one suffix before the part tells whether a run only goes on in it
+        part = data[c - lead : c + step + 2 * depth]
         first, second = _Hasher(part, 0), _Hasher(part, 1)
         starts = np.arange(len(part) - gram + 1)
         h = first(starts, starts + gram)
@@ -64,19 +66,19 @@ def _anchored(data: np.ndarray, at: np.ndarray, depth: int, gram: int) -> tuple[
             anchor[np.arange(len(anchor)) + depth > ends[own]] = -1
         turn = np.flatnonzero(np.diff(anchor, prepend=-2) != 0)
         stop = np.append(turn[1:], len(anchor))
-        ok = anchor[turn] >= 0
+        ok = (anchor[turn] >= 0) & (turn >= lead) & (turn < lead + step)
         low, stop = turn[ok], stop[ok]
-        found.append((low + c, stop - low, h[anchor[low]], second(low, stop - 1 + depth)))
+        found.append((low + c - lead, stop - low, h[anchor[low]], second(low, stop - 1 + depth)))
     if not found:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _slices(col) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _slices(col, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, at = flat(col)
     i = 0
     while i < len(col):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
@@ -89,8 +91,8 @@ def _runs(depth: int, gram: int):
     def run(batches):
         for batch in batches:
             counts, cols = [], [[], [], []]
-            for i, j, data, at in _slices(batch.column("text")):
-                low, n, h, s = _anchored(data, at, depth, gram)
+            for i, j, data, at in _slices(batch.column("text"), SLICE):
+                low, n, h, s = _anchored(data, at, depth, gram, SLICE)
                 own = np.searchsorted(at, low, "right") - 1
                 counts += np.bincount(own, minlength=j - i).tolist()
                 for c, x in zip(cols, (h.view(np.int64), s.view(np.int64), (low - at[own]) * 1024 + n)):

@@ -173,6 +173,27 @@ def test_repeats_of_edited_copies(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [500, 997])
+def test_repeats_across_parts(spark, monkeypatch, size):
+    """Texts read in parts: a run that spans a cut is one place; empty texts may fill a slice."""
+    monkeypatch.setattr(repeats, "SLICE", size)
+    rng = random.Random(4)
+    long = "".join(rng.choices("abcdefgh é", k=6000))
+    texts = [None, "", long, "".join(rng.choices("abcdefgh é", k=3000)) + long[2400:3700], long[950:1010], long[:90] + "Q" + long[91:400]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = dict(enumerate(brute.repeat_cut(texts, 60)))
+    got = {r.doc_id: (bytes(r.kept), len(r.spans)) for r in repeats.remove_repeats(docs, 60, 20).collect()}
+    assert got == want
+
+
+def test_runs_do_not_depend_on_parts():
+    data = np.random.default_rng(3).integers(97, 123, 9000).astype(np.uint8)
+    whole = repeats._anchored(data, np.array([0, len(data)]), 60, 20)
+    for most in (64, 500, 997):
+        assert all((a == b).all() for a, b in zip(whole, repeats._anchored(data, np.array([0, len(data)]), 60, 20, most)))
+    assert [len(x) for x in repeats._anchored(data[:0], np.zeros(3, np.int64), 60, 20)] == [0] * 4
+
+
 # --- 5 languages
 
 
