@@ -94,7 +94,9 @@ def pack_shards(docs: DataFrame, n_shards: int = 24, overhead: int = 8, toleranc
     however many documents there are: groups of at least 1/LARGE of all bytes stand alone, smaller
     ones share one of CRATES crates, and a group beyond a shard's capacity is salted by doc_id into
     at most SALTS parts. The driver packs only those units. When a shard comes out more than
-    ``tolerance`` above the mean, groups of half, a quarter, ... of the capacity are salted too.
+    ``tolerance`` above the mean, and above the largest document, packings with groups of more than half, a
+    quarter, ... of the capacity salted too are tried; one is taken only if its fullest shard has less than
+    with any coarser split. So groups that fit stay whole where a split gains nothing.
 
     Returns doc_id, text_crc32, size, shard, slot (gapless from 0 within the shard), with keep_text
     all input columns, text included. Null text: no bytes, checksum 0. Null doc_id: as any value.
@@ -109,7 +111,7 @@ def pack_shards(docs: DataFrame, n_shards: int = 24, overhead: int = 8, toleranc
         F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(SALTS)).cast("int").alias("_salt"),
     ]
     rows = stash.keep(docs.select("doc_id", *facts), "rows")
-    total, n_rows = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
+    total, n_rows, largest = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("_size"), F.lit(0))).first()
     capacity = max(1, -(-total // n_shards))
     salted = rows.groupBy("_digest", "_salt", "_size").agg(F.count(F.lit(1)).alias("n")).withColumn("bytes", F.col("n") * F.col("_size"))
     groups = salted.groupBy("_digest").agg(F.sum("bytes").alias("bytes"))
@@ -118,7 +120,7 @@ def pack_shards(docs: DataFrame, n_shards: int = 24, overhead: int = 8, toleranc
     crates = groups.where(F.col("bytes") * LARGE < total).groupBy(crate.alias("_crate")).agg(F.sum("bytes").alias("bytes"))
     small = sorted((r[0], r[1]) for r in crates.collect())
     large.sort()
-    limit = capacity
+    limit, best = capacity, None
     while True:
         split = [d for d, b in large if b > limit]
         parts = []
@@ -132,9 +134,12 @@ def pack_shards(docs: DataFrame, n_shards: int = 24, overhead: int = 8, toleranc
         filled = [0] * n_shards
         for u, b in zip(units, bins):
             filled[b] += u[3]
-        if not units or max(filled) <= capacity * (1 + tolerance) or limit * 16 < capacity or not any(b * 2 > limit for _, b in large):
+        if best is None or max(filled) < best[0]:
+            best = (max(filled), units, bins)
+        if not units or max(filled) <= max(capacity * (1 + tolerance), largest) or limit * 16 < capacity or not any(b * 2 > limit for _, b in large):
             break
         limit //= 2
+    _, units, bins = best
     whole = [(d, b) for (d, s, c, _), b in zip(units, bins) if d is not None and s < 0]
     part = [(d, s, b) for (d, s, c, _), b in zip(units, bins) if s >= 0]
     box = [(c, b) for (d, s, c, _), b in zip(units, bins) if c >= 0]

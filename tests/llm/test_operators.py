@@ -283,6 +283,15 @@ def test_shards(spark, odd_docs, odd_rows, no_docs):
     assert sharding.pack_shards(no_docs).count() == 0
 
 
+def test_shards_keep_groups_whole_beside_a_large_document(spark):
+    """A document above a shard's capacity is no reason to split groups that fit."""
+    rows = [(0, "L" * 10_000)] + [(1 + 10 * g + i, f"{g}" * 60) for g in range(10) for i in range(10)]
+    text, shards = dict(rows), defaultdict(set)
+    for r in sharding.pack_shards(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=4).collect():
+        shards[text[r.doc_id]].add(r.shard)
+    assert len(shards) == 11 and all(len(s) == 1 for s in shards.values())
+
+
 # --- 7 media
 
 
