@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by a depth-limited radix sort of suffixes."""
+"""Removal of repeated byte strings by anchored hash grouping of suffixes, through a limited depth."""
 
 from __future__ import annotations
 
@@ -185,8 +185,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     """Remove from each text every byte covered by a string of ``depth`` bytes that also starts anywhere
     else in the corpus, same text included; all strings are judged on the input.
 
-    Suffixes are sorted through ``depth`` bytes by digit passes, most significant first, each an
-    aggregation by key that drops the suffixes left alone in their group:
+    Suffixes are grouped by hashes of ever more of their first ``depth`` bytes, in place of the digit passes
+    of a radix sort; each pass is an aggregation by key that drops the suffixes left alone in their group:
 
     1. the anchor, the least-hashed gram among the suffix's first ``depth`` bytes. It depends on those
        bytes alone, so equal strings share it, and neighbours that share it travel as one row;
