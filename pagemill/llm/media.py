@@ -91,17 +91,40 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _sections(packets: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """Table sections that begin and end in one packet and whose checksum holds."""
-    out = []
-    for p in packets[starts]:
-        body = p[4 + (int(p[4]) + 1 if p[3] & 0x20 else 0) :].tobytes()
-        body = body[1 + body[0] :] if body else b""
-        if len(body) >= 12:
-            section = body[: 3 + (int.from_bytes(body[1:3], "big") & 0xFFF)]
-            if len(section) >= 12 and crc_mpeg(section) == 0 and section not in out:
+def _sections(packets: np.ndarray) -> tuple[list[bytes], int]:
+    """Table sections of one PID's packets, joined from each unit start on and cut by their lengths, one of
+    each; and how many are incomplete or fail their checksum."""
+    out, bad, part, last = [], 0, b"", None
+
+    def cut(part: bytes) -> bytes:
+        nonlocal bad
+        while len(part) >= 3 and part[0] != 0xFF:
+            size = 3 + (int.from_bytes(part[1:3], "big") & 0xFFF)
+            if len(part) < size:
+                break
+            section, part = part[:size], part[size:]
+            if not section[1] & 0x80 or section in out:  # without the long form there is no checksum
+                continue
+            if size >= 12 and crc_mpeg(section) == 0:
                 out.append(section)
-    return out
+            else:
+                bad += 1
+        return part if part[:1] != b"\xff" else b""
+
+    for p in packets[packets[:, 3] & 0x10 > 0]:
+        if last is not None and (p == last).all():
+            continue  # a duplicate
+        if part and (int(p[3]) - int(last[3])) & 15 != 1:
+            bad, part = bad + 1, b""
+        last = p
+        body = p[4 + (int(p[4]) + 1 if p[3] & 0x20 else 0) :].tobytes()
+        if p[1] & 0x40 and body:
+            if part:
+                bad += len(cut(part + body[1 : 1 + body[0]])) > 0
+            part = cut(body[1 + body[0] :])
+        elif part:
+            part = cut(part + body)
+    return out, bad + (len(part) > 0)
 
 
 def demux(media: bytes | None) -> dict:
@@ -109,21 +132,24 @@ def demux(media: bytes | None) -> dict:
     timestamps and random-access points, and the payload, in order of the packets.
 
     A packet without its sync byte or with the error flag, and bytes after the last whole packet, count
-    as errors and are passed over. A packet whose counter does not follow its stream's last counts as a continuity
+    as errors and are passed over; so do table sections that are incomplete or fail their checksum. A packet whose counter does not follow its stream's last counts as a continuity
     error; one that repeats it is a duplicate and is dropped. Null or empty: nothing found."""
     raw = np.frombuffer(media or b"", np.uint8)
     packets = raw[: len(raw) // PACKET * PACKET].reshape(-1, PACKET)
     good = (packets[:, 0] == 0x47) & (packets[:, 1] & 0x80 == 0)
     errors, packets = int((~good).sum()) + (len(raw) % PACKET > 0), packets[good]
     pid = (packets[:, 1] & 0x1F).astype(np.int64) << 8 | packets[:, 2]
-    first = packets[:, 1] & 0x40 > 0
     programs, streams, units, parts, broken, offset = [], [], [], [], 0, 0
-    for s in _sections(packets, np.flatnonzero((pid == PAT_PID) & first)):
+    sections, bad = _sections(packets[pid == PAT_PID])
+    errors += bad
+    for s in sections:
         if s[0] == 0:
             pairs = [(s[i] << 8 | s[i + 1], (s[i + 2] & 0x1F) << 8 | s[i + 3]) for i in range(8, len(s) - 4, 4)]
             programs += [p for p in pairs if p[0] and p not in programs]
-    for _, pmt in programs:
-        for s in _sections(packets, np.flatnonzero((pid == pmt) & first)):
+    for pmt in dict.fromkeys(p for _, p in programs):
+        sections, bad = _sections(packets[pid == pmt])
+        errors += bad
+        for s in sections:
             i = 12 + ((s[10] & 0x0F) << 8 | s[11])
             while s[0] == 2 and i + 5 <= len(s) - 4:
                 found = ((s[i + 1] & 0x1F) << 8 | s[i + 2], s[i])

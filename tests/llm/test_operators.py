@@ -319,6 +319,29 @@ def test_stream_faults():
     assert media.demux(bytes(bad))["errors"] == 1
 
 
+def table_packets(pid, sections, start=0):
+    body = b"\0" + b"".join(sections)
+    parts = [body[i : i + 184].ljust(184, b"\xff") for i in range(0, len(body), 184)]
+    return [bytes([0x47, 0x40 * (not i) | pid >> 8, pid & 255, 0x10 | (start + i) & 15]) + p for i, p in enumerate(parts)]
+
+
+def test_stream_tables_over_packets():
+    payload = b"y" * 5000
+    packets = [media.mux(payload)[i : i + 188] for i in range(0, len(media.mux(payload)), 188)]
+    es = [x for x in packets if (x[1] & 0x1F) << 8 | x[2] == media.ES_PID]
+    pat = table_packets(0, [media._section(0, 1, bytes([0, 1, 0xE1, 0])), media._section(0, 1, bytes([0, 2, 0xE1, 0x10]))])
+    told = b"".join(bytes([6, 0xE0 | p >> 8, p & 255, 0xF0, 3, 1, 1, 0]) for p in [*range(0x200, 0x240), media.ES_PID])
+    pmt = table_packets(media.PMT_PID, [media._section(2, 1, bytes([0xE1, 1, 0xF0, 0]) + told)])
+    assert len(pmt) > 2
+    got = media.demux(b"".join(pat + pmt[:1] + pmt[:1] + pmt[1:] + es))
+    assert got["payload"] == payload and len(got["streams"]) == 65 and got["errors"] == 0
+    assert [p["number"] for p in got["programs"]] == [1, 2]
+    assert media.demux(b"".join(pat + pmt[:-1] + es))["errors"] == 1
+    assert media.demux(b"".join(pat + pmt[:1] + pmt[2:] + es))["errors"] == 1
+    wrong = pmt[0][:-1] + bytes([pmt[0][-1] ^ 1])
+    assert media.demux(b"".join([*pat, wrong, *pmt[1:], *es]))["errors"] == 1
+
+
 def test_media(odd_docs, odd_rows, no_docs):
     rows = media.read_media(media.store_media(odd_docs)).collect()
     want = Counter()
