@@ -9,19 +9,13 @@ from pyspark.sql import functions as F
 def json_path(data: Column, path: str) -> Column:
     """The value at a dotted path as text: digits index lists, a list of one and @value are unwrapped, a
     longer list without an index gives null."""
-    forms = [""]
-    for part in path.split("."):
-        step = f"[{part}]" if part.isdigit() else f"['{part}']"
-        forms = [f + lead + step for f in forms for lead in ([""] if part.isdigit() else ["", "[0]"])]
-    found = []
-    for form in forms[:32]:
-        guard = F.lit(True)
-        head = form
-        while "[0]['" in head:  # a list is unwrapped only if it holds one value
-            head = head[: head.rindex("[0]['")]
-            guard = guard & F.get_json_object(data, f"${head}[1]").isNull()
-        found.append(F.when(guard, F.get_json_object(data, f"${form}")))
-    value = F.coalesce(*found)
+    steps = [f"[{part}]" if part.isdigit() else f"['{part}']" for part in path.split(".")]
+    at = lambda p: F.call_function("get_json_object", data, p)
+
+    def walk(p: Column, step: Column) -> Column:  # a list of one gives way to its value before a name
+        return F.concat(p, F.when(step.startswith("['") & (F.json_array_length(at(p)) == 1), "[0]").otherwise(""), step)
+
+    value = at(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit("$"), walk))
     inner = F.get_json_object(value, "$['@value']")
     single = F.when(F.get_json_object(value, "$[1]").isNull(), F.get_json_object(value, "$[0]"))
     return F.when(value.startswith("{") & inner.isNotNull(), inner).when(value.startswith("["), single).otherwise(value)

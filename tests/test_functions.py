@@ -93,6 +93,17 @@ def test_json_path(spark):
     assert {p: one(spark, paths.json_path(F.col("d"), p), d=data) for p in want} == want
 
 
+def test_json_path_of_many_names(spark):
+    names = "a.b.c.d.e.f.g.h"
+    for lists in (set(), {"a"}, {"b", "f"}, set("abcdefgh")):
+        for n in (1, 2):
+            data = "x"
+            for name in reversed(names.split(".")):
+                data = {name: [data] * n if name in lists else data}
+            want = "x" if n == 1 or not lists else None
+            assert one(spark, paths.json_path(F.col("d"), names), d=json.dumps(data)) == want
+
+
 @pytest.mark.parametrize(
     "payload, style, following",
     [
