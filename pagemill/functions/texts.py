@@ -14,11 +14,19 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once a row however often, and in whatever lambda, it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shingles(words: Column, size: int = 3) -> Column:
     """Runs of ``size`` words; of fewer words, all of them as one."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(n > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1)))
+        return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, cut)
 
 
 def md5_long(text: Column) -> Column:
