@@ -10,11 +10,11 @@ from pyspark.sql.window import Window
 
 from .storage import Stash, hidden, shown, text_digest
 
-LARGE = 4096  # groups of at least 1/LARGE of all bytes are packed one by one: at most LARGE of them
-CRATES = 16384  # smaller groups are packed by the crate, a bucket of their digest
+HEAD = 16384  # groups, the largest ones, that go through the tree on the driver
 SALTS = 1024  # parts of a group that no shard could hold
+DIGIT = 3  # hexadecimal digits of a group's place that one pass looks at
+SIZE_DIGITS = 12  # hexadecimal digits of a text's bytes
 SLOT_ROWS = 2048  # rows to number in one group
-UNIT_ROWS = LARGE + CRATES + LARGE * 2
 
 
 class _Tree:
@@ -86,17 +86,58 @@ def best_fit_decreasing(sizes: list[int], capacity: int, n_bins: int | None = No
     return out
 
 
-def pack_shards(docs: DataFrame, n_shards: int = 24, overhead: int = 8, tolerance: float = 0.02, keep_text: bool = False) -> DataFrame:
-    """Deal documents to n_shards of near equal bytes; equal texts stay together.
+def _level(filled: list[int], more: int) -> int:
+    """The height up to which bins filled that far come when ``more`` goes into the lowest ones."""
+    have, n = sorted(filled), 0
+    for n in range(1, len(have) + 1):
+        height = -(-(more + sum(have[:n])) // n)
+        if n == len(have) or height <= have[n]:
+            return height
+    return 0
+
+
+def _cuts(tail: DataFrame, targets: list[int]) -> list[str]:
+    """For each target, a number of bytes, the place (a text) of the group in which the running sum of ``tail``
+    (place, bytes), in order of place, comes to it. Looks at DIGIT digits a pass, of those groups only that begin
+    as a target's does, so the driver sees at most 16^DIGIT sums for each target and pass."""
+    found = [("", 0)] * len(targets)  # the digits so far, and the bytes of all groups before those
+    for length in range(DIGIT, SIZE_DIGITS + 32 + DIGIT, DIGIT):
+        open_ = sorted({p for p, _ in found if len(p) == length - DIGIT})
+        if not open_:
+            break
+        head = F.substring("place", 1, length - DIGIT)
+        sums = tail.where(head.isin(open_) if length > DIGIT else F.lit(True)).groupBy(F.substring("place", 1, length).alias("p"))
+        by_head: dict[str, list] = {}
+        for p, b, n, one in sums.agg(F.sum("bytes"), F.count(F.lit(1)), F.min("place")).collect():
+            by_head.setdefault(p[: length - DIGIT], []).append((p, b, n, one))
+        for i, target in enumerate(targets):
+            p, before = found[i]
+            if len(p) != length - DIGIT:
+                continue
+            for q, b, n, one in sorted(by_head[p]):
+                if before + b >= target:
+                    break
+                before += b
+            # alone: its whole place is known
+            found[i] = (one if n == 1 else q, before)
+    return [p for p, _ in found]
+
+
+def pack_shards(docs: DataFrame, n_shards: int = 24, overhead: int = 8, keep_text: bool = False, capacity: int | None = None, head: int = HEAD) -> DataFrame:
+    """Deal documents to n_shards of near equal bytes, or to as few as hold ``capacity`` bytes each; equal texts stay together.
 
     A document's size is its text's UTF-8 bytes plus overhead. Groups of equal texts (null is a text
-    of its own here) are indivisible units while a shard can hold them. Units are bounded in number
-    however many documents there are: groups of at least 1/LARGE of all bytes stand alone, smaller
-    ones share one of CRATES crates, and a group beyond a shard's capacity is salted by doc_id into
-    at most SALTS parts. The driver packs only those units. When a shard comes out more than
-    ``tolerance`` above the mean, and above the largest document, packings with groups of more than half, a
-    quarter, ... of the capacity salted too are tried; one is taken only if its fullest shard has less than
-    with any coarser split. So groups that fit stay whole where a split gains nothing.
+    of its own here) are indivisible; only a group of more bytes than a shard's capacity is dealt in parts, SALTS
+    hashes of doc_id. Groups go in by falling size, each to the bin with the least room that
+    holds it, or with most room if none does. The ``head`` largest groups take that way one by one, through the tree, on the driver.
+    Of the rest each has less than 1/head of all bytes, and what the rule does with such a stream is to
+    fill the bin with the least room up, then the next one: so the running sum of their bytes, by falling size of the text
+    and then its digest, is cut at the bins' rooms. The cuts are found by digits, in a few passes that the driver sees
+    sums of. A row then tells its shard from the ``head`` groups, broadcast, or from its own size and
+    digest: no group is split, and no table of groups is joined.
+
+    With ``capacity`` each shard's room is kept short of it by the largest group of the rest, so that no
+    cut overfills one; a document of more bytes than the capacity has a shard of its own.
 
     Returns doc_id, text_crc32, size, shard, slot (gapless from 0 within the shard), with keep_text
     all input columns, text included. Null text: no bytes, checksum 0. Null doc_id: as any value.
@@ -110,49 +151,57 @@ def pack_shards(docs: DataFrame, n_shards: int = 24, overhead: int = 8, toleranc
         F.coalesce(text_digest(text), F.lit(b"").cast("binary")).alias("_digest"),
         F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(SALTS)).cast("int").alias("_salt"),
     ]
+    place = F.concat(F.lpad(F.hex(F.lit((1 << 4 * SIZE_DIGITS) - 1) - F.col("_size")), SIZE_DIGITS, "0"), F.rpad(F.hex("_digest"), 32, "0"))
     rows = stash.keep(docs.select("doc_id", *facts), "rows")
-    total, n_rows, largest = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("_size"), F.lit(0))).first()
-    capacity = max(1, -(-total // n_shards))
-    salted = rows.groupBy("_digest", "_salt", "_size").agg(F.count(F.lit(1)).alias("n")).withColumn("bytes", F.col("n") * F.col("_size"))
-    groups = salted.groupBy("_digest").agg(F.sum("bytes").alias("bytes"))
-    large = [(bytes(r[0]), r[1]) for r in groups.where(F.col("bytes") * LARGE >= total).collect()]
-    crate = F.pmod(F.xxhash64("_digest", F.lit(3)), F.lit(CRATES)).cast("int")
-    crates = groups.where(F.col("bytes") * LARGE < total).groupBy(crate.alias("_crate")).agg(F.sum("bytes").alias("bytes"))
-    small = sorted((r[0], r[1]) for r in crates.collect())
-    large.sort()
-    limit, best = capacity, None
-    while True:
-        split = [d for d, b in large if b > limit]
-        parts = []
-        if split:
-            hot = F.broadcast(spark.createDataFrame([(d,) for d in split], "_digest binary"))
-            # as many rows as SALTS for each split group, of which at most n_shards * capacity / limit are
-            got = salted.join(hot, "_digest").groupBy("_digest", "_salt").agg(F.sum("bytes")).collect()
-            parts = sorted((bytes(r[0]), r[1], r[2]) for r in got)
-        units = [(d, -1, -1, b) for d, b in large if b <= limit] + [(d, s, -1, b) for d, s, b in parts] + [(None, -1, c, b) for c, b in small]
-        bins = best_fit_decreasing([u[3] for u in units], capacity, n_shards)
-        filled = [0] * n_shards
-        for u, b in zip(units, bins):
-            filled[b] += u[3]
-        if best is None or max(filled) < best[0]:
-            best = (max(filled), units, bins)
-        if not units or max(filled) <= max(capacity * (1 + tolerance), largest) or limit * 16 < capacity or not any(b * 2 > limit for _, b in large):
-            break
-        limit //= 2
-    _, units, bins = best
-    whole = [(d, b) for (d, s, c, _), b in zip(units, bins) if d is not None and s < 0]
-    part = [(d, s, b) for (d, s, c, _), b in zip(units, bins) if s >= 0]
-    box = [(c, b) for (d, s, c, _), b in zip(units, bins) if c >= 0]
-    # all three are bounded by LARGE, SALTS and CRATES, not by the input
-    whole = F.broadcast(spark.createDataFrame(whole, "_digest binary, _w int"))
-    part = F.broadcast(spark.createDataFrame(part, "_digest binary, _salt int, _p int"))
-    box = F.broadcast(spark.createDataFrame(box, "_crate int, _b int"))
+    total, n_rows = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
+    room = capacity or max(1, -(-total // n_shards))
+    groups = stash.keep(rows.groupBy("_digest", "_size").agg((F.count(F.lit(1)) * F.col("_size")).alias("bytes")), "groups")
+    first = groups.orderBy(F.desc("bytes"), "_digest").limit(head)
+    large = [(bytes(r[0]), r[1]) for r in first.select("_digest", "bytes").collect()]
+    parts = []
+    if split := [d for d, b in large if b > room]:  # fewer than the shards there are bytes for
+        hot = F.broadcast(spark.createDataFrame([(d,) for d in split], "_digest binary"))
+        got = rows.join(hot, "_digest").groupBy("_digest", "_salt").agg(F.sum("_size")).collect()
+        parts = sorted((bytes(r[0]), r[1], r[2]) for r in got)
+    units = [(d, -1, b) for d, b in large if b <= room] + parts
+    bins = best_fit_decreasing([b for *_, b in units], room, None if capacity else n_shards)
+    if capacity:
+        n_shards = max(bins, default=-1) + 1
+    filled = [0] * n_shards
+    for (*_, b), x in zip(units, bins):
+        filled[x] += b
+    seen = F.broadcast(spark.createDataFrame([(d,) for d, _ in large], "_digest binary"))
+    tail = groups.join(seen, "_digest", "left_anti").select(place.alias("place"), "bytes")
+    left, largest = (total - sum(b for _, b in large), large[-1][1] if large else 0)
+    order, cuts = list(range(n_shards)), []
+    if left:
+        if capacity:
+            rooms = [max(0, capacity - largest - x) for x in filled]
+            while sum(rooms) < left:
+                rooms.append(max(1, capacity - largest))
+                filled.append(0)
+            height = [x + r for x, r in zip(filled, rooms)]
+        else:
+            height = [_level(filled, left)] * n_shards
+        order = sorted((b for b in range(len(filled)) if height[b] > filled[b]), key=lambda b: (height[b] - filled[b], b))
+        n_shards, upto, targets = len(filled), 0, []
+        for b in order[:-1]:
+            upto += height[b] - filled[b]
+            if upto < left:
+                targets.append(upto)
+        cuts = _cuts(tail, targets)
+    # bounded by head, SALTS and the shards, not by the input
+    whole = F.broadcast(spark.createDataFrame([(d, b) for (d, s, _), b in zip(units, bins) if s < 0], "_digest binary, _w int"))
+    part = F.broadcast(spark.createDataFrame([(d, s, b) for (d, s, _), b in zip(units, bins) if s >= 0], "_digest binary, _salt int, _p int"))
+    rest = F.lit(order[0] if order else 0)
+    for cut, b in zip(cuts, order[1:]):
+        rest = F.when(F.col("_place") > cut, b).otherwise(rest)
 
     def placed(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_crate", crate).join(whole, "_digest", "left").join(part, ["_digest", "_salt"], "left").join(box, "_crate", "left")
-        buckets = max(1, -(-n_rows // (n_shards * SLOT_ROWS)))
+        df = df.withColumn("_place", place).join(whole, "_digest", "left").join(part, ["_digest", "_salt"], "left")
+        buckets = max(1, -(-n_rows // (max(1, n_shards) * SLOT_ROWS)))
         bucket = F.pmod(F.xxhash64("_digest", "_salt"), F.lit(buckets)).cast("int")
-        return df.select(*[c for c in df.columns if c not in ("_crate", "_salt")], F.coalesce("_w", "_p", "_b").alias("_shard"), bucket.alias("_bucket"))
+        return df.select(*[c for c in df.columns if c not in ("_place", "_salt", "_w", "_p")], F.coalesce("_w", "_p", rest).alias("_shard"), bucket.alias("_bucket"))
 
     dealt = placed(rows)
     before = Window.partitionBy("_shard").orderBy("_bucket")

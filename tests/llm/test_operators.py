@@ -292,6 +292,65 @@ def test_shards_keep_groups_whole_beside_a_large_document(spark):
     assert len(shards) == 11 and all(len(s) == 1 for s in shards.values())
 
 
+def packed_plainly(rows, n, head):
+    """{text: shard} by the rule of pack_shards, in plain Python; groups fit in a shard."""
+    groups = Counter()
+    for _, t in rows:
+        groups[t] += len((t or "").encode()) + 8
+    digest = lambda t: b"" if t is None else hashlib.sha256(t.encode()).digest()[:16]
+    size = lambda t: len((t or "").encode())
+    room = -(-sum(groups.values()) // n)
+    order = sorted(groups, key=lambda t: (-groups[t], digest(t)))
+    room_of, out = [room] * n, {}
+    first = sorted(order[:head], key=lambda t: (-groups[t], order.index(t)))
+    for t in first:
+        fits = [(r, b) for b, r in enumerate(room_of) if r >= groups[t]]
+        out[t] = min(fits)[1] if fits else max((r, b) for b, r in enumerate(room_of))[1]
+        room_of[out[t]] -= groups[t]
+    rest = sorted(order[head:], key=lambda t: (-size(t), digest(t)))
+    filled, left = [room - r for r in room_of], sum(groups[t] for t in rest)
+    height = next(h for h in range(max(filled) + left + 1) if sum(max(0, h - x) for x in filled) >= left)
+    bins = sorted((b for b in range(n) if height > filled[b]), key=lambda b: (height - filled[b], b))
+    done, k, upto = 0, 0, height - filled[bins[0]] if bins else 0
+    for t in rest:
+        while done >= upto and k + 1 < len(bins):
+            k += 1
+            upto += height - filled[bins[k]]
+        out[t] = bins[k]
+        done += groups[t]
+    return out
+
+
+@pytest.mark.parametrize("head", [1000, 40, 1])
+def test_shards_against_plain_packing(spark, head):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abé ", k=rng.choice([3, 30, rng.randint(1, 400)]))) for _ in range(300)] + [None, ""]
+    rows = [(i, rng.choice(texts)) for i in range(900)]
+    got = {}
+    found = sharding.pack_shards(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=6, head=head, keep_text=True).collect()
+    for r in found:
+        assert got.setdefault(r.text, r.shard) == r.shard  # equal texts together
+    assert got == packed_plainly(rows, 6, head)
+    load = Counter()
+    for r in found:
+        load[r.shard] += r["size"]
+    largest = max(Counter({t: sum(len((t or "").encode()) + 8 for _, x in rows if x == t) for t in texts}).values())
+    assert max(load.values()) - min(load.values()) <= 2 * largest
+
+
+@pytest.mark.parametrize("head", [1000, 5])
+def test_fewest_shards_of_a_capacity(spark, head):
+    rng = random.Random(5)
+    rows = [(i, "x" * rng.randint(1, 90) + str(i % 150)) for i in range(400)] + [(900, "y" * 2000)]
+    load, shards = Counter(), defaultdict(set)
+    for r in sharding.pack_shards(spark.createDataFrame(rows, "doc_id long, text string"), capacity=1500, head=head, keep_text=True).collect():
+        load[r.shard] += r["size"]
+        shards[r.text].add(r.shard)
+    assert all(len(s) == 1 for s in shards.values()) and sorted(load) == list(range(len(load)))
+    assert sorted(load.values())[-1] == 2008 and sorted(load.values())[-2] <= 1500
+    assert len(load) <= 1 + 1.25 * (sum(load.values()) - 2008) / 1500 + 1
+
+
 # --- 7 media
 
 
