@@ -14,8 +14,8 @@ from .storage import Stash, hidden, row_key, shown
 from .words import mix, shingles, slices, word_hashes
 
 WORDS = 5
+WORD = r"[^\x20\x09-\x0D]"
 BANDS, ROWS = 25, 5  # a pair of similarity 0.85 shares no band once in 2 million times
-FEW = 16  # members of a bucket that are held against each other one by one
 
 
 @lru_cache(2)
@@ -100,22 +100,25 @@ def components(edges: DataFrame, stash: Stash) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def _prefix_pairs(many: DataFrame, sets: DataFrame, wanted: DataFrame, percent: int, stash: Stash) -> DataFrame:
+def _prefix_pairs(apart: DataFrame, sets: DataFrame, wanted: DataFrame, percent: int, stash: Stash) -> DataFrame:
     """Pairs (id, id2) of different roots among which every link is, by prefix filtering.
 
     With its shingles in one order for all, the rarest first, a set of n linked with one of n2 shares one of its
     first n - least + 1 shingles, least being the overlap that the threshold asks of such sizes. What
-    only one root has among its first shingles is left out."""
-    tokens = many.join(sets, "id").select("id", "root", F.explode("set").alias("token"))
+    only one root has among its first shingles is left out, and so are the pairs within the root that most
+    members of a shingle belong to."""
+    tokens = apart.join(sets, "id").select("id", "root", F.explode("set").alias("token"))
     rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token")) - 1
     placed = tokens.join(rare, "token").withColumn("place", place).join(wanted.select("id", "n"), "id")
     first = stash.keep(placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("token", "id", "root", "n", "place"), "first")
-    met = first.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("token")
+    # of a token's members those of its largest root need not meet each other, so the second side is without them
+    sizes = first.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
+    met = sizes.groupBy("token").agg(F.max(F.struct("m", "root")).alias("big"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", F.col("big.root").alias("big"))
     one = first.join(met, "token")
-    two = one.select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "place")])
+    two = one.where("root <> big").select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "place")])
     least = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-9)
-    near = (F.col("root") < F.col("root2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+    near = ((F.col("root") == F.col("big")) | (F.col("root") < F.col("root2"))) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
     return one.join(two, "token").where(near & (F.col("place") <= F.col("n") - least) & (F.col("place2") <= F.col("n2") - least))
 
 
@@ -125,11 +128,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Words are runs without ASCII white space, A-Z folded. Rows of equal sets form one class first, so
     copies cost one row each. Classes meet where a band of ROWS minima agrees. In each band bucket
     all members are held against its most central one, by signature and then by full set, and
-    linked ones merge. In buckets that still hold more than one component, members of different
-    components meet: each other in buckets of up to FEW, and by the prefix filter in larger ones,
-    which finds every link among them. So no pair that shares a band and is linked stays apart,
-    yet a bucket of thousands of near copies costs about its size, not its square. The signature drops a pair only where six standard errors
-    below the threshold leave no doubt.
+    linked ones merge. Members of buckets that still hold more than one component meet by the prefix filter,
+    whatever the size of their bucket, which finds every link among them. So no pair that shares a band and is
+    linked stays apart, yet a bucket of thousands of near copies costs about its size, not its square. The signature
+    drops a pair only where six standard errors below the threshold leave no doubt.
 
     Returns one row per input row: k1, k2 (hash of doc_id and text), doc_id, n_shingles,
     component_id (least doc_id of the component), kept (doc_id = component_id), first (true for
@@ -151,8 +153,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     shared = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi")).select("band")
     members = stash.keep(bands.join(shared, "band"), "members")
     wanted = stash.keep(members.select("id").distinct().join(classes, "id").select("id", "n", "sig", F.col("least.k1").alias("k1"), F.col("least.k2").alias("k2")), "wanted")
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(wanted.select("k1", "k2", "id"), ["k1", "k2"])
-    texts = texts.dropDuplicates(["k1", "k2"])  # repeated rows; the join has brought them together
+    # repeated rows become one in each task before they are brought together
+    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted.select("k1", "k2", "id"), ["k1", "k2"])
     sets = stash.keep(texts.select("id", "text").mapInArrow(_sets, "id long, set array<long>"), "sets")
     floor = int(np.floor(BANDS * ROWS * (percent / 100 - 6 * np.sqrt(percent * (100 - percent) / 1e4 / (BANDS * ROWS)))))
 
@@ -166,9 +168,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         both = F.size(F.array_intersect("set_a", "set_b"))
         return full.where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent).select("a", "b")
 
-    def pair(x, y):
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
     def pairs_of(df: DataFrame, x: str, y: str) -> DataFrame:
         return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
@@ -180,13 +179,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = stash.keep(linked(star), "links")
     roots = stash.keep(components(links, stash), "roots")
     tagged = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = tagged.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("band", "m")
-    apart = stash.keep(tagged.join(apart, "band"), "apart")
-    few = apart.where(F.col("m") <= FEW)
-    other = few.select("band", F.col("id").alias("id2"), F.col("root").alias("root2"))
-    todo = pairs_of(few.join(other, "band").where(F.col("root") < F.col("root2")), "id", "id2")
-    many = apart.where(F.col("m") > FEW).select("id", "root").distinct()
-    todo = todo.union(pairs_of(_prefix_pairs(many, sets, wanted, percent, stash), "id", "id2")).distinct()
+    apart = tagged.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("band")
+    apart = stash.keep(tagged.join(apart, "band").select("id", "root").distinct(), "apart")
+    todo = pairs_of(_prefix_pairs(apart, sets, wanted, percent, stash), "id", "id2").distinct()
     rest = stash.keep(linked(todo), "links")
     roots = stash.keep(components(rest.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), stash), "roots")
     stash.drop(sets, members)
@@ -203,7 +198,10 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs without near duplicates: of each component one row stays, that of the least
     doc_id (then of the least hash); documents without words all stay. Columns as in docs."""
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
-    found = near_duplicates(docs, percent).where("first").groupBy("k1", "k2").agg(F.max((F.col("n_shingles") > 0).cast("int")).alias("worded"))
-    plain = hidden(docs, k1=k1, k2=k2).join(found, ["k1", "k2"])
-    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("_0"))
-    return plain.withColumn("nth", nth).where((F.col("nth") == 1) | (F.col("worded") == 0)).select(*shown(docs))
+    found = near_duplicates(docs, percent).where("first AND n_shingles > 0").select("k1", "k2").distinct()
+    text = f"_{docs.columns.index('text')}"
+    plain, worded = hidden(docs, k1=k1, k2=k2), F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    # repeated rows become one in each task before they are brought together
+    row = F.struct(*[f"_{i}" for i in range(len(docs.columns))])
+    one = plain.where(worded).groupBy("k1", "k2").agg(F.min_by(row, F.col("_0")).alias("row")).join(found, ["k1", "k2"], "left_semi").select("row.*")
+    return one.unionByName(plain.where(~worded).drop("k1", "k2")).select(*shown(docs))
