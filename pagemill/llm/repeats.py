@@ -220,7 +220,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     names = runs.select("rid", "k1", "k2")
     asked = asked.groupBy("rid").agg(F.collect_list("x").alias("x")).join(names, "rid")
     asked = asked.groupBy("k1", "k2").agg(F.flatten(F.collect_list("x")).alias("asked"))
-    texts = keyed.join(asked, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "asked")
+    # repeated rows become one in each task before they are brought together
+    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(asked, ["k1", "k2"]).select("text", "asked")
     cols = ["rid", "spot", "h", "c", "block", "core", "hull", "anchor"]
     blocks = stash.keep(texts.mapInArrow(_blocks(depth, gram), ", ".join(f"{c} long" for c in cols) + ", wins array<long>"), "blocks")
     twice = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
