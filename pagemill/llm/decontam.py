@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import shown, with_text
+from .storage import Stash, shown, with_text
 from .words import U, mix, slices, word_hashes
 
 WINDOW = 13
@@ -254,7 +254,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     whole texts gets an FM-index over those stretches of words in which each neighbouring pair is a
     pair of some item (no window can lie elsewhere); all windows are searched backwards through the
     ranks of its wavelet matrix, located by sampled suffix positions, and merged into spans. The
-    benchmark is broadcast, and searched, in blocks of about BLOCK words, one pass each, whatever its size.
+    benchmark is broadcast, and searched, in blocks of about BLOCK words, one pass each, whatever its size; a
+    pass is written before the next, and its broadcast freed.
 
     Adds to all columns of docs: n_words, spans (first, last: words; start, stop: bytes of the UTF-8
     text; ends excluded), items (ids of the items with occurring windows, as sorted strings). Null,
@@ -262,6 +263,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     id hits words and is not listed; repeated items count once. Empty benchmark: no spans. Empty
     docs: no rows. Columns of docs with the added names are replaced."""
     spark, columns = docs.sparkSession, ("n_words", "spans", "items")
+    stash, done = Stash(spark, "decontam"), None
     at = f"_{docs.columns.index('text')}"
     out = with_text(docs).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
     parts = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_segments(width), "item string, part long, words array<long>")
@@ -271,11 +273,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
         words = F.coalesce(F.regexp_count("text", F.lit(r"[0-9A-Za-z[^\x00-\x7F]]+")), F.lit(0)).cast("long")
         out = out.withColumn("n_words", words)
         blocks = 0
+    shared = None
     for b in range(blocks):
         rows = parts.where(F.pmod(F.xxhash64("item", "part", "words"), F.lit(blocks)) == b).select("item", "words").collect()
-        if rows:
-            shared = spark.sparkContext.broadcast(Phrases(rows, width))
-            out = out.mapInArrow(_scan(shared), out.schema)
+        if not rows:
+            continue
+        if shared is not None:  # what the block before found is written, so that one block is broadcast at a time
+            before, out = done, stash.keep(out, "found")
+            shared.destroy()
+            if before is not None:
+                stash.drop(before)
+            done = out
+        shared = spark.sparkContext.broadcast(Phrases(rows, width))
+        out = out.mapInArrow(_scan(shared), out.schema)
     return out.withColumnRenamed("text", at).select(*shown(docs, but=columns), *columns)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import shown, with_text
+from .storage import Stash, shown, with_text
 
 TOP = 300  # n-grams of a profile
 LANGS = 256  # profiles in one broadcast
@@ -112,14 +112,22 @@ def identify(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     A document's TOP most frequent n-grams are held against each profile: the distance adds up by
     how many places each n-gram's rank is off, TOP where the profile has none. The nearest language wins,
     ties by name. Null, empty and letterless texts, and all if there are no profiles: lang_pred
-    "und", score 0. Profiles are broadcast LANGS languages at a time, one pass for each such block.
+    "und", score 0. Profiles are broadcast LANGS languages at a time, one pass for each such block, written before
+    the next. A worker holds one text with its n-grams, PIECE characters' worth at a time.
     Repeated rows get equal results. Empty docs: no rows. Columns of docs named lang_pred or score
     are replaced."""
     spark = docs.sparkSession
     at, columns = f"_{docs.columns.index('text')}", ("lang_pred", "score")
     out = with_text(docs).withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
     langs = sorted(r[0] for r in profiles.select("lang").distinct().collect())
+    stash, shared, done = Stash(spark, "langid"), None, None
     for i in range(0, len(langs), LANGS):
+        if shared is not None:  # what the block before found is written, so that one block is broadcast at a time
+            before, out = done, stash.keep(out, "found")
+            shared.destroy()
+            if before is not None:
+                stash.drop(before)
+            done = out
         rows = profiles.where(F.col("lang").isin(langs[i : i + LANGS])).collect()  # TOP rows a language
         shared = spark.sparkContext.broadcast(_Profiles(rows))
 

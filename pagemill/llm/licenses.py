@@ -15,11 +15,17 @@ from .words import slices, word_hashes
 
 COVERAGE = 0.9  # share of a template's words that must be aligned
 
-# The notices looked for.
+# The notices looked for, as their licenses word them, and short forms.
 TEMPLATES = {
+    "AGPL-3.0": [
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for
+        more details.""",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
         the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
         applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
@@ -27,18 +33,42 @@ TEMPLATES = {
         governing permissions and limitations under the License.""",
     ],
     "BSD-2-Clause": [
-        "SPDX-License-Identifier: BSD-2-Clause",
         """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
         following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
         conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
         this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
         distribution.""",
     ],
+    "BSD-3-Clause": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission.""",
+    ],
+    "BSL-1.0": [
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+        transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software
+        is furnished to do so, all subject to the following:""",
+    ],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "Licensed under CC0 1.0 Universal.",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "GPL-2.0": [
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details.""",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
-        "SPDX-License-Identifier: GPL-3.0-only",
         """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
         License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
         version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
@@ -49,9 +79,22 @@ TEMPLATES = {
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
         granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     ],
+    "LGPL-2.1": [
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any
+        later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for
+        more details.""",
+    ],
+    "LGPL-3.0": [
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for
+        more details.""",
+    ],
     "MIT": [
         "Released under the MIT License.",
-        "SPDX-License-Identifier: MIT",
         """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
         documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
         rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
@@ -62,7 +105,21 @@ TEMPLATES = {
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     ],
+    "Unlicense": [
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means.""",
+    ],
+    "Zlib": [
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+        for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+        purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions:""",
+    ],
 }
+TAG = "SPDX-License-Identifier: "  # with its name, a form of each license; GNU ones say which versions
+for _name in TEMPLATES:
+    TEMPLATES[_name] += [TAG + _name, *([f"{TAG}{_name}-only", f"{TAG}{_name}-or-later"] if "GPL" in _name else [])]
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -161,15 +218,16 @@ class _Scanner:
 
 
 @lru_cache(2)
-def _scanner(coverage: float) -> _Scanner:
-    return _Scanner(TEMPLATES, coverage)
+def _scanner(templates: tuple, coverage: float) -> _Scanner:
+    return _Scanner({name: list(forms) for name, forms in templates}, coverage)
 
 
 FOUND = "array<struct<license: string, coverage: double, words: long, start: long, stop: long>>"
 
 
-def scan_licenses(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """Adds licenses, the notices found in each whole text, to all columns of docs.
+def scan_licenses(docs: DataFrame, coverage: float = COVERAGE, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+    """Adds licenses, the notices found in each whole text, to all columns of docs. ``templates`` has the forms of
+    notice of each license; the given ones are notices and short forms, not whole license texts.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z folded. Where a stretch of twice a
     template's length holds enough of its words, the stretch is aligned with it by patience; a notice is
@@ -178,8 +236,10 @@ def scan_licenses(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     and wordless texts: none. Repeated notices and rows repeat. Empty table: no rows. A column of
     docs named licenses is replaced."""
 
+    forms = tuple(sorted((name, tuple(x)) for name, x in templates.items()))
+
     def run(batches):
-        scanner = _scanner(coverage)
+        scanner = _scanner(forms, coverage)
         for batch in batches:
             out = []
             for i, j, data, at in slices(batch.column("text")):

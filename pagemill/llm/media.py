@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import map_batches
+from .storage import Stash, map_batches
 from .words import flat
 
 PACKET, BODY = 188, 184
@@ -190,7 +190,8 @@ def demux(media: bytes | None) -> dict:
 def store_media(docs: DataFrame, column: str = "text") -> DataFrame:
     """Adds media, a transport stream of each value's UTF-8 bytes (or bytes), with zeros appended up to a positive
     multiple of 64, and n_bytes, their number before. Null: as empty, so 64 zeros. Equal values give
-    equal streams. No rows give no rows. All columns of docs stay; one named media or n_bytes is replaced."""
+    equal streams. No rows give no rows. All columns of docs stay; one named media or n_bytes is replaced. A worker
+    holds the values of an Arrow batch and their streams, which are a few hundredths larger."""
 
     def run(batches):
         for batch in batches:
@@ -204,6 +205,12 @@ def store_media(docs: DataFrame, column: str = "text") -> DataFrame:
     return map_batches(docs, run, {"media": F.lit(b"").cast("binary"), "n_bytes": F.lit(0).cast("long")}, column)
 
 
+def write_media(docs: DataFrame, column: str = "text") -> DataFrame:
+    """``store_media`` without the value itself, written to the shared folder and read from there."""
+    stored = store_media(docs, column).drop(column)
+    return Stash(docs.sparkSession, "media").keep(stored, "media", compression="zstd")
+
+
 def read_media(stored: DataFrame) -> DataFrame:
     """Adds what demux finds in each stored stream (column media, null as empty): checksums of the payload
     and of the stream, packet and error counts, program and stream numbers, and the timestamps and

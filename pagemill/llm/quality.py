@@ -112,7 +112,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     Each whole text is a sparse vector of hashed n-grams of words and word shapes; the score is
     its dot product with the weights, through the logistic function. Null, empty and wordless texts have
     the bias only. Repeated rows score alike. An empty table gives no rows. A column of docs named
-    score is replaced."""
+    score is replaced. A worker makes arrays for SLICE bytes of texts at a time, or for one longer text."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS numbers whatever the data
 
     def run(batches):

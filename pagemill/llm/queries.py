@@ -51,7 +51,7 @@ def op6_pack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_media(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    stored = media.write_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = media.read_media(stored)
     points = F.filter("units", lambda u: u["random_access"])
     told = [

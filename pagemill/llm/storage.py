@@ -22,8 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/pagemill"
 
 
+LIVE: list[Stash] = []
+
+
+def release(spark: SparkSession, but: tuple[Stash, ...] = ()) -> None:
+    """Deletes the tables that operators of this session have written, but for those of some stashes. To be called
+    when their results are written: results read these tables until then."""
+    for stash in [s for s in LIVE if s.spark is spark and s not in but]:
+        stash.clear()
+
+
 class Stash:
-    """Tables written during one operator call.
+    """Tables written during one operator call, until ``release``.
 
     ``keep`` writes a DataFrame as Parquet to the shared folder and returns it read back, so that a
     lost executor costs a reread and not the work before. ``drop`` removes a table that no later
@@ -32,26 +42,32 @@ class Stash:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        LIVE.append(self)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")  # what was shuffled for this table goes once it is written
         try:
-            df.write.parquet(path)
+            df.write.options(**options).parquet(path)
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.stash_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
-            at = jvm.org.apache.hadoop.fs.Path(df.stash_path)
-            at.getFileSystem(conf).delete(at, True)
+            self._delete(df.stash_path)
+
+    def clear(self) -> None:
+        self._delete(self.root)
+        LIVE.remove(self)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

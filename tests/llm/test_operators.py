@@ -50,7 +50,7 @@ def test_words_across_pieces(monkeypatch):
 
 
 def test_licenses(spark, odd_docs, no_docs):
-    mit = licenses.TEMPLATES["MIT"][2]
+    mit = licenses.TEMPLATES["MIT"][1]
     body = mit.split()
     body[10] = body[40] = "changed"
     texts = ["x y Released under the MIT License. z", "RELEASED under the mit license released under the MIT license", "Licensed under CC BY-NC 4.0.", "Released under the BSD License", " ".join(body), f"a {mit} b", "the " * 50, None, ""]
@@ -62,6 +62,20 @@ def test_licenses(spark, odd_docs, no_docs):
     assert 0.9 < got[4][0].coverage < 1
     assert licenses.scan_licenses(odd_docs).count() == odd_docs.count()
     assert licenses.scan_licenses(no_docs).count() == 0
+    own = licenses.scan_licenses(docs, templates={"House": ["the house license of this corpus"]}).collect()
+    assert not any(r.licenses for r in own)
+
+
+def test_every_notice_is_found_as_itself(spark):
+    forms = [(name, f) for name, fs in licenses.TEMPLATES.items() for f in fs]
+    rng = random.Random(8)
+    noise = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30))
+    texts = [(i, f"{noise()} {f.upper() if i % 2 else f} {noise()}") for i, (_, f) in enumerate(forms)]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, (name, form) in enumerate(forms):
+        (one,) = got[i]
+        assert (one.license, one.coverage) == (name, 1.0)
+        assert texts[i][1].encode()[one.start : one.stop].decode().lower().startswith(form[:12].lower())
 
 
 @given(st.lists(st.integers(0, 6), max_size=30), st.lists(st.integers(0, 6), max_size=30))
@@ -538,3 +552,20 @@ def test_conversations(spark):
     for c, t, r, x in sorted(rows, key=lambda r: (str(r[0]), -1 if r[1] is None else r[1])):
         want[c].append((r or "", x or ""))
     assert got == dict(want)
+
+
+def test_release_deletes_what_operators_wrote(spark, odd_docs, tmp_path):
+    import os
+
+    from pagemill.llm import storage
+
+    storage.release(spark)
+    root = storage.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    mine = storage.Stash(spark, "mine")
+    kept = mine.keep(odd_docs, "docs")
+    sharding.pack_shards(odd_docs, n_shards=2).write.parquet(f"{tmp_path}/out")
+    storage.release(spark, but=(mine,))
+    assert kept.count() == odd_docs.count() and len(set(os.listdir(root)) - before) == 1
+    storage.release(spark)
+    assert set(os.listdir(root)) == before
