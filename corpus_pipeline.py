@@ -43,7 +43,10 @@ ORACLE_SQL = None  # the hashes behind the shuffle and the packing have no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Of the tables behind it only its input stays, until storage.release(spark)."""
     docs, stash = table(spark, sf_dir, "documents"), Stash(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
-        docs = stash.keep(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stash.keep(stage(spark, docs, sf_dir), name)
+        if k:
+            stash.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
