@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from os.path import commonprefix
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from .storage import Stash, hidden, shown, text_digest
 
 HEAD = 16384  # groups, the largest ones, that go through the tree on the driver
 SALTS = 1024  # parts of a group that no shard could hold
-DIGIT = 3  # hexadecimal digits of a group's place that one pass looks at
+DIGIT = 2  # hexadecimal digits of a group's place that one pass looks at
 SIZE_DIGITS = 12  # hexadecimal digits of a text's bytes
 SLOT_ROWS = 2048  # rows to number in one group
 
@@ -100,15 +101,19 @@ def _cuts(tail: DataFrame, targets: list[int]) -> list[str]:
     """For each target, a number of bytes, the place (a text) of the group in which the running sum of ``tail``
     (place, bytes), in order of place, comes to it. Looks at DIGIT digits a pass, of those groups only that begin
     as a target's does, so the driver sees at most 16^DIGIT sums for each target and pass."""
-    found = [("", 0)] * len(targets)  # the digits so far, and the bytes of all groups before those
-    for length in range(DIGIT, SIZE_DIGITS + 32 + DIGIT, DIGIT):
+    if not targets:
+        return []
+    shared = commonprefix(list(tail.agg(F.min("place"), F.max("place")).first()))
+    found = [(shared, 0)] * len(targets)  # the digits so far, and the bytes of all groups before those
+    for length in range(len(shared) + DIGIT, SIZE_DIGITS + 32 + DIGIT, DIGIT):
         open_ = sorted({p for p, _ in found if len(p) == length - DIGIT})
         if not open_:
             break
         head = F.substring("place", 1, length - DIGIT)
-        sums = tail.where(head.isin(open_) if length > DIGIT else F.lit(True)).groupBy(F.substring("place", 1, length).alias("p"))
+        sums = tail.where(head.isin(open_)).groupBy(F.substring("place", 1, length).alias("p"))
+        sums = sums.agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"), F.min("place").alias("one"))
         by_head: dict[str, list] = {}
-        for p, b, n, one in sums.agg(F.sum("bytes"), F.count(F.lit(1)), F.min("place")).collect():
+        for p, b, n, one in sums.select("p", "b", "n", F.when(F.col("n") == 1, F.col("one"))).collect():
             by_head.setdefault(p[: length - DIGIT], []).append((p, b, n, one))
         for i, target in enumerate(targets):
             p, before = found[i]
