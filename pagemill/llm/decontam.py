@@ -11,7 +11,7 @@ from .storage import Stash, shown, with_text
 from .words import U, mix, slices, word_hashes
 
 WINDOW = 13
-SHARD = 1 << 24  # bytes of text that one index covers; a longer text has its own
+SHARD = 1 << 22  # bytes of text that one index covers; a longer text has its own
 SEGMENT = 4096  # words of an item that travel in one row
 BLOCK = 1 << 18  # words of the benchmark that are searched for, and broadcast, at a time
 SAMPLE = 8  # of each so many text positions, one is kept to locate rows

@@ -16,7 +16,7 @@ from .storage import Stash, shown, with_text
 TOP = 300  # n-grams of a profile
 LANGS = 256  # profiles in one broadcast
 UND = "und"
-PIECE = 1 << 21  # characters that arrays are made for at a time
+PIECE = 1 << 19  # characters that arrays are made for at a time
 
 
 @lru_cache(1)

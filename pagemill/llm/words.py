@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21  # bytes of text that byte-wise arrays are made for at a time
+SLICE = 1 << 19  # bytes of text that byte-wise arrays are made for at a time
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
