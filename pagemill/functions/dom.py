@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import escape
 from html.parser import HTMLParser
 
 # Of the HTML standard.
@@ -10,6 +11,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 BOUND = {"li": {"ul", "ol"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
+RAW = {"script", "style"}
 SILENT = {"script", "style", "noscript", "template"}
 
 
@@ -40,6 +42,20 @@ class Node:
     def text(self, skip=frozenset()) -> str:
         return "".join(self.pieces(skip))
 
+    def markup(self) -> str:
+        """The element with all below, written out: references in text and values, void elements without an end."""
+        out, todo = [], [self]
+        while todo:
+            n = todo.pop()
+            if isinstance(n, Node):
+                out.append("<" + n.tag + "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items()) + ">")
+                if n.tag not in VOID:
+                    todo.append(("</" + n.tag + ">",))
+                    todo += [(c,) if n.tag in RAW and isinstance(c, str) else c for c in reversed(n.children)]
+            else:
+                out.append(n[0] if isinstance(n, tuple) else escape(n, quote=False))
+        return "".join(out)
+
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
 
@@ -54,7 +70,9 @@ class _Builder(HTMLParser):
             self._close({"p"}, {"button", "td", "th", "table"})
         if tag in SAME:
             self._close(SAME[tag], BOUND.get(tag, {"table"}))
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.here)
+        node = Node(tag, {}, self.here)
+        for k, v in attrs:  # of an attribute that repeats the first counts
+            node.attrs.setdefault(k, v or "")
         self.here.children.append(node)
         if tag not in VOID:
             self.here = node

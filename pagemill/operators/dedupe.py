@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagemill.functions import texts
+from pagemill.operators.gate import first_of
 
 BITS, THRESHOLD, MIN_TOKENS = 60, 6, 30
+STEPS = 3  # of near_leaders before its state is written
 
 
 def exact(df: DataFrame, key: str, text: str, order: str, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -19,41 +23,61 @@ def exact(df: DataFrame, key: str, text: str, order: str, min_tokens: int = MIN_
     return long.join(first, "digest").where(F.col(key) != F.col("of_key")).select(key, "of_key")
 
 
-def near_pairs(prints: DataFrame, key: str, threshold: int = THRESHOLD, bits: int = BITS) -> DataFrame:
+def near_pairs(prints: DataFrame, key: str, threshold: int = THRESHOLD, bits: int = BITS, blocks: int = 9) -> DataFrame:
     """(a, b, distance) of different fingerprints within the threshold, a < b by key.
 
-    Of threshold + 1 disjoint bands two such fingerprints share one, so only those that do are compared.
-    Equal fingerprints should be one row before, as in ``near_groups``."""
-    bands = threshold + 1
-    width = -(-bits // bands)
-    band = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright("fingerprint", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("v")) for i in range(bands)])
-    cut = prints.select(key, "fingerprint", F.explode(band).alias("band"))
-    other = cut.select("band", F.col(key).alias("b"), F.col("fingerprint").alias("fb"))
-    distance = texts.hamming(F.col("fingerprint"), F.col("fb"))
-    met = cut.join(other, "band").where((F.col(key) < F.col("b")) & (distance <= threshold))
-    return met.select(F.col(key).alias("a"), "b", distance.alias("distance")).distinct()
+    Of ``blocks`` disjoint blocks of bits two such fingerprints share all but ``threshold`` at least, so those
+    meet that agree in some choice of blocks - threshold of them: 84 keys of 20 bits each, in place of the 7 keys of
+    9 bits that single blocks give. A key of 20 bits has 2,000 times the values of one of 9. A pair is kept by the first choice that
+    it agrees in, so none comes twice. Equal fingerprints should be one row before, as in ``near_leaders``."""
+    width = -(-bits // blocks)
+    part = [F.shiftright("fingerprint", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for i in range(blocks)]
+    masks = [sum(((1 << width) - 1) << i * width for i in choice) & ((1 << bits) - 1) for choice in combinations(range(blocks), blocks - threshold)]
+    keys = F.array(*[F.xxhash64(F.lit(n), *[part[i] for i in choice]) for n, choice in enumerate(combinations(range(blocks), blocks - threshold))])
+    cut = prints.select(F.col(key).alias("a"), "fingerprint", F.posexplode(keys).alias("n", "k"))
+    shared = cut.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k")
+    cut = cut.join(shared, "k")
+    other = cut.select("k", "n", F.col("a").alias("b"), F.col("fingerprint").alias("fb"))
+    differ = F.col("fingerprint").bitwiseXOR(F.col("fb"))
+    earlier = F.exists(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).cast("long").alias("m")) for n, m in enumerate(masks)]), lambda x: (x["n"] < F.col("n")) & (differ.bitwiseAND(x["m"]) == 0))
+    met = cut.join(other, ["k", "n"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= threshold))
+    return met.where(~earlier).select("a", "b", F.bit_count(differ).alias("distance"))
 
 
 def near_leaders(df: DataFrame, key: str, text: str, keep_table, threshold: int = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(key, leader): each page of enough words and the earliest kept page within the threshold, itself if kept.
 
     A page is kept if no page kept before it is that near; keys give the order. Exact copies follow their first.
-    Rounds settle all pages whose earlier neighbours are settled, as many rounds as the longest chain of
-    near pages; ``keep_table`` writes each round's table."""
+    Each step settles the pages whose earlier neighbours are settled; settled pages and their pairs leave, so that
+    tables shrink from round to round, and a round takes STEPS steps before it writes. A chain of pages each near the next
+    needs a step for each two of them: that is the order's own nature, and rounds end when nothing is open."""
     long = df.where(F.size(texts.tokens(F.col(text))) >= min_tokens)
-    prints = texts.simhash(long, key, texts.tokens(F.col(text)))
-    prints = keep_table(prints)
+    prints = keep_table(texts.simhash(long, key, texts.tokens(F.col(text))))
     groups = prints.groupBy("fingerprint").agg(F.min(key).alias("node"))
+    kind = groups.schema["node"].dataType
     pairs = keep_table(near_pairs(groups, "node", threshold).select("a", "b"))
-    state = keep_table(groups.select("node", F.lit(None).cast(groups.schema["node"].dataType).alias("leader")))
-    while not state.where(F.col("leader").isNull()).isEmpty():
-        known = state.select(F.col("node").alias("a"), F.col("leader").alias("la"))
-        before = pairs.join(known, "a").groupBy("b").agg(F.min(F.when(F.col("la") == F.col("a"), F.col("a"))).alias("lead"), F.count_if(F.col("la").isNull()).alias("open"), F.min(F.when(F.col("la").isNull(), F.col("a"))).alias("first_open"))
-        met = state.join(before.withColumnRenamed("b", "node"), "node", "left")
-        # settled once the earliest leader precedes all open neighbours, or none is open
-        sure = F.when(F.coalesce("open", F.lit(0)) == 0, F.coalesce("lead", "node")).when(F.col("lead") < F.col("first_open"), F.col("lead"))
-        state = keep_table(met.select("node", F.coalesce("leader", sure).alias("leader")))
-    back = groups.join(state, "node").select("fingerprint", "leader")
+    done, state = [], pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("leader", F.lit(None).cast(kind))
+    while True:
+        for _ in range(STEPS):
+            known = state.select(F.col("node").alias("a"), F.col("leader").alias("la"))
+            before = pairs.join(known, "a").groupBy(F.col("b").alias("node")).agg(
+                F.min(F.when(F.col("la") == F.col("a"), F.col("a"))).alias("lead"), F.min(F.when(F.col("la").isNull(), F.col("a"))).alias("open"),
+            )
+            # settled once the earliest leader precedes all open neighbours, or none is open
+            sure = F.when(F.col("open").isNull(), F.coalesce("lead", "node")).when(F.col("lead") < F.col("open"), F.col("lead"))
+            state = state.join(before, "node", "left").select("node", F.coalesce("leader", sure).alias("leader"))
+        state = keep_table(state)
+        done.append(state.where("leader IS NOT NULL"))
+        open_ = state.where("leader IS NULL")
+        if open_.isEmpty():
+            break
+        # settled leaders still decide for the open pages next to them; nothing else does
+        pairs = keep_table(pairs.join(open_.select(F.col("node").alias("b")), "b", "left_semi"))
+        still = pairs.select("a").distinct().join(done[-1].where("leader = node").select(F.col("node").alias("a")), "a", "left_semi")
+        pairs = keep_table(pairs.join(open_.select(F.col("node").alias("a")).union(still), "a", "left_semi"))
+        state = open_.unionByName(still.select(F.col("a").alias("node"), F.col("a").alias("leader")))
+    settled = reduce(DataFrame.unionByName, done).distinct()
+    back = groups.join(settled, "node", "left").select("fingerprint", F.coalesce("leader", "node").alias("leader"))
     return prints.join(back, "fingerprint").select(key, "leader")
 
 
@@ -62,9 +86,17 @@ def canonical_duplicates(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("canonical_key").isNotNull() & (F.col("canonical_key") != F.col("key"))).select("key", "canonical_key")
 
 
-def soft_404(df: DataFrame, key: str, text: str, pattern: str | None = None) -> DataFrame:
-    """df with soft_404: no text, or a phrase that says the page is missing among few words."""
-    return df.withColumn("soft_404", texts.says_missing(F.col(text)))
+def soft_404(df: DataFrame, key: str, text: str, records: str | None = None) -> DataFrame:
+    """df with soft_404: no text, or a phrase that says the page is missing among few words; never where
+    ``records``, a count, is above 0."""
+    found = F.coalesce(F.col(records), F.lit(0)) > 0 if records else F.lit(False)
+    return df.withColumn("soft_404", ~found & texts.says_missing(F.col(text)))
+
+
+def burnt(df: DataFrame, pattern: str, seq: str, soft: str = "soft_404") -> DataFrame:
+    """Rows that come after a soft 404 of their pattern: its budget is spent then."""
+    hits = df.where(F.col(soft)).groupBy(pattern).agg(F.min(seq).alias("_hit"))
+    return df.join(hits, pattern).where(F.col(seq) > F.col("_hit")).drop("_hit")
 
 
 def stub_pages(df: DataFrame, key: str, text: str, corroboration: int = 3, keep_table=lambda t: t) -> DataFrame:
@@ -74,9 +106,10 @@ def stub_pages(df: DataFrame, key: str, text: str, corroboration: int = 3, keep_
     prints = keep_table(texts.simhash(thin, key, texts.tokens(F.col(text))))
     same = prints.groupBy("fingerprint").agg(F.min(key).alias("node"))
     lead = near_pairs(same, "node").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("lead"))
-    grouped = prints.join(same.join(lead, "node", "left").select("fingerprint", F.coalesce("lead", "node").alias("lead")), "fingerprint")
-    nth = F.row_number().over(Window.partitionBy("lead").orderBy(key))
-    return grouped.withColumn("nth", nth).where(F.col("nth") >= corroboration).select(key)
+    grouped = prints.join(same.join(lead, "node", "left").select("fingerprint", F.coalesce("lead", "node").alias("lead")), "fingerprint").select(key, "lead")
+    # the place in each group from which pages are stubs
+    third = first_of(grouped, "lead", [F.col(key)], corroboration).where(F.col("nth") == corroboration).select("lead", F.col(key).alias("_from"))
+    return grouped.join(third, "lead").where(F.col(key) >= F.col("_from")).select(key)
 
 
 def new_records(records: DataFrame, stored: DataFrame | None, keys: list[str]) -> DataFrame:

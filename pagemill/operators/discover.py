@@ -38,11 +38,11 @@ def endpoints(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     def run(batches):
         for batch in batches:
             found = [_told(x.as_py()) for x in batch.column(2)]
-            columns = [batch.column(0), batch.column(1), pa.nulls(len(batch), pa.string()), pa.array([x[0] for x in found], batch.schema.field("told").type), pa.array([x[1] for x in found], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            columns = [batch.column(0), batch.column(1), pa.array([x[0] for x in found], batch.schema.field("told").type), pa.array([x[1] for x in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "html"])
 
     plain = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), F.lit(None).cast(TOLD).alias("told"), F.lit(None).cast("string").alias("state"))
-    read = plain.mapInArrow(run, plain.schema)
+    read = plain.mapInArrow(run, plain.drop("html").schema)
     declared = F.transform("told", lambda x: F.struct(urls.join(F.col("url"), x["href"]).alias("endpoint"), x["kind"].alias("kind"), F.lit("declared").alias("confidence"), x["title"].alias("title")))
     route = next_data_url(F.col("url"), F.get_json_object("state", "$.buildId"))
     derived = F.array(F.struct(route.alias("endpoint"), F.lit("next_data").alias("kind"), F.lit("derived").alias("confidence"), F.lit(None).cast("string").alias("title")))

@@ -18,7 +18,13 @@ STATES = ["__NEXT_DATA__", "__NUXT_DATA__", "__APOLLO_STATE__", "__INITIAL_STATE
 BOILERPLATE = re.compile(r"nav|menu|sidebar|footer|header|comment|share|related|promo|advert|banner|breadcrumb|cookie", re.I)
 CONTENT = re.compile(r"article|content|post|entry|story|body|text|main", re.I)
 DROPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "iframe", "svg"}
-META = {"title": ["og:title", "twitter:title"], "description": ["og:description", "twitter:description", "description"], "site_name": ["og:site_name"], "kind": ["og:type"], "image": ["og:image", "twitter:image"], "video": ["og:video", "og:video:url"], "published_at": ["article:published_time", "og:published_time"], "author": ["author", "article:author"]}
+# Names of meta tags and the fields they fill.
+META = dict(x.split("=") for x in """
+og:title=title og:description=description og:url=canonical og:site_name=site_name og:type=kind og:image=image og:image:secure_url=image
+og:video=video og:video:url=video og:video:secure_url=video og:video:type=video_type article:published_time=published_at article:author=author
+twitter:title=title twitter:description=description twitter:image=image twitter:player=video description=description author=author
+og:video:duration=duration_s video:duration=duration_s
+""".split())
 WORD = re.compile(r"[0-9a-zA-ZÀ-ɏ가-힣一-鿿ぁ-んァ-ヶ]+")
 
 
@@ -42,14 +48,21 @@ def _visible(tree, _):
 
 
 def _meta(tree, _):
-    have = {}
+    """Fields of meta tags, the first value of each in the page; other og: and twitter: names as they are."""
+    out = {}
     for n in dom.select(tree, "meta"):
-        name, value = n.attrs.get("property") or n.attrs.get("name"), (n.attrs.get("content") or "").strip()
-        if name and value:
-            have.setdefault(name.lower(), value)
-    known = {x for names in META.values() for x in names}
-    out = {k: next(have[n] for n in names if n in have) for k, names in META.items() if any(n in have for n in names)}
-    return out | {k: v for k, v in have.items() if k.startswith(("og:", "twitter:")) and k not in known}
+        name, value = (n.attrs.get("property") or n.attrs.get("name") or "").strip().lower(), (n.attrs.get("content") or "").strip()
+        field = META.get(name) or (name if name.startswith(("og:", "twitter:")) else None)
+        if field == "duration_s":
+            try:
+                out[field] = str(int(float(value)))
+            except (ValueError, OverflowError):
+                continue
+        elif field and value:
+            out.setdefault(field, value)
+    if "canonical" not in out and (link := _canonical(tree, None)):
+        out["canonical"] = link
+    return out
 
 
 def _loads(raw: str):
@@ -156,7 +169,7 @@ def _article(tree, _):
 
 def field_value(node, kind: str, attr: str | None = None):
     if kind == "html":
-        return node.text()
+        return node.markup() if node.tag != "#root" else "".join(c.markup() if isinstance(c, dom.Node) else c for c in node.children)
     if kind == "href":
         return node.attrs.get("href")
     if kind == "src":
@@ -198,10 +211,11 @@ def extract(pages: DataFrame, parts: list[str], spec: dict | None = None, html:
             for p in parts:
                 found, kind = [PARTS[p][0](t, spec) for t in trees], batch.schema.field(p).type
                 cols[p] = pa.array([list(map(_pairs, x)) if pa.types.is_list(kind) and pa.types.is_map(kind.value_type) else _pairs(x) if pa.types.is_map(kind) else x for x in found], kind)
-            yield pa.RecordBatch.from_arrays([cols.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
+            names = [n for n in batch.schema.names if n != html]
+            yield pa.RecordBatch.from_arrays([cols[n] if n in cols else batch.column(n) for n in names], names=names)
 
     plain = pages.withColumns({p: F.lit(None).cast(PARTS[p][1]) for p in parts})
-    return plain.mapInArrow(run, plain.schema).drop(html)
+    return plain.mapInArrow(run, plain.drop(html).schema)
 
 
 def _pairs(x):

@@ -116,3 +116,16 @@ def semantic_text(df: DataFrame, field: str) -> Column:
 def semantic(df: DataFrame, vector: str, reference: list[float], threshold: float = 0.7) -> DataFrame:
     """Rows whose vector is as close to a reference as the threshold, with their score."""
     return df.withColumn("score", texts.cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in reference]))).where(F.col("score") >= threshold)
+
+
+def with_vectors(df: DataFrame, text: str, cache: DataFrame) -> DataFrame:
+    """df with vector, of a cache (text, vector) that has each text once; null where it has none. Each distinct text
+    is looked up once, so that a text of many rows is no hot key of the cache."""
+    wanted = df.select(F.col(text).alias("_text")).where("_text IS NOT NULL").distinct()
+    found = wanted.join(cache.select(F.col("text").alias("_text"), "vector"), "_text")
+    return df.join(found, df[text] == F.col("_text"), "left").drop("_text")
+
+
+def missing_vectors(df: DataFrame, text: str, cache: DataFrame) -> DataFrame:
+    """(text): the distinct texts that a cache lacks."""
+    return df.select(F.col(text).alias("text")).where("text IS NOT NULL").distinct().join(cache.select("text"), "text", "left_anti")

@@ -48,10 +48,30 @@ def reject_reason(normal: Column, depth: Column, limits: Limits) -> Column:
     )
 
 
-def within_budget(df: DataFrame, key: str, order: list, budget: int) -> DataFrame:
-    """Adds nth, a row's place among those of its key. Beyond the budget places need no order of all rows of
-    a key: Spark cuts each group to the budget before it shuffles when filtered by nth <= budget."""
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def first_of(df: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each key, with nth. Each task cuts its keys to that before the shuffle, so a key
+    with any number of rows brings ``most`` of each task together, not all."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("nth", nth).where(F.col("nth") <= most)
+
+
+def within_budget(df: DataFrame, key: str, order: list[str], budget: int, used: DataFrame | None = None) -> DataFrame:
+    """Adds over: whether a row comes after the first ``budget`` ones of its key, less those of ``used`` (key, n).
+
+    Only the place where each key's budget ends is looked for, in the rows of ``first_of``; all rows are then held
+    against that one place, in a join that may split a hot key. Rows with equal ``order`` fare alike."""
+    first = first_of(df.select(key, *order), key, [F.col(c) for c in order], budget)
+    if used is not None:
+        first = first.join(used.select(key, F.col("n").alias("_n")), key, "left").where(F.col("nth") <= budget - F.coalesce("_n", F.lit(0)))
+    place = F.struct(*order)
+    ends = first.groupBy(key).agg(F.max(place).alias("_end"))
+    return df.join(ends, key, "left").withColumn("over", F.coalesce(place > F.col("_end"), F.lit(True))).drop("_end")
+
+
+def exhausted(df: DataFrame, key: str, order: list[str], budget: int) -> DataFrame:
+    """(key, limit, first_over ...) of each key that goes beyond its budget, once: where its first row over it is."""
+    over = first_of(df.select(key, *order), key, [F.col(c) for c in order], budget + 1).where(F.col("nth") == budget + 1)
+    return over.select(key, F.lit(budget).alias("limit"), *order)
 
 
 def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -69,18 +89,39 @@ def admit(candidates: DataFrame, limits: Limits, order: list[str], used: DataFra
     df = candidates.withColumn("normal", urls.normalize(F.col("url"), keep=list(limits.query_whitelist) if limits.query_whitelist else None))
     df = df.withColumn("reject_reason", reject_reason(F.col("normal"), F.col("depth"), limits)).withColumn("pattern", urls.pattern(F.col("normal")))
     passing = df.where(F.col("reject_reason").isNull())
-    ranked = within_budget(passing, "pattern", [F.col(c) for c in order], limits.per_pattern_budget)
-    if used is not None:
-        ranked = ranked.join(used.select("pattern", F.col("n").alias("_used")), "pattern", "left").withColumn("nth", F.col("nth") + F.coalesce("_used", F.lit(0))).drop("_used")
-    ranked = ranked.withColumn("reject_reason", F.when(F.col("nth") > limits.per_pattern_budget, "pattern_budget")).drop("nth")
-    return ranked.unionByName(df.where(F.col("reject_reason").isNotNull()).select(ranked.columns))
+    ranked = within_budget(passing, "pattern", order, limits.per_pattern_budget, used)
+    ranked = ranked.withColumn("reject_reason", F.when(F.col("over"), "pattern_budget")).drop("over")
+    return ranked.select(df.columns).unionByName(df.where(F.col("reject_reason").isNotNull()))
+
+
+def within_hosts(df: DataFrame, host: str, seq: str, limits: Limits) -> DataFrame:
+    """Rows of the first max_hosts hosts, by when each was first seen."""
+    hosts = df.groupBy(host).agg(F.min(seq).alias("_seen")).orderBy("_seen", host).limit(limits.max_hosts)
+    return df.join(hosts.select(host), host, "left_semi")
+
+
+def page_budget(df: DataFrame, order: list, limits: Limits) -> DataFrame:
+    """The first max_pages rows in an order; each task keeps no more than that."""
+    return df.orderBy(*order).limit(limits.max_pages)
+
+
+CHUNK = 1 << 16  # values of seq that are ranked in one group
 
 
 def round_robin(df: DataFrame, host: str, priority: str, seq: str) -> DataFrame:
-    """Adds turn: hosts take turns, each with its best page; a host's rank is when it was first seen."""
-    turn = F.row_number().over(Window.partitionBy(host).orderBy(F.desc(priority), seq))
-    hosts = df.groupBy(host).agg(F.min(seq).alias("host_seen"))
-    return df.withColumn("turn", turn).join(hosts, host)
+    """Adds turn and host_seen: hosts take turns, each with its best page; a host's rank is when it was first seen.
+    ``seq`` is a whole number, without repeats.
+
+    A host's pages are ranked by priority and CHUNK of seq, and the sizes of those groups added up, so that one
+    task sees a part of a large host."""
+    chunk = F.floor(F.col(seq) / CHUNK).alias("_chunk")
+    sizes = df.groupBy(host, priority, chunk).agg(F.count(F.lit(1)).alias("_n"), F.min(seq).alias("_least"))
+    all_of = Window.partitionBy(host)
+    before = F.sum("_n").over(all_of.orderBy(F.desc(priority), "_chunk")) - F.col("_n")
+    sizes = sizes.select(host, priority, "_chunk", before.alias("_before"), F.min("_least").over(all_of).alias("host_seen"))
+    inside = F.row_number().over(Window.partitionBy(host, priority, "_chunk").orderBy(seq))
+    ranked = df.withColumn("_chunk", chunk).withColumn("_in", inside).join(sizes, [host, priority, "_chunk"])
+    return ranked.withColumn("turn", (F.col("_before") + F.col("_in")).cast("int")).select(*df.columns, "turn", "host_seen")
 
 
 def host_stats(df: DataFrame, host: str) -> DataFrame:
@@ -94,6 +135,40 @@ def fetch_error(status: Column) -> Column:
     return F.when(status >= 500, "http_5xx").when(status == 429, "blocked_429").when(status == 403, "blocked_403").when(status >= 400, "http_4xx")
 
 
+# Names of transport errors, and the kinds they count as; of these the last four are not worth a retry.
+TRANSPORT = {
+    "ConnectTimeout": "conn_timeout", "ReadTimeout": "read_timeout", "WriteTimeout": "read_timeout", "PoolTimeout": "read_timeout", "ConnectError": "conn_refused", "TransportError": "conn_refused",
+    "UnpinnedHost": "ssrf_reject", "ProtocolError": "parse_fail", "RemoteProtocolError": "parse_fail", "SSLError": "tls_error",
+}
+RETRIED = ["conn_timeout", "read_timeout", "conn_refused"]
+
+
+def transport_error(name: Column, message: Column) -> Column:
+    """The kind of a failure before any status, by the error's name; a refused address shows in its message."""
+    known = F.lit(None).cast("string")
+    for error, kind in TRANSPORT.items():
+        known = F.when(name == error, kind).otherwise(known)
+    refused = (name == "ConnectError") & F.coalesce(message, F.lit("")).contains("unpinned host")
+    return F.when(refused, "ssrf_reject").when(name.isNotNull(), F.coalesce(known, F.lit("internal")))
+
+
+def judged_fetches(fetched: DataFrame, now: Column, byte_limit: int = 5_000_000) -> DataFrame:
+    """fetched (status, body, retry_after, error, message) with error_kind, retryable and retry_after_s.
+
+    An error before any status goes by its name, then a status of 400 or more, then a body above the limit
+    (size_exceeded), of which the bytes go. Null error_kind: the page counts. Other columns stay."""
+    kind = F.coalesce(transport_error(F.col("error"), F.col("message")), fetch_error(F.col("status")), F.when(F.octet_length("body") > byte_limit, "size_exceeded"))
+    again = F.col("error_kind").isin(*RETRIED) | F.coalesce(retryable(F.col("status")), F.lit(False))
+    out = fetched.withColumn("error_kind", kind).withColumn("retryable", F.coalesce(again, F.lit(False)))
+    wait = F.when(F.col("error_kind") == "blocked_429", retry_after(F.col("retry_after"), now))
+    return out.withColumns({"retry_after_s": wait, "body": F.when(F.col("error_kind").isNull(), F.col("body"))})
+
+
+def host_pause(error_kind: Column, retry_after_s: Column, most: int = 300) -> Column:
+    """Seconds that a host rests after a refusal."""
+    return F.when(error_kind.isin("blocked_429", "blocked_403"), F.least(F.coalesce(retry_after_s, F.lit(30.0)), F.lit(float(most))))
+
+
 def retryable(status: Column) -> Column:
     return (status >= 500) | (status == 429)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def tally(events: DataFrame, job: str, kind: str, type_: str | None = None) -> DataFrame:
@@ -59,3 +60,49 @@ def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
 def record_hash(url: Column, record: Column) -> Column:
     """Identity of a record on its page; record is a struct with its fields by name."""
     return F.sha2(F.concat(url, F.lit("\x00"), F.to_json(record)), 256)
+
+
+def duplicates_by_via(events: DataFrame) -> DataFrame:
+    """(via, n) of the duplicates found, by how."""
+    return events.where("type = 'duplicate.detected'").groupBy("via").agg(F.count(F.lit(1)).alias("n")).orderBy("via")
+
+
+PROGRESS_EVERY = 10
+RUN = 1 << 16  # event ids that are added up in one group
+
+
+def progress(events: DataFrame, job: str = "job_id", every: int = PROGRESS_EVERY) -> DataFrame:
+    """(job, event_id, pages_done, records_total) after each ``every`` pages of a job, in order of event_id.
+
+    Sums run within RUN ids and between the totals of those, so one task sees a part of a long job."""
+    page, count = (F.col("type") == "page.fetched").cast("long"), F.when(F.col("type") == "records.extracted", F.coalesce("count", F.lit(0))).otherwise(0).cast("long")
+    rows = events.select(job, "event_id", page.alias("page"), count.alias("records"), F.floor(F.col("event_id") / RUN).alias("run"))
+    runs = rows.groupBy(job, "run").agg(F.sum("page").alias("p"), F.sum("records").alias("r"))
+    past = Window.partitionBy(job).orderBy("run")
+    runs = runs.select(job, "run", (F.sum("p").over(past) - F.col("p")).alias("p0"), (F.sum("r").over(past) - F.col("r")).alias("r0"))
+    here = Window.partitionBy(job, "run").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"p": F.sum("page").over(here), "r": F.sum("records").over(here)}).join(runs, [job, "run"])
+    rows = rows.select(job, "event_id", "page", (F.col("p0") + F.col("p")).alias("pages_done"), (F.col("r0") + F.col("r")).alias("records_total"))
+    return rows.where((F.col("page") == 1) & (F.col("pages_done") % every == 0)).drop("page")
+
+
+def best_recipes(measured: DataFrame, key: str, recipe: str = "recipe", score: str = "score") -> DataFrame:
+    """(key, recipe, score): the recipe of the best score; of equals the first by name."""
+    best = measured.groupBy(key).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(recipe).alias("r"))).alias("b"))
+    return best.select(key, F.col("b.r").alias(recipe), (-F.col("b.s")).alias(score))
+
+
+def preview(df: DataFrame, order: list, most: int = 500) -> DataFrame:
+    """The first rows, each with the number of all (``total``), for a screen."""
+    return df.orderBy(*order).limit(most).join(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))), F.lit(True))
+
+
+def keyset_page(df: DataFrame, seq: str, after: int, most: int = 500) -> DataFrame:
+    """The next rows past a key, in its order: what was read before is not read again."""
+    return df.where(F.col(seq) > after).orderBy(seq).limit(most)
+
+
+def sse(events: DataFrame, payload: list[str]) -> DataFrame:
+    """(event_id, frame): each event as a frame of a server-sent stream, without an id of its own."""
+    data = F.to_json(F.struct(*payload))
+    return events.select("event_id", F.concat(F.lit("event: "), "type", F.lit("\ndata: "), data, F.lit("\n\n")).alias("frame"))

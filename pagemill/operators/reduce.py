@@ -87,10 +87,10 @@ def reduced(pages: DataFrame, key: str = "page_id", html: str = "html", max_toke
     def run(batches):
         for batch in batches:
             made = [_skeleton(x.as_py(), max_tokens) for x in batch.column(1)]
-            columns = [batch.column(0), pa.nulls(len(batch), pa.string()), batch.column(2), pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            columns = [batch.column(0), batch.column(2), pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "html"])
 
     plain = pages.select(F.col(key).alias("key"), F.col(html).alias("html"), estimate_tokens(F.col(html)).alias("original_tokens"), F.lit(None).cast("string").alias("skeleton"), F.lit(None).cast("boolean").alias("truncated"))
-    made = plain.mapInArrow(run, plain.schema).withColumn("tokens", estimate_tokens(F.col("skeleton")))
+    made = plain.mapInArrow(run, plain.drop("html").schema).withColumn("tokens", estimate_tokens(F.col("skeleton")))
     ratio = F.when(F.col("original_tokens") > 0, F.round(F.col("tokens") / F.col("original_tokens"), 4)).otherwise(0.0)
     return made.select(F.col("key").alias(key), "skeleton", "tokens", "original_tokens", "truncated", ratio.alias("ratio"))

@@ -70,10 +70,10 @@ def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
     def run(batches):
         for batch in batches:
             found = pa.array([_rows(dom.parse(x.as_py())) for x in batch.column(1)], batch.schema.field("found").type)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(len(batch), pa.string()), found], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["key", "found"])
 
     plain = pages.select(F.col(key).alias("key"), F.col(html).alias("html"), F.lit(None).cast(NODES).alias("found"))
-    return plain.mapInArrow(run, plain.schema).select(F.col("key").alias(key), F.explode("found").alias("x")).select(key, "x.*")
+    return plain.mapInArrow(run, plain.drop("html").schema).select(F.col("key").alias(key), F.explode("found").alias("x")).select(key, "x.*")
 
 
 def groups(nodes: DataFrame, key: str = "page_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import paths, values
@@ -103,8 +103,17 @@ def parse_field(text: str) -> Field:
     return Field(name.strip(), selector.strip(), "attr" if attr else kind.strip() or "text", attr, tuple(s.strip() for s in steps))
 
 
+def supported(recipe: Recipe, content_type: Column) -> Column:
+    """Whether a recipe's extractor reads pages of a content type; feeds are read whatever they call themselves."""
+    kind = F.lower(F.trim(F.coalesce(content_type, F.lit(""))))
+    return F.lit(True) if recipe.source == "feed" else kind.startswith("text/html") | kind.endswith("+xml")
+
+
 def records(recipe: Recipe, pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
-    """(key, url, one column a field) of all records found, before required fields and filters."""
+    """(key, url, one column a field) of all records found, before required fields and filters. Where pages has a
+    column content_type, those that the extractor does not read give none."""
+    if "content_type" in pages.columns:
+        pages = pages.where(supported(recipe, F.col("content_type")))
     fields = [{"name": f.name, "selector": f.selector, "type": f.type, "attr": f.attr, "transform": list(f.transform) or ["trim"]} for f in recipe.fields]
     if recipe.source == "css":
         return extract.css_records(pages, recipe.container, fields, key, url)
@@ -146,3 +155,12 @@ def measure(recipe: Recipe, pages: DataFrame, key: str = "page_id", url: str = "
     """One row of a recipe's quality on some pages."""
     found = records(recipe, pages, key, url)
     return quality.measure(found, filters.keep(found, list(recipe.filters), recipe.required), [f.name for f in recipe.fields])
+
+
+def with_fallback(recipe: Recipe, pages: DataFrame, rendered: DataFrame, keep_table, key: str = "page_id", url: str = "url") -> DataFrame:
+    """A recipe's records with via ("http" or "rendered"): pages that give none are read once more as rendered, where the
+    second table has them. Only those pages of it are parsed. ``keep_table`` writes the first table's records."""
+    first = keep_table(records(recipe, pages, key, url))
+    bare = pages.select(key).join(first.select(key).distinct(), key, "left_anti")
+    again = records(recipe, rendered.join(bare, key, "left_semi"), key, url)
+    return first.withColumn("via", F.lit("http")).unionByName(again.withColumn("via", F.lit("rendered")))

@@ -6,28 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import paths, texts, urls, values
-from pagemill.operators import dedupe, extract, filters, gate, jobs, quality, structure
+from pagemill.operators import dedupe, extract, filters, gate, jobs, quality
 from pagemill.operators.filters import RecordFilter
-from pagemill.plans import recipe
+from pagemill.registry import QUERIES, SQL, query, table
 from pagemill.streaming import crawl
 
-QUERIES, SQL = {}, {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def named(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return named
-
-
 # Common parts of the SQL side. The pages' URLs have no userinfo, port, escape or dot segment.
 URLS = r"""
 WITH raw AS (SELECT page_id, url, lower(regexp_extract(url, '^([a-zA-Z]+):', 1)) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS host,
@@ -64,7 +47,7 @@ def q_url_pattern_score(spark, sf_dir):
 def q_pattern_budget(spark, sf_dir):
     df = gate.first_seen(seen_pages(spark, sf_dir), "dedupe_key", ["page_id"])
     df = gate.within_budget(df, "pattern", ["page_id"], 2)
-    return df.groupBy("host", "pattern").agg(F.count(F.lit(1)).alias("urls"), F.count_if(F.col("nth") <= 2).alias("admitted"))
+    return df.groupBy("host", "pattern").agg(F.count(F.lit(1)).alias("urls"), F.count_if(~F.col("over")).alias("admitted"))
 
 
 @query(URLS + "SELECT page_id, host, score::INT AS score, row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id)::INT AS turn, min(page_id) OVER (PARTITION BY host) AS host_seen FROM p")
@@ -131,19 +114,6 @@ def q_article(spark, sf_dir):
     return df.select("page_id", "article.title", "article.word_count", F.sha2("article.text", 256).alias("text_sha256"), F.size(texts.tokens(F.col("visible_text"))).alias("visible_tokens"), "canonical", F.size("meta").alias("metas"), F.size("jsonld").alias("jsonld"))
 
 
-PAGE_RECIPE = recipe.Recipe("pages", container="nav li", fields=(recipe.Field("label", "a", required=True), recipe.Field("target", "a", "href", transform=("to_absolute_url",))), filters=(RecordFilter("label", "not_matches", "^[a-f]"),))
-
-
-@query()
-def q_recipe_records(spark, sf_dir):
-    return recipe.run(PAGE_RECIPE, table(spark, sf_dir, "pages"))
-
-
-@query()
-def q_recipe_quality(spark, sf_dir):
-    return recipe.measure(PAGE_RECIPE, table(spark, sf_dir, "pages")).select("record_count", "mean_fill", "consistency", "score", "can_activate")
-
-
 TOKENS = "regexp_extract_all(text, '[0-9a-zA-Z가-힣一-鿿]+')"
 
 
@@ -178,7 +148,17 @@ def q_near_pairs(spark, sf_dir):
     return dedupe.near_pairs(groups, "node")
 
 
-@query()
+# Nodes with earlier neighbours in turn: one that has a neighbour not dropped before is dropped.
+LEADERS = SIMHASH + """, g AS (SELECT fingerprint, min(doc_id) AS node FROM f GROUP BY 1),
+p AS (SELECT x.node AS a, y.node AS b FROM g x JOIN g y ON x.node < y.node AND bit_count(xor(x.fingerprint, y.fingerprint)) <= 6),
+o AS (SELECT b AS node, list(a) AS near, row_number() OVER (ORDER BY b) AS i FROM p GROUP BY b),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS dropped UNION ALL
+  SELECT o.i, CASE WHEN len(list_filter(near, lambda x: NOT list_contains(dropped, x))) > 0 THEN list_append(dropped, node) ELSE dropped END FROM r JOIN o ON o.i = r.i + 1),
+l AS (SELECT node, list_min(list_filter(near, lambda x: NOT list_contains(dropped, x))) AS leader FROM o, (SELECT dropped FROM r ORDER BY i DESC LIMIT 1))
+SELECT doc_id, coalesce(l.leader, g.node) AS leader FROM f JOIN g USING (fingerprint) LEFT JOIN l USING (node)"""
+
+
+@query(LEADERS.replace("WITH t AS", "WITH RECURSIVE t AS", 1))
 def q_near_leaders(spark, sf_dir):
     return dedupe.near_leaders(table(spark, sf_dir, "documents"), "doc_id", "text", crawl.keeper(spark))
 
@@ -188,11 +168,6 @@ def q_soft_404(spark, sf_dir):
     return dedupe.soft_404(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "soft_404")
 
 
-@query()
-def q_stub_pages(spark, sf_dir):
-    return dedupe.stub_pages(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag NOT IN ('A', 'X') AND l_discount > 0.05 AND l_linestatus <> 'F' AND contains(CAST(l_orderkey AS VARCHAR), '1')")
 def q_filters(spark, sf_dir):
     rules = [RecordFilter("l_quantity", "between", [10, 20]), RecordFilter("l_returnflag", "not_in", ["A", "X"]), RecordFilter("l_discount", "gt", 0.05), RecordFilter("l_linestatus", "ne", "F"), RecordFilter("l_orderkey", "contains", "1")]
@@ -209,12 +184,13 @@ def q_filter_reasons(spark, sf_dir):
     return filters.reasons(df, [r for r in ORDER_RULES if r.op != "eq"], ["o_orderstatus"])
 
 
-@query("SELECT count(*) AS n_eq, (SELECT count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01') AS n_dates FROM orders WHERE false")
+@query("SELECT (SELECT count(*) FROM orders WHERE o_custkey = 7) AS n_eq, 0 AS n_text, (SELECT count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01') AS n_dates")
 def q_filter_typed(spark, sf_dir):
     df = table(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    same = filters.predicate(df, RecordFilter("o_custkey", "eq", 7))
     none = filters.predicate(df, RecordFilter("o_custkey", "eq", "7"))
     late = filters.predicate(df, RecordFilter("day", "gte", "1996-06-01"))
-    return df.agg(F.count_if(none).alias("n_eq"), F.count_if(late).alias("n_dates"))
+    return df.agg(F.count_if(same).alias("n_eq"), F.count_if(none).alias("n_text"), F.count_if(late).alias("n_dates"))
 
 
 @query("""WITH p AS (SELECT nullif(p_brand, 'Brand#11') AS brand, CASE WHEN p_size > 10 THEN p_size END AS size, CASE WHEN p_partkey % 7 = 0 THEN '/part/' || p_partkey WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS label FROM part),
@@ -321,22 +297,10 @@ def q_crawl(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     found = extract.extract(pages.select("page_id", "url", "html"), ["links"]).select(urls.normalize(F.col("url"))["dedupe_key"].alias("page_key"), "links")
     found = found.select("page_key", F.explode("links").alias("href"))
-    frontier, _ = crawl.crawl(found, pages.select("url"), gate.Limits(max_pages=500, max_depth=1, per_pattern_budget=50))
+    frontier, _ = crawl.crawl(found, pages.select("url"), gate.Limits(max_pages=1 << 30, max_depth=1, per_pattern_budget=50))
     return frontier
 
 
-@query()
-def q_containers(spark, sf_dir):
-    found = structure.containers(table(spark, sf_dir, "pages"), crawl.keeper(spark))
-    return found.select("page_id", "place", "selector", "parent_selector", "count", "depth", "text_density", "score", F.size("columns").alias("n_columns"))
-
-
-@query()
-def q_fingerprints(spark, sf_dir):
-    prints = structure.fingerprints(structure.containers(table(spark, sf_dir, "pages"), crawl.keeper(spark)))
-    return prints.groupBy("digest").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
-
-
 VEC = "list_transform(range(64), lambda i: CASE WHEN i % 2 = 0 THEN 1.0 ELSE -1.0 END::FLOAT)"
 
 
@@ -355,8 +319,11 @@ def q_fingerprint_jaccard(spark, sf_dir):
 
 
 def queries() -> dict:
+    from pagemill import made_queries  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import gzip
 import re
 import xml.etree.ElementTree as ET
+import zlib
 from datetime import UTC
 from email.utils import parsedate_to_datetime
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from pagemill.functions import urls
@@ -37,8 +40,22 @@ def _local(e) -> str:
     return e.tag.rsplit("}", 1)[-1].lower() if isinstance(e.tag, str) else ""
 
 
+MOST_BYTES = 64 << 20  # of a document after it is unpacked
+
+
+def unpacked(body: bytes, most: int = MOST_BYTES) -> bytes:
+    """A gzipped body unpacked, any other as it is; an error beyond ``most`` bytes, before they are made."""
+    if body[:2] != b"\x1f\x8b":
+        return body
+    reader = zlib.decompressobj(31)
+    out = reader.decompress(body, most)
+    if reader.unconsumed_tail:
+        raise ValueError(f"more than {most} bytes unpacked")
+    return out
+
+
 def _root(body: bytes):
-    body = gzip.decompress(body) if body[:2] == b"\x1f\x8b" else body
+    body = unpacked(body)
     if re.search(rb"<!(DOCTYPE|ENTITY)", body[:4096], re.I):
         raise ValueError("declares entities")
     return ET.fromstring(body)
@@ -47,12 +64,14 @@ def _root(body: bytes):
 SITEMAP = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("loc", T.StringType()), T.StructField("lastmod", T.StringType()), T.StructField("priority", T.StringType()), T.StructField("error", T.StringType())]))
 
 
-@F.udf(SITEMAP, useArrow=True)
-def read_sitemap(body):
-    """Entries of a sitemap or an index, plain or gzipped; what cannot be read is one row with an error."""
+def _told(kind: T.ArrayType, rows: list[tuple]) -> list[dict]:
+    return [dict(zip(kind.elementType.names, r)) for r in rows]
+
+
+def _sitemap(body: bytes | None) -> list[tuple]:
+    out: list[tuple] = []
     try:
-        out = []
-        for e in _root(bytes(body or b"")).iter():
+        for e in _root(body or b"").iter():
             if _local(e) in ("url", "sitemap") and len(out) < 50_000:
                 have = {_local(c): (c.text or "").strip() for c in e}
                 if have.get("loc"):
@@ -62,6 +81,12 @@ def read_sitemap(body):
         return [(None, None, None, None, str(e)[:200])]
 
 
+@F.arrow_udf(SITEMAP)
+def read_sitemap(body: pa.Array) -> pa.Array:
+    """Entries of a sitemap or an index, plain or gzipped; what cannot be read is one row with an error."""
+    return pa.array([_told(SITEMAP, _sitemap(x)) for x in body.to_pylist()], to_arrow_type(SITEMAP))
+
+
 def sitemap_time(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM", "yyyy")])
 
@@ -129,17 +154,13 @@ def seen_nothing(front: DataFrame) -> DataFrame:
 FEED = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "url", "published_at", "summary", "author", "error")]))
 
 
-@F.udf(FEED, useArrow=True)
-def read_feed(body, base):
-    """Entries of RSS or Atom; a document with entities is refused, a malformed one is empty."""
-    from urllib.parse import urljoin
-
+def _feed(body: bytes | None, base: str | None) -> list[tuple]:
     try:
-        root = _root(bytes(body or b""))
-    except ValueError as e:
-        return [(None, None, None, None, None, str(e))]
-    except Exception:
+        root = _root(body or b"")
+    except ET.ParseError:
         return []
+    except Exception as e:
+        return [(None, None, None, None, None, str(e)[:200])]
     out = []
     for e in root.iter():
         if _local(e) not in ("item", "entry"):
@@ -169,11 +190,17 @@ def read_feed(body, base):
     return out
 
 
-@F.udf(T.StructType([T.StructField(n, T.StringType()) for n in ("text", "encoding", "declared")]), useArrow=True)
-def decode_html(body, content_type):
-    """Text of a body: by its byte-order mark, its header, its meta tag, else UTF-8, Korean, Western; a
-    declaration that does not decode is passed over."""
-    raw = bytes(body or b"")
+@F.arrow_udf(FEED)
+def read_feed(body: pa.Array, base: pa.Array) -> pa.Array:
+    """Entries of RSS or Atom; a document with entities is refused, a malformed one is empty."""
+    return pa.array([_told(FEED, _feed(x, y)) for x, y in zip(body.to_pylist(), base.to_pylist())], to_arrow_type(FEED))
+
+
+DECODED = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "encoding", "declared")])
+
+
+def _decoded(body: bytes | None, content_type: str | None) -> tuple:
+    raw = body or b""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
         if raw.startswith(mark):
             return raw[len(mark) :].decode(name, "replace"), name, name
@@ -194,6 +221,14 @@ def decode_html(body, content_type):
     return raw.decode("cp1252", "replace"), "cp1252", None
 
 
+@F.arrow_udf(DECODED)
+def decode_html(body: pa.Array, content_type: pa.Array) -> pa.Array:
+    """Text of a body: by its byte-order mark, its header, its meta tag, else UTF-8, Korean, Western; a
+    declaration that does not decode is passed over. Without a declaration declared is null: the encoding is a guess."""
+    rows = [_decoded(x, y) for x, y in zip(body.to_pylist(), content_type.to_pylist())]
+    return pa.array([dict(zip(DECODED.names, r)) for r in rows], to_arrow_type(DECODED))
+
+
 def archive(bodies: DataFrame, path: str, body: str = "body") -> None:
     """Appends bodies that the archive lacks, by their SHA-256, as zstd Parquet dealt by the digest's first byte."""
     spark = bodies.sparkSession
@@ -216,23 +251,68 @@ def archive_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("blobs"), F.sum(F.octet_length("body")).alias("bytes"))
 
 
+MOST_COLUMNS = 2000
+
+
 def export_columns(records: DataFrame, data: str) -> DataFrame:
     """Distinct keys of JSON records, sorted."""
     return records.select(F.explode(F.json_object_keys(data)).alias("key")).distinct().orderBy("key")
 
 
-def export_jsonl(records: DataFrame, data: str, seq: str, path: str) -> None:
+def first_seen_columns(records: DataFrame, data: str, seq: str) -> DataFrame:
+    """Distinct keys of JSON records in order of the first record that has each, then of their place in it."""
+    each = records.select(F.col(seq).alias("seq"), F.posexplode(F.json_object_keys(data)).alias("pos", "key"))
+    return each.groupBy("key").agg(F.min(F.struct("seq", "pos")).alias("at")).orderBy("at").select("key")
+
+
+def _names(columns: DataFrame, most: int) -> list[str]:
+    names = [r.key for r in columns.limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} columns")
+    return names
+
+
+def _with_source(data: str, source: dict[str, str]) -> Column:
+    """A JSON object with more fields, those behind its own."""
+    more = F.to_json(F.struct(*[F.col(c).alias(k) for k, c in source.items()]), {"ignoreNullFields": "false"})
+    bare = F.regexp_replace(F.col(data), r"\}\s*$", "")
+    return F.concat(bare, F.when(F.size(F.json_object_keys(data)) > 0, ", ").otherwise(""), F.substring(more, 2, 1 << 30))
+
+
+SOURCE = {"_page_url": "page_url", "_extractor": "extractor"}
+
+
+def jsonl_lines(records: DataFrame, data: str, seq: str, include_source: bool = False) -> DataFrame:
+    """(seq, value): one JSON object a record, with the page and the extractor it came from behind its own fields if asked."""
+    return records.select(F.col(seq).alias("seq"), (_with_source(data, SOURCE) if include_source else F.col(data)).alias("value"))
+
+
+def export_jsonl(records: DataFrame, data: str, seq: str, path: str, include_source: bool = False) -> None:
     """One JSON object a line; files and their lines are in order of seq."""
-    records.repartitionByRange(F.col(seq)).sortWithinPartitions(seq).select(F.col(data).alias("value")).write.text(path)
+    jsonl_lines(records, data, seq, include_source).repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(path)
 
 
-def csv_cells(records: DataFrame, data: str, keep: list[str]) -> DataFrame:
-    """JSON records flattened to the sorted union of their keys; null is empty, nested values are JSON."""
-    keys = [r.key for r in export_columns(records, data).collect()]  # as many as a table can have columns
+def csv_cells(records: DataFrame, data: str, keep: list[str], include_source: bool = False, order: str | None = None, most: int = MOST_COLUMNS) -> DataFrame:
+    """JSON records flattened to the union of their keys, sorted, or by first appearance in ``order``; null is empty, nested
+    values are JSON. More than ``most`` keys are an error: no table has so many columns."""
+    keys = _names(first_seen_columns(records, data, order) if order else export_columns(records, data), most)
     cell = lambda k: F.coalesce(F.get_json_object(data, "$['" + k.replace("'", "\\'") + "']"), F.lit(""))
-    return records.select(*keep, *[cell(k).alias(k) for k in keys])
+    source = [F.col(c).alias(k) for k, c in SOURCE.items()] if include_source else []
+    return records.select(*keep, *[cell(k).alias(k) for k in keys], *source)
+
+
+def _write_csv(flat: DataFrame, seq: str, path: str, mark: str = "") -> None:
+    columns = [c for c in flat.columns if c != "_seq"]
+    if mark:  # in front of the first name of each file's header
+        flat, columns = flat.withColumnRenamed(columns[0], mark + columns[0]), [mark + columns[0], *columns[1:]]
+    flat.repartitionByRange("_seq").sortWithinPartitions("_seq").select(*[F.col(f"`{c}`") for c in columns]).write.option("header", True).option("emptyValue", "").csv(path)
+
+
+def export_csv(records: DataFrame, data: str, seq: str, path: str, include_source: bool = False) -> None:
+    """Sorted union of keys; files and their lines are in order of seq."""
+    _write_csv(csv_cells(records, data, [F.col(seq).alias("_seq")], include_source), seq, path)
 
 
-def export_csv(records: DataFrame, data: str, seq: str, path: str) -> None:
-    flat = csv_cells(records, data, [seq])
-    flat.repartitionByRange(F.col(seq)).sortWithinPartitions(seq).drop(seq).write.option("header", True).option("emptyValue", "").csv(path)
+def quick_csv(records: DataFrame, data: str, seq: str, path: str) -> None:
+    """Columns by first appearance; a byte-order mark leads each file, so that spreadsheets read it as UTF-8."""
+    _write_csv(csv_cells(records, data, [F.col(seq).alias("_seq")], order=seq), seq, path, mark="\ufeff")

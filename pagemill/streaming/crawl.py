@@ -19,16 +19,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{(found or 'file:///tmp/checkpoints').rstrip('/')}/crawl-{uuid.uuid4().hex}"
 
 
-def keeper(spark: SparkSession):
-    """Writes a table to the shared folder and returns it read back, so lineage ends there."""
-    root, n = shared_folder(spark), iter(range(1 << 30))
+class Keeper:
+    """Called with a table, writes it to the shared folder and returns it read back, so lineage ends there.
+    ``release`` deletes what was written, once nothing reads it any more."""
 
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{root}/{next(n):04d}"
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, shared_folder(spark), 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{self.n:04d}"
+        self.n += 1
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
 
-    return keep
+def keeper(spark: SparkSession) -> Keeper:
+    return Keeper(spark)
 
 
 def depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
@@ -63,14 +73,14 @@ def _rejected(checked: DataFrame) -> DataFrame:
     return checked.where(F.col("reject_reason").isNotNull()).select("url", "depth", F.col("reject_reason").alias("reason"))
 
 
-def crawl(links: DataFrame, seeds: DataFrame, limits: gate.Limits) -> tuple[DataFrame, DataFrame]:
+def crawl(links: DataFrame, seeds: DataFrame, limits: gate.Limits, keep: Keeper | None = None) -> tuple[DataFrame, DataFrame]:
     """Traverse a table of links (page_key, href) from seed URLs.
 
     Returns (frontier, rejects): frontier has dedupe_key, url, depth and priority of admitted URLs, up to
     max_pages in order of depth and priority; rejects has url, depth and reason. Seen keys are dropped
     before the gate and use up no budget, so rejected URLs may be met and rejected again; budgets carry over
     from round to round."""
-    keep = keeper(links.sparkSession)
+    keep = keep or keeper(links.sparkSession)
     todo = seeds.select("url").withColumn("depth", F.lit(0))
     frontier = rejects = used = None
     for d in range(limits.max_depth + 1):
@@ -82,11 +92,13 @@ def crawl(links: DataFrame, seeds: DataFrame, limits: gate.Limits) -> tuple[Data
             break
         used = keep(frontier.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
         todo = new.join(links, new.dedupe_key == links.page_key).select(urls.join(F.col("url"), F.col("href")).alias("url"), F.lit(d + 1).alias("depth")).where(F.col("url").isNotNull())
-    chosen = frontier.orderBy("depth", F.desc("priority"), "dedupe_key").limit(limits.max_pages)
-    return chosen.drop("pattern"), rejects
+    # the hosts met first, and of their pages the first ones
+    place = frontier.withColumns({"host": urls.normalize(F.col("url"))["host"], "seq": F.struct("depth", (-F.col("priority")).alias("p"), "dedupe_key")})
+    chosen = gate.page_budget(gate.within_hosts(place, "host", "seq", limits), ["seq"], limits)
+    return chosen.drop("pattern", "host", "seq"), rejects
 
 
-def spider(pages: DataFrame, seeds: DataFrame, limits: gate.Limits) -> tuple[DataFrame, DataFrame]:
+def spider(pages: DataFrame, seeds: DataFrame, limits: gate.Limits, keep: Keeper | None = None) -> tuple[DataFrame, DataFrame]:
     """Traverse fetched pages from seed URLs and judge each one before its links are followed.
 
     pages has page_key, text, records (a count), canonical (a URL or null) and links (an array). Returns
@@ -101,7 +113,7 @@ def spider(pages: DataFrame, seeds: DataFrame, limits: gate.Limits) -> tuple[Dat
     Another page that a page names as canonical counts as seen from the next round on. Earlier is of less
     depth, then of more priority, then by key. Judging reads the texts of the round's pages and of those
     kept before; no more than max_pages are visited."""
-    keep = keeper(pages.sparkSession)
+    keep = keep or keeper(pages.sparkSession)
     todo = seeds.select("url").withColumn("depth", F.lit(0))
     visited = rejects = used = burnt = None
     seen, left, thin, kept = None, limits.max_pages, None, None
