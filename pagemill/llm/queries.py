@@ -97,9 +97,53 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_format_chat": OP10_SQL}
+    return {"op4_radix_repeats": OP4_SQL, "op8_minhash_components": OP8_SQL, "op9_fm_decontaminate": OP9_SQL, "op10_format_chat": OP10_SQL}
 
 
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Every string of 400 bytes, as hexadecimal digits; runs of covered bytes by gaps between starts.
+OP4_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS s FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
+again AS (SELECT s FROM starts GROUP BY s HAVING count(*) > 1),
+met AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -401) + 400 AS fresh FROM starts JOIN again USING (s)),
+runs AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM met) GROUP BY r, run),
+cut AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM runs),
+kept AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k FROM cut JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+# Classes of equal sets, all pairs that share a shingle, and what each class reaches.
+OP8_SQL = r"""
+WITH RECURSIVE fold AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({folded}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+cut AS MATERIALIZED (SELECT r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s, len(w) AS words FROM fold),
+class AS (SELECT min(r) AS c, s, len(s) AS n FROM (SELECT r, list_sort(s) AS s FROM cut WHERE len(s) > 0) GROUP BY s),
+tokens AS (SELECT c, n, unnest(s) AS t FROM class),
+pairs AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM tokens a JOIN tokens b ON a.t = b.t AND a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (na + nb - shared)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT c AS a, c AS b FROM class WHERE c IN (SELECT a FROM edges) UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
+of AS (SELECT r, c FROM (SELECT r, list_sort(s) AS s FROM cut WHERE len(s) > 0) JOIN class USING (s)),
+root AS (SELECT of.r, coalesce(min(reach.b), any_value(of.c)) AS root FROM of LEFT JOIN reach ON reach.a = of.c GROUP BY of.r),
+comp AS (SELECT r, min(doc_id) OVER (PARTITION BY root) AS component_id FROM root JOIN fold USING (r))
+SELECT doc_id, len(s)::BIGINT AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END AS component_id, doc_id IS NOT DISTINCT FROM CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END AS kept FROM fold JOIN cut USING (r) LEFT JOIN comp USING (r)
+""".replace("{folded}", FOLDED)
+
+# Windows of the benchmark against those of the documents, by length.
+OP9_SQL = r"""
+WITH fold AS MATERIALIZED (SELECT doc_id, regexp_extract_all({folded}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({folded}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(13, len(w)) AS n FROM item WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+spots AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM fold, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n)),
+met AS (SELECT r, i, spots.n, item_id FROM spots JOIN windows ON spots.win = windows.win AND spots.n = windows.n),
+hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS at FROM met) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT r, item_id FROM met WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM fold LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+""".replace("{folded}", FOLDED)
+
 # The digests need neither template nor mask; formatted_chars counts the marks and escapes.
 OP10_SQL = r"""
 WITH r AS (

@@ -72,3 +72,57 @@ def repeat_cut(texts, depth):
         runs = len(re.findall(b"\1+", bytes(gone)))
         out.append((bytes(x for x, g in zip(b, gone) if not g), runs))
     return out
+
+
+def mix_targets(sizes):
+    """{source: target} of {source: words}: weights 3, 1, 2 by code point, null last; 150% of all words shared by weight, what is
+    above twice a source's words shared again among the others."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, open_, out = 1.5 * sum(sizes.values()), set(order), {}
+    while open_:
+        each = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if each * weight[s] > 2 * sizes[s]}
+        if not full:
+            return out | {s: each * weight[s] for s in open_}
+        out |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(2 * sizes[s] for s in full)
+        open_ -= full
+    return out
+
+
+def letter_grams(text):
+    """Counts of the one to three letters in a row, by number; words are padded by one blank."""
+    low = [c.lower() if len(c.lower()) == 1 else c for c in text or ""]
+    words = "".join(c if o.isalpha() else " " for c, o in zip(low, text or "")).split()
+    s, out = " " + " ".join(words) + " " if words else "", defaultdict(int)
+    code = lambda c: 0 if c == " " else ord(c)
+    for c in s:
+        if c != " ":
+            out[ord(c)] += 1
+    for a, b in zip(s, s[1:]):
+        out[code(a) << 42 | 0x1FFFFF << 21 | code(b)] += 1
+    for a, b, c in zip(s, s[1:], s[2:]):
+        if b != " ":
+            out[code(a) << 42 | code(b) << 21 | code(c)] += 1
+    return out
+
+
+def languages(known, texts, most=300):
+    """(language, score) of each text, by the profiles of known (lang, text)."""
+    rank = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]
+    sums = defaultdict(lambda: defaultdict(int))
+    for lang, text in known:
+        for g, n in letter_grams(text).items():
+            sums[lang][g] += n
+    profiles = {lang: {g: i for i, g in enumerate(rank(c))} for lang, c in sums.items()}
+    out = []
+    for t in texts:
+        mine = rank(letter_grams(t))
+        if not mine:
+            out.append(("und", 0.0))
+            continue
+        away = {lang: sum(abs(p[g] - i) if g in p else most for i, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(away, key=lambda x: (away[x], x))
+        out.append((best, 1 - away[best] / (most * len(mine))))
+    return out

@@ -1,6 +1,8 @@
 """The queries and the pipeline over a small folder of tables, held against plain Python versions."""
 
 import hashlib
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -46,6 +48,36 @@ def test_every_query_returns_every_document(run, odd_rows):
     assert sorted(str(r.conv_id) for r in run("op10")) == ["-1", "1", "None"]
 
 
+def test_op3(run, odd_docs):
+    rows = odd_docs.select("doc_id", "text", "source").collect()
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += count(r.text)
+    targets, got = brute.mix_targets(sizes), run("op3")
+    assert len(set(sizes.values())) == len(sizes)  # so that a source's size names it
+    name = {v: k for k, v in sizes.items()}
+    assert Counter((r.doc_id, r["size"], r.source_size) for r in got) == Counter((r.doc_id, count(r.text), sizes[r.source]) for r in rows)
+    taken = Counter()
+    for r in got:
+        assert r.target == pytest.approx(targets[name[r.source_size]]) and 0 <= r.taken <= 2 * r["size"]
+        taken[r.source_size] += r.taken
+    assert all(abs(taken[v] - targets[name[v]]) <= 1 for v in name)
+
+
+def test_op5(spark, tmp_path):
+    rng = random.Random(9)
+    made = {"aa": "abcde", "bb": "defgh", "cc": "éßñ한ab"}
+    rows = [(i, " ".join("".join(rng.choices(made[lang], k=rng.randint(1, 6))) for _ in range(rng.randint(1, 30))), lang) for i, lang in enumerate(rng.choices(list(made), k=90))]
+    rows += [(100, None, "aa"), (101, "12 !?", None), (102, "", "bb"), (103, "Ab-CD ef", None), (103, "hhh", "cc"), (None, "abc", "aa")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 4
+    want = brute.languages([(g, t) for i, t, g in rows if g is not None and fold(i) not in (2, None)], [t for _, t, _ in rows])
+    got = __spark_entry__.queries()["op5_rank_order_langid"](spark, str(tmp_path)).collect()
+    shown = lambda i, h, g, x: (i, h, g, round(x, 9))
+    assert Counter(shown(r.doc_id, r.held_out, r.lang_pred, r.score) for r in got) == Counter(shown(i, fold(i) == 2, g, x) for (i, _, _), (g, x) in zip(rows, want))
+
+
 def test_op4(run, odd_rows):
     cut = brute.repeat_cut([t for _, t in odd_rows], 400)
     want = Counter((i, len(b), len(b) - len(kept), n, hashlib.sha256(kept).hexdigest()) for (i, b), (kept, n) in zip(raw(odd_rows), cut))
@@ -60,6 +92,15 @@ def test_op6(run, odd_rows):
         slots[r.shard].append(r.slot)
         assert (r.law, r.grown_shard) == ("bytes", None) and 0 <= r.shard < 24
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    load, shards = Counter(), defaultdict(set)
+    for r in rows:
+        load[r.shard] += r["size"]
+        shards[r.text_crc32].add(r.shard)
+    room = -(-sum(load.values()) // 24)
+    group = Counter((t or None, zlib.crc32((t or "").encode())) for _, t in odd_rows)
+    # equal texts share a shard where one could hold them; nothing above the mean but for one group that no shard holds
+    assert all(len(shards[c]) == 1 for (t, c), n in group.items() if t and n * (len(t.encode()) + 8) <= room)
+    assert max(load.values()) <= max(room, max(len((t or "").encode()) + 8 for _, t in odd_rows))
 
 
 def test_op7(run, odd_rows):
