@@ -230,6 +230,14 @@ def q_filter_negations(spark, sf_dir):
     return df.select("o_orderkey", rule.alias("rule"))
 
 
+@query("""SELECT o_orderkey, o_orderdate >= TIMESTAMP '1995-06-01' AS bare, CASE o_orderkey % 2 WHEN 0 THEN o_orderdate - INTERVAL 9 HOURS >= TIMESTAMP '1995-05-31 15:00:00' ELSE o_orderdate >= TIMESTAMP '1995-06-01 00:00:00' END AS zoned FROM orders""")
+def q_filter_zones(spark, sf_dir):
+    """Dates with a zone and without against bounds of both kinds."""
+    df = made(spark, sf_dir, "orders", "o_orderkey", day="date_format(o_orderdate, 'yyyy-MM-dd') || CASE o_orderkey % 2 WHEN 0 THEN 'T00:00:00+09:00' ELSE 'T00:00' END")
+    bare, zoned = (filters.predicate(df, RecordFilter("day", "gte", b)) for b in ("1995-06-01", "1995-06-01T00:00:00+09:00"))
+    return df.select("o_orderkey", bare.alias("bare"), zoned.alias("zoned"))
+
+
 @query("""SELECT c_custkey, substr(c_name || ' ' || c_custkey || ' ' || CASE WHEN c_nationkey > 9 THEN 'True' ELSE 'False' END, 1, 800) AS told, c_mktsegment AS field, CASE WHEN c_mktsegment <> 'BUILDING' THEN length(c_mktsegment)::DOUBLE END AS first FROM customer""")
 def q_semantic_text(spark, sf_dir):
     """Texts for a model, and the vectors of those that a cache has."""

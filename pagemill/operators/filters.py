@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Any
 
@@ -40,15 +41,27 @@ def _alike(kind: str, value: Any) -> bool:
     return True
 
 
-def _ordered(df: DataFrame, field: str, bounds: list, typed: bool) -> tuple[Column, list[Column]]:
-    """A field and bounds in a type that compares: numbers through to_number, dates first if ``typed``."""
+ZONE = r"(?:Z|[+-]\d{2}:?\d{2})$"
+
+
+def _moments(c: Column, bound: str) -> tuple[Column, Column]:
+    """A field of ISO dates and a bound as moments; where either has no zone, the zones of both go."""
+    bare = lambda x: F.try_to_timestamp(F.regexp_replace(x, r"(?<=\d{2}:\d{2})(:\d{2}(?:\.\d+)?)?" + ZONE, "$1"))
+    field, limit = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c), F.lit(bound)
+    if not re.search(r"\d{2}:\d{2}.*" + ZONE, bound):
+        return bare(field), F.try_to_timestamp(limit)
+    zoned = field.rlike(r"\d{2}:\d{2}.*" + ZONE)
+    return F.when(zoned, F.try_to_timestamp(field)).otherwise(bare(field)), F.when(zoned, F.try_to_timestamp(limit)).otherwise(bare(limit))
+
+
+def _ordered(df: DataFrame, field: str, bounds: list, typed: bool) -> list[tuple[Column, Column]]:
+    """A field beside each bound in a type that compares: numbers through to_number, dates first if ``typed``."""
     kind, c = dict(df.dtypes)[field], F.col(field)
     if kind != "string":
-        return c, [F.lit(b) for b in bounds]
-    day = r"^\d{4}-\d{2}-\d{2}"
+        return [(c, F.lit(b)) for b in bounds]
     if typed and all(isinstance(b, str) and b[:4].isdigit() and b[4:5] == "-" for b in bounds):
-        return F.when(c.rlike(day), F.try_to_timestamp(c)), [F.try_to_timestamp(F.lit(b)) for b in bounds]
-    return values.to_number(c), [values.to_number(F.lit(b)) if isinstance(b, str) else F.lit(float(b)) for b in bounds]
+        return [_moments(c, b) for b in bounds]
+    return [(values.to_number(c), values.to_number(F.lit(b)) if isinstance(b, str) else F.lit(float(b))) for b in bounds]
 
 
 def predicate(df: DataFrame, f: RecordFilter, typed: bool = True) -> Column:
@@ -76,10 +89,10 @@ def predicate(df: DataFrame, f: RecordFilter, typed: bool = True) -> Column:
     elif f.op in ("matches", "not_matches"):
         out = text.rlike(v) if f.op == "matches" else ~text.rlike(v)
     elif f.op == "between":
-        x, (low, high) = _ordered(df, f.field, many, typed)
-        out = x.between(low, high)
+        (x, low), (y, high) = _ordered(df, f.field, many, typed)
+        out = (x >= low) & (y <= high)
     else:
-        x, (bound,) = _ordered(df, f.field, [v], typed)
+        ((x, bound),) = _ordered(df, f.field, [v], typed)
         out = {"gt": x > bound, "gte": x >= bound, "lt": x < bound, "lte": x <= bound}[f.op]
     return F.coalesce(c.isNotNull() & out, F.lit(False))
 

@@ -82,11 +82,13 @@ def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def admit(candidates: DataFrame, limits: Limits, order: list[str], used: DataFrame | None = None) -> DataFrame:
-    """candidates (url, depth, ...) with normal, pattern and reject_reason (null: admitted).
+    """candidates (url, depth, ..., normal if it is known) with normal, pattern and reject_reason (null: admitted).
 
     Every check but the last is by the row; the budget of a pattern counts what passes the others, in
     ``order``, on top of ``used`` (pattern, n) of earlier rounds."""
-    df = candidates.withColumn("normal", urls.normalize(F.col("url"), keep=list(limits.query_whitelist) if limits.query_whitelist else None))
+    df = candidates
+    if "normal" not in df.columns:
+        df = df.withColumn("normal", urls.normalize(F.col("url"), keep=list(limits.query_whitelist) if limits.query_whitelist else None))
     df = df.withColumn("reject_reason", reject_reason(F.col("normal"), F.col("depth"), limits)).withColumn("pattern", urls.pattern(F.col("normal")))
     passing = df.where(F.col("reject_reason").isNull())
     ranked = within_budget(passing, "pattern", order, limits.per_pattern_budget, used)

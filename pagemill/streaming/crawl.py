@@ -58,9 +58,10 @@ def depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
 
 
 def fresh(links: DataFrame, seen: DataFrame | None, limits: gate.Limits) -> DataFrame:
-    """Links (url, depth) of keys not in seen (dedupe_key), one of each; those without a key stay as they are."""
+    """Links (url, depth) of keys not in seen (dedupe_key), one of each, with normal; those without a key stay as they are."""
     normal = urls.normalize(F.col("url"), keep=list(limits.query_whitelist) if limits.query_whitelist else None)
-    one = gate.first_seen(links.select("url", "depth", F.coalesce(normal["dedupe_key"], "url").alias("dedupe_key")), "dedupe_key", ["url"])
+    plain = links.select("url", "depth").distinct().withColumn("normal", normal)
+    one = gate.first_seen(plain.withColumn("dedupe_key", F.coalesce("normal.dedupe_key", "url")), "dedupe_key", ["url"])
     return one.join(seen.select("dedupe_key"), "dedupe_key", "left_anti") if seen is not None else one
 
 
