@@ -128,13 +128,31 @@ def _cuts(tail: DataFrame, targets: list[int]) -> list[str]:
     return [p for p, _ in found]
 
 
+def _end_of_head(groups: DataFrame, most: int) -> str | None:
+    """The first place, by falling bytes, that is not among the ``most`` first groups, all groups of equal bytes or
+    none; None if all are. Counts by digits, as ``_cuts`` adds up bytes: no task and not the driver sees ``most`` rows of each partition."""
+    low, high, n = groups.agg(F.min("rank"), F.max("rank"), F.count(F.lit(1))).first()
+    if n <= most:
+        return None
+    found, before = commonprefix([low, high]), 0
+    while len(found) < SIZE_DIGITS:
+        length = min(len(found) + DIGIT, SIZE_DIGITS)
+        sums = groups.where(F.substring("rank", 1, len(found)) == found).groupBy(F.substring("rank", 1, length).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        for q, m in sorted(map(tuple, sums.collect())):
+            if before + m > most:
+                break
+            before += m
+        found = q
+    return found
+
+
 def pack_shards(docs: DataFrame, n_shards: int = 24, overhead: int = 8, keep_text: bool = False, capacity: int | None = None, head: int = HEAD) -> DataFrame:
     """Deal documents to n_shards of near equal bytes, or to as few as hold ``capacity`` bytes each; equal texts stay together.
 
     A document's size is its text's UTF-8 bytes plus overhead. Groups of equal texts (null is a text
     of its own here) are indivisible; only a group of more bytes than a shard's capacity is dealt in parts, SALTS
     hashes of doc_id. Groups go in by falling size, each to the bin with the least room that
-    holds it, or with most room if none does. The ``head`` largest groups take that way one by one, through the tree, on the driver.
+    holds it, or with most room if none does. The ``head`` largest groups (those of equal bytes all or none) take that way one by one, through the tree, on the driver.
     Of the rest each has less than 1/head of all bytes, and what the rule does with such a stream is to
     fill the bin with the least room up, then the next one: so the running sum of their bytes, by falling size of the text
     and then its digest, is cut at the bins' rooms. The cuts are found by digits, in a few passes that the driver sees
@@ -160,9 +178,12 @@ def pack_shards(docs: DataFrame, n_shards: int = 24, overhead: int = 8, keep_tex
     rows = stash.keep(docs.select("doc_id", *facts), "rows")
     total, n_rows = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
     room = capacity or max(1, -(-total // n_shards))
-    groups = stash.keep(rows.groupBy("_digest", "_size").agg((F.count(F.lit(1)) * F.col("_size")).alias("bytes")), "groups")
-    first = groups.orderBy(F.desc("bytes"), "_digest").limit(head)
-    large = [(bytes(r[0]), r[1]) for r in first.select("_digest", "bytes").collect()]
+    rank = F.lpad(F.hex(F.lit((1 << 4 * SIZE_DIGITS) - 1) - F.col("bytes")), SIZE_DIGITS, "0")
+    groups = rows.groupBy("_digest", "_size").agg((F.count(F.lit(1)) * F.col("_size")).alias("bytes"))
+    groups = stash.keep(groups.withColumn("rank", rank), "groups")
+    end = _end_of_head(groups, head)
+    first = groups if end is None else groups.where(F.col("rank") < end)  # ``head`` rows at most
+    large = sorted(((bytes(r[0]), r[1]) for r in first.select("_digest", "bytes").collect()), key=lambda x: (-x[1], x[0]))
     parts = []
     if split := [d for d, b in large if b > room]:  # fewer than the shards there are bytes for
         hot = F.broadcast(spark.createDataFrame([(d,) for d in split], "_digest binary"))
@@ -177,7 +198,8 @@ def pack_shards(docs: DataFrame, n_shards: int = 24, overhead: int = 8, keep_tex
         filled[x] += b
     seen = F.broadcast(spark.createDataFrame([(d,) for d, _ in large], "_digest binary"))
     tail = groups.join(seen, "_digest", "left_anti").select(place.alias("place"), "bytes")
-    left, largest = (total - sum(b for _, b in large), large[-1][1] if large else 0)
+    left = total - sum(b for _, b in large)
+    largest = (1 << 4 * SIZE_DIGITS) - 1 - int(end, 16) if end else 0  # of the rest
     order, cuts = list(range(n_shards)), []
     if left:
         if capacity:

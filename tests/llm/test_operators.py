@@ -316,8 +316,9 @@ def packed_plainly(rows, n, head):
     room = -(-sum(groups.values()) // n)
     order = sorted(groups, key=lambda t: (-groups[t], digest(t)))
     room_of, out = [room] * n, {}
-    first = sorted(order[:head], key=lambda t: (-groups[t], order.index(t)))
-    for t in first:
+    while 0 < head < len(order) and groups[order[head - 1]] == groups[order[head]]:
+        head -= 1  # groups of equal bytes all or none
+    for t in order[:head]:
         fits = [(r, b) for b, r in enumerate(room_of) if r >= groups[t]]
         out[t] = min(fits)[1] if fits else max((r, b) for b, r in enumerate(room_of))[1]
         room_of[out[t]] -= groups[t]
