@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BITS = 60  # of a fingerprint
 TOKEN = "[0-9a-zA-Z가-힣一-鿿]+"
 # Phrases of pages that say they are missing.
 MISSING = ["not found", "page not found", "no longer exists", "does not exist", "doesn't exist", "sorry, we can", "찾을 수 없", "존재하지 않", "페이지를 찾을", "삭제된 게시물", "ページが見つかり", "页面不存在", "未找到"]
@@ -23,8 +24,9 @@ def shingles(words: Column, size: int = 3) -> Column:
     """Runs of ``size`` words; of fewer words, all of them as one."""
 
     def cut(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1)))
-        return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " "))).otherwise(F.array().cast("array<string>"))
+        # single words by their place: a slice of an array would cost its whole length
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0)))
+        return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(size)]))).otherwise(F.array().cast("array<string>"))
 
     return bound(words, cut)
 
@@ -34,14 +36,18 @@ def md5_long(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def simhash(df: DataFrame, key: str, words: Column, bits: int = 60) -> DataFrame:
+def simhash(df: DataFrame, key: str, words: Column) -> DataFrame:
     """(key, fingerprint): a bit is set where more shingles have it in their md5 than not. Rows are
     summed by key, so a long text is no single row's work."""
     hashed = df.select(key, F.explode(shingles(words)).alias("s")).select(key, md5_long("s").alias("h"))
-    sums = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{i}") for i in range(bits)])
+    # two counters in each sum, as a text has fewer than 2 ** 30 words: of bit i, and of the one 30 above it
+    half = BITS // 2
+    both = F.lit(1 << half | 1).cast("long")
+    sums = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftright("h", i).bitwiseAND(both)).alias(f"b{i}") for i in range(half)])
     value = F.lit(0).cast("long")
-    for i in range(bits):
-        value = value.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    for i in range(BITS):
+        ones = F.shiftright(f"b{i - half}", half) if i >= half else F.col(f"b{i}").bitwiseAND(F.lit((1 << half) - 1).cast("long"))
+        value = value.bitwiseOR(F.when(ones * 2 > F.col("n"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
     return sums.select(key, value.alias("fingerprint"))
 
 

@@ -44,9 +44,17 @@ def _part(url: Column, n: int) -> Column:
 
 def escape(text: Column, safe: str) -> Column:
     """Percent-escapes the characters of a text that ``safe`` does not match."""
-    one = lambda c: F.when(c.rlike(f"^{safe}$"), c).when(c == " ", F.lit("%20")).otherwise(F.url_encode(c))
-    done = F.array_join(F.transform(F.split(text, ""), one), "")
-    return F.when(text.rlike(f"^{safe}*$"), text).otherwise(done)
+
+    def escaped(t: Column) -> Column:
+        # all but letters, digits and four marks; then the safe marks back, % last as the others' escapes have it
+        out = F.replace(F.url_encode(t), F.lit("+"), F.lit("%20"))
+        marks = [c for c in map(chr, range(33, 127)) if not c.isalnum() and (c in ".-*_") != bool(re.match(safe, c))]
+        for c in sorted(marks, key=lambda c: c == "%"):
+            code = F.lit(f"%{ord(c):02X}")
+            out = F.replace(out, F.lit(c), code) if c in ".-*_" else F.replace(out, code, F.lit(c))
+        return F.when(t.rlike(f"^{safe}*$"), t).otherwise(out)
+
+    return bound(text, escaped)
 
 
 def normal_escapes(text: Column, safe: str) -> Column:
@@ -320,19 +328,30 @@ def ipv4_number(address: Column) -> Column:
 
 def ipv6_digits(address: Column) -> Column:
     """The 32 hexadecimal digits of an IPv6 address in any of its spellings, null for others."""
-    return bound(F.lower(F.regexp_replace(address, r"^\[|%.*$|\]$", "")), _digits)
+    plain = F.lower(F.regexp_replace(address, r"^\[|%.*$|\]$", ""))
+    return F.when(address.contains(":"), bound(bound(bound(plain, _without_dotted), _halves), _digits))
+
 
+def _without_dotted(plain: Column) -> Column:
+    """An address whose last four bytes are written as IPv4, with those as two groups."""
+    dotted = r"\d+\.\d+\.\d+\.\d+$"
+    groups = lambda d: F.concat(F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4))
+    four = bound(F.lpad(F.lower(F.hex(ipv4_number(F.regexp_extract(plain, dotted, 0)))), 8, "0"), groups)
+    return F.when(plain.contains("."), F.concat(F.regexp_replace(plain, dotted, ""), four)).otherwise(plain)
 
-def _digits(plain: Column) -> Column:
-    tail = F.regexp_extract(plain, r"(\d+\.\d+\.\d+\.\d+)$", 1)
-    four = F.lpad(F.lower(F.hex(ipv4_number(tail))), 8, "0")
-    plain = F.when(tail != "", F.concat(F.regexp_replace(plain, r"\d+\.\d+\.\d+\.\d+$", ""), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4))).otherwise(plain)
+
+def _halves(plain: Column) -> Column:
+    """(before, after, gap): the groups on both sides of ::, and whether it is there."""
     some = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
-    before, after = some(F.substring_index(plain, "::", 1)), some(F.when(plain.contains("::"), F.substring_index(plain, "::", -1)).otherwise(""))
-    missing = F.lit(8) - F.size(before) - F.size(after)
-    groups = F.concat(before, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), after)
-    good = plain.contains(":") & (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & (plain.contains("::") == (missing > 0))
-    return F.when(good, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+    gap = plain.contains("::")
+    return F.struct(some(F.substring_index(plain, "::", 1)).alias("before"), some(F.when(gap, F.substring_index(plain, "::", -1)).otherwise("")).alias("after"), gap.alias("gap"))
+
+
+def _digits(x: Column) -> Column:
+    missing = F.lit(8) - F.size(x["before"]) - F.size(x["after"])
+    groups = F.concat(x["before"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), x["after"])
+    good = lambda g: (F.size(g) == 8) & F.forall(g, lambda d: d.rlike("^[0-9a-f]{1,4}$"))
+    return F.when((missing > 0) == x["gap"], bound(groups, lambda g: F.when(good(g), F.array_join(F.transform(g, lambda d: F.lpad(d, 4, "0")), ""))))
 
 
 def denied_address(address: Column) -> Column:
