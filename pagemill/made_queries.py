@@ -595,7 +595,7 @@ def q_crawl_graph(spark, sf_dir):
     return frontier.select("dedupe_key", "depth", "priority")
 
 
-@query("""SELECT 'https://s.test/p' || s_suppkey || 'x' AS dedupe_key, CASE WHEN s_suppkey % 7 = 0 THEN 'absent' WHEN s_suppkey % 7 = 1 THEN 'soft_404' WHEN s_suppkey % 7 IN (2, 3) AND s_suppkey > (SELECT min(s_suppkey) FROM supplier WHERE s_suppkey % 7 IN (2, 3)) THEN 'duplicate' ELSE 'page' END AS outcome, 1 AS depth FROM supplier
+@query("""SELECT 'https://s.test/p' || s_suppkey || 'x' AS dedupe_key, CASE WHEN s_suppkey % 7 = 0 THEN 'absent' WHEN s_suppkey % 7 = 1 THEN 'soft_404' WHEN s_suppkey % 7 IN (2, 3) AND s_suppkey || 'x' > (SELECT min(s_suppkey || 'x') FROM supplier WHERE s_suppkey % 7 IN (2, 3)) THEN 'duplicate' ELSE 'page' END AS outcome, 1 AS depth FROM supplier
 UNION ALL SELECT 'https://s.test/', 'page', 0""")
 def q_spider(spark, sf_dir):
     """A site whose home page links to a page for each supplier: missing, saying so, all of one text, or of their own."""
