@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, media, mixing, neardup, quality, repeats, sharding
+from . import audit, chat, decontam, langid, licenses, lines, media, mixing, neardup, quality, repeats, sharding, whiten
 from .storage import table
 
 
@@ -92,12 +92,31 @@ def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.document_filters(table(spark, sf_dir, "documents"))
+    rows = audit.with_labels(rows, table(spark, sf_dir, "labels"), {"good": "quality", "toxic": "toxic"})
+    out = audit.filter_audit(rows, F.col("part"), {f: F.col(f) for f in "ABCDE"}, {"good": F.col("good"), "toxic": F.col("toxic")})
+    return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def op12_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, d = whiten.usable(table(spark, sf_dir, "embeddings"))
+    return whiten.whitened(vectors, d, whiten.fit(vectors, d))
+
+
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    out = lines.label_lines(docs, lines.fit(docs, labels))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words", F.size("boilerplate").cast("long").alias("n_boilerplate"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_patience_licenses, op2_ftrl_quality, op3_mix_sources, op4_radix_repeats, op5_rank_order_langid, op6_pack_shards, op7_transport_streams, op8_minhash_components, op9_fm_decontaminate, op10_format_chat)}
+    return {f.__name__: f for f in (op1_patience_licenses, op2_ftrl_quality, op3_mix_sources, op4_radix_repeats, op5_rank_order_langid, op6_pack_shards, op7_transport_streams, op8_minhash_components, op9_fm_decontaminate, op10_format_chat, op11_filter_audit, op12_whiten_embeddings, op13_line_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_radix_repeats": OP4_SQL, "op8_minhash_components": OP8_SQL, "op9_fm_decontaminate": OP9_SQL, "op10_format_chat": OP10_SQL}
+    return {"op4_radix_repeats": OP4_SQL, "op8_minhash_components": OP8_SQL, "op9_fm_decontaminate": OP9_SQL, "op10_format_chat": OP10_SQL, "op11_filter_audit": OP11_SQL}
 
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -163,3 +182,23 @@ SELECT conv_id, count(*) AS n_turns,
   sum(n + 24)::BIGINT AS formatted_chars
 FROM m GROUP BY conv_id
 """
+
+# Documents by their set of failed filters, then every order of the five filters over those sets.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first, false)::INT AS fails FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+m AS MATERIALIZED (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+k AS (SELECT unnest(range(5)) AS f),
+o AS MATERIALIZED (SELECT a.f AS f1, b.f AS f2, c.f AS f3, d.f AS f4, e.f AS f5 FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT list_reduce(list_transform([f1, f2, f3, f4, f5], lambda x: substr('ABCDE', x + 1, 1)), lambda x, y: x || y) AS filter_order, i::INT AS step, [f1, f2, f3, f4, f5][i] AS f,
+  list_sum(list_transform(([f1, f2, f3, f4, f5])[1:i - 1], lambda x: 1 << x::INT))::BIGINT AS before FROM o, (SELECT unnest(range(1, 6)) AS i)),
+r AS (SELECT part, filter_order, step, f, sum(n) FILTER (fails & (coalesce(before, 0) | (1 << f)) = 0) AS kept, sum(n) FILTER (fails & coalesce(before, 0) = 0 AND fails >> f & 1 = 1) AS removed,
+  sum(n) FILTER (fails & coalesce(before, 0) <> 0 AND fails >> f & 1 = 1) AS redundant, sum(n) FILTER (fails = 1 << f) AS unique_fails,
+  sum(good) FILTER (fails & coalesce(before, 0) = 0 AND fails >> f & 1 = 1) AS good_lost, sum(toxic) FILTER (fails & coalesce(before, 0) = 0 AND fails >> f & 1 = 1) AS toxic_lost FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM r
+"""
