@@ -12,7 +12,7 @@ from pagemill.operators.filters import RecordFilter
 from pagemill.plans import recipe, verbs
 from pagemill.registry import query, table
 from pagemill.sources import web
-from pagemill.streaming import crawl
+from pagemill.streaming import crawl, events as event_stream
 
 
 def made(spark, sf_dir: str, name: str, *key: str, **columns: str) -> DataFrame:
@@ -575,10 +575,25 @@ def q_event_sink(spark, sf_dir):
     root = crawl.shared_folder(spark)
     events = crawl_events(spark, sf_dir).select("event_id", F.lit(None).cast("timestamp").alias("at"), (F.col("job_id") % 20).cast("string").alias("job_id"), "type", F.lit("u").alias("url"), F.when(F.col("type") == "page.failed", F.col("via")).alias("reason"), F.col("count").cast("long").alias("count"), F.lit(None).cast("string").alias("payload"))
     events.repartition(4).write.parquet(f"{root}/in")
-    crawl.sink_events(crawl.read_events(spark, f"{root}/in", 2), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    event_stream.drain(event_stream.sink_events(event_stream.read_events(spark, f"{root}/in", 2), f"{root}/out", f"{root}/checkpoint"))
     return spark.read.parquet(f"{root}/out/tallies").groupBy("job_id", "type", "reason").agg(F.sum("n").alias("n"), F.sum("count").alias("count"))
 
 
+@query("""SELECT (event_id % 20)::VARCHAR AS job_id, 'https://p.test/' || user_id AS url, '{"a":' || v.n || ',"b":{"k":' || v.n || ',"z":"' || event_type || '"}}' AS data
+FROM (SELECT event_id, user_id, event_type, unnest([event_id % 3, event_id % 3 + 1]) AS n FROM events) v GROUP BY ALL""")
+def q_record_sink(spark, sf_dir):
+    """Records of a stream that comes in three goes, each with events of its own and a third of the goes before, in another order of
+    names; the sink is started anew for each and keeps one of each identity."""
+    root = crawl.shared_folder(spark)
+    record = lambda n, e: f"'{{\"b\": {{\"z\": \"' || event_type || '\", \"k\": ' || ({n}) || '}}, \"a\": ' || ({n}) || ' }}{e}'"
+    payload = f"'[' || {record('event_id % 3', ',')} || {record('event_id % 3 + 1', ']')}"
+    rows = made(spark, sf_dir, "events", "event_id", at="ts", job_id="CAST(event_id % 20 AS STRING)", type="'records.extracted'", url="'https://p.test/' || user_id", reason="CAST(NULL AS STRING)", count="2L", payload=payload)
+    for go in range(3):
+        rows.where(f"event_id % 3 = {go} OR (event_id % 3 < {go} AND event_id % 7 < 3)").repartition(2).write.mode("append").parquet(f"{root}/in")
+        event_stream.drain(event_stream.sink_events(event_stream.read_events(spark, f"{root}/in", 1), f"{root}/out", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/out/records").select("job_id", "url", "data")
+
+
 # --- traversal
 
 

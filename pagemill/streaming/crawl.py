@@ -1,4 +1,4 @@
-"""Traversal of a link table round by round, and the event stream of a crawl."""
+"""Traversal of a link table round by round."""
 
 from __future__ import annotations
 
@@ -151,26 +151,3 @@ def spider(pages: DataFrame, seeds: DataFrame, limits: gate.Limits, keep: Keeper
         follow = judged.where("outcome = 'page'").select("url", F.explode("links").alias("href"))
         todo = follow.select(urls.join(F.col("url"), F.col("href")).alias("url"), F.lit(d + 1).alias("depth")).where(F.col("url").isNotNull())
     return visited.drop("pattern"), rejects
-
-
-EVENTS = "event_id long, at timestamp, job_id string, type string, url string, reason string, count long, payload string"
-
-
-def read_events(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """A stream over an append-only folder of events."""
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-
-
-def sink_events(events: DataFrame, out: str, checkpoint: str):
-    """Writes each batch of events to three tables under ``out``: events without their records, records of new
-    identity, and counts by job, type and reason. Counts are appended by batch, so a reader sums them; a batch
-    that is written twice after a failure has the same batch number, of which a reader takes one."""
-
-    def write(batch: DataFrame, n: int) -> None:
-        batch = batch.dropDuplicates(["job_id", "event_id"])
-        batch.drop("payload").withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/events/batch={n}")
-        records = batch.where("type = 'records.extracted'").withColumn("record_hash", F.sha2(F.concat_ws("\x00", "url", "payload"), 256))
-        records.dropDuplicates(["job_id", "url", "record_hash"]).select("job_id", "url", "record_hash", "payload").write.mode("overwrite").parquet(f"{out}/records/batch={n}")
-        batch.groupBy("job_id", "type", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("count")).write.mode("overwrite").parquet(f"{out}/tallies/batch={n}")
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -191,14 +191,3 @@ def test_crawl(spark):
     frontier, rejects = crawl.crawl(links, seeds, gate.Limits(max_depth=2, allowed_domains=("a.com",)))
     assert {r.dedupe_key: r.depth for r in frontier.collect()} == {"https://a.com/": 0, "https://a.com/x": 1, "https://a.com/y": 2}
     assert [(r.url, r.reason) for r in rejects.collect()] == [("https://b.com/", "out_of_scope")]
-
-
-def test_event_sink(spark, tmp_path):
-    schema = crawl.EVENTS
-    rows = [(1, None, "j", "page.fetched", "u", None, None, None), (2, None, "j", "records.extracted", "u", None, 2, '{"a": 1}'), (2, None, "j", "records.extracted", "u", None, 2, '{"a": 1}'), (3, None, "j", "page.failed", "v", "http_4xx", None, None)]
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    crawl.sink_events(crawl.read_events(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out/events")).count() == 3
-    assert spark.read.parquet(str(tmp_path / "out/records")).count() == 1
-    tallies = spark.read.parquet(str(tmp_path / "out/tallies"))
-    assert {(r.type, r.reason): r.n for r in tallies.collect()} == {("page.fetched", None): 1, ("records.extracted", None): 1, ("page.failed", "http_4xx"): 1}
