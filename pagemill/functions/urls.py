@@ -59,15 +59,14 @@ def escape(text: Column, safe: str) -> Column:
 
 def normal_escapes(text: Column, safe: str) -> Column:
     """Decodes escapes of unreserved characters, writes the others in capitals, escapes what is unsafe."""
-    pieces = F.split(text, "%")
 
     def piece(p: Column) -> Column:
         digits = F.upper(F.substring(p, 1, 2))
         char = F.char(F.conv(digits, 16, 10).cast("int"))
         return F.when(~p.rlike("^[0-9a-fA-F]{2}"), F.concat(F.lit("%"), p)).otherwise(F.concat(F.when(char.rlike(r"^[A-Za-z0-9\-._~]$"), char).otherwise(F.concat(F.lit("%"), digits)), F.substring(p, 3, 1 << 30)))
 
-    decoded = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece), ""))
-    return escape(F.when(text.contains("%"), decoded).otherwise(text), safe)
+    decoded = lambda pieces: F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece), ""))
+    return bound(text, lambda t: escape(F.when(t.contains("%"), bound(F.split(t, "%"), decoded)).otherwise(t), safe))
 
 
 def solid_path(path: Column) -> Column:
@@ -76,26 +75,36 @@ def solid_path(path: Column) -> Column:
     def step(done: Column, s: Column) -> Column:
         return F.when(s.isin("", "."), done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
 
-    out = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
-    return F.when(path.endswith("/") & (out != "/"), F.concat(out, F.lit("/"))).otherwise(out)
+    def solid(p: Column) -> Column:
+        out = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/"))
+        ended = bound(out, lambda o: F.when(p.endswith("/") & (o != "/"), F.concat(o, F.lit("/"))).otherwise(o))
+        return F.when(p.startswith("/") & ~p.contains("//") & ~p.contains("/."), p).otherwise(ended)
+
+    return bound(path, solid)
 
 
 def query_pairs(query: Column) -> Column:
     """Array of (key, value) of a query without its question mark; blank values stay."""
-    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    plain = lambda x: F.when(x.rlike("[%+]"), F.coalesce(F.try_url_decode(x), x)).otherwise(x)
     items = F.filter(F.split(query, "&"), lambda p: p != "")
     return F.transform(items, lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("key"), F.when(p.contains("="), plain(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("").alias("value")))
 
 
 def clean_query(query: Column, keep: list[str] | None = None, ordered: bool = False) -> Column:
     """A query without tracking and session parameters; with ``keep`` only those, with ``ordered`` sorted."""
-    return F.when(F.coalesce(query, F.lit("")) == "", "").otherwise(_shown(query_pairs(query), keep, ordered))
+    return F.when(F.coalesce(query, F.lit("")) == "", "").otherwise(_shown(_kept_pairs(query), keep, ordered))
+
+
+def _kept_pairs(query: Column) -> Column:
+    """Array of (key, value, text) of a query without tracking and session parameters; text is the pair with its escapes, written once."""
+    kept = F.filter(query_pairs(query), lambda p: ~p["key"].isin(TRACKING) & ~p["key"].rlike(SESSION))
+    text = lambda p: F.concat(escape(p["key"], QUERY_SAFE), F.when(p["value"] == "", "").otherwise(F.concat(F.lit("="), escape(p["value"], QUERY_SAFE))))
+    return F.transform(kept, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"), text(p).alias("text")))
 
 
 def _shown(pairs: Column, keep: list[str] | None = None, ordered: bool = False) -> Column:
-    kept = F.filter(pairs, lambda p: ~p["key"].isin(TRACKING) & ~p["key"].rlike(SESSION) & (p["key"].isin(keep) if keep is not None else F.lit(True)))
-    one = lambda p: F.concat(escape(p["key"], QUERY_SAFE), F.when(p["value"] == "", "").otherwise(F.concat(F.lit("="), escape(p["value"], QUERY_SAFE))))
-    return F.array_join(F.transform(F.array_sort(kept) if ordered else kept, one), "&")
+    kept = F.filter(pairs, lambda p: p["key"].isin(keep)) if keep is not None else pairs
+    return F.array_join((F.array_sort(kept) if ordered else kept)["text"], "&")
 
 
 def _without_dots(path: Column) -> Column:
@@ -144,7 +153,7 @@ def _parsed(whole: Column) -> Column:
     return F.struct(
         F.lower(_part(whole, 1)).alias("scheme"), F.lower(F.regexp_extract(net, r"^(\[[^\]]*\]|[^:]*)", 1)).alias("host"),
         F.nullif(F.regexp_extract(net, r":(\d*)$", 1), F.lit("")).try_cast("int").alias("port"),
-        solid_path(normal_escapes(_part(whole, 3), PATH_SAFE)).alias("path"), query_pairs(F.regexp_replace(_part(whole, 4), r"^\?", "")).alias("query"),
+        solid_path(normal_escapes(_part(whole, 3), PATH_SAFE)).alias("path"), _kept_pairs(F.regexp_replace(_part(whole, 4), r"^\?", "")).alias("query"),
         (net.rlike(r"^(\[[^\]]*\]|[^:]*)(:\d*)?$") & ~whole.rlike(r"[\x00-\x1F\x7F]")).alias("clean"),
     )
 
@@ -153,7 +162,7 @@ def _normal(p: Column, keep: list[str] | None) -> Column:
     scheme, host, path = p["scheme"], p["host"], p["path"]
     number = F.when(((scheme == "http") & (p["port"] == 80)) | ((scheme == "https") & (p["port"] == 443)), None).otherwise(p["port"])
     root = F.concat(scheme, F.lit("://"), host, F.coalesce(F.concat(F.lit(":"), number.cast("string")), F.lit("")))
-    asked = lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))
+    asked = lambda q: bound(q, lambda x: F.when(x == "", "").otherwise(F.concat(F.lit("?"), x)))
     bare = F.coalesce(F.nullif(F.regexp_replace(path, "/+$", ""), F.lit("")), F.lit("/"))
     good = scheme.isin("http", "https") & (host != "") & p["clean"] & (F.coalesce(number, F.lit(0)) <= 65535)
     made = F.struct(

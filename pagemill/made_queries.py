@@ -7,17 +7,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import paths, texts, urls, values
-from pagemill.operators import dedupe, discover, extract, filters, gate, jobs, naming, reduce, structure, structured
+from pagemill.operators import dedupe, discover, extract, filters, gate, jobs, naming, nodes, reduce, structure, structured
 from pagemill.operators.filters import RecordFilter
 from pagemill.plans import recipe, verbs
-from pagemill.registry import query, table
+from pagemill.registry import query, spread, table
 from pagemill.sources import web
 from pagemill.streaming import crawl, events as event_stream
 
 
 def made(spark, sf_dir: str, name: str, *key: str, **columns: str) -> DataFrame:
     """Columns of a table with more, each a Spark SQL expression."""
-    return table(spark, sf_dir, name).select(*key, *[F.expr(v).alias(k) for k, v in columns.items()])
+    return spread(table(spark, sf_dir, name)).select(*key, *[F.expr(v).alias(k) for k, v in columns.items()])
 
 
 # --- sources
@@ -215,7 +215,7 @@ def q_host_stats(spark, sf_dir):
 def q_trap_reasons(spark, sf_dir):
     url = "'https://t.test/' || CASE c_custkey % 4 WHEN 0 THEN 'a/b/c/d/e/' WHEN 1 THEN 'x/y/x/x/' WHEN 2 THEN 'p?a=1&b=2&c=3' ELSE 'ok/x/y/x?a=1' END || c_custkey"
     df = made(spark, sf_dir, "customer", "c_custkey", url=url, depth="0")
-    return gate.admit(df, gate.Limits(max_path_depth=5, max_repeated_segment=2, max_query_params=2), ["c_custkey"]).select("c_custkey", "reject_reason")
+    return gate.admit(df, gate.Limits(max_path_depth=5, max_repeated_segment=2, max_query_params=2, per_pattern_budget=1 << 30), ["c_custkey"], keep_table=crawl.keeper(spark)).select("c_custkey", "reject_reason")
 
 
 # --- filters
@@ -333,7 +333,7 @@ def q_field_kinds(spark, sf_dir):
     html = "'<div><p><b class=n>' || c_name || ' &amp; co</b><img SRC=/i.png></p><i data-k=\"' || c_mktsegment || '\"> ' || c_name || ' <script>x</script></i><a href=\"/c/' || c_custkey || '\">y</a><img class=l data-src=/lazy.png src=/eager.png><br></div>'"
     df = made(spark, sf_dir, "customer", "c_custkey", html=html, url="'https://c.test/'")
     fields = [("label", "i", "text", None), ("markup", "p", "html", None), ("href", "a", "href", None), ("src", "img.l", "src", None), ("attr", "i", "attr", "data-k"), ("empty", "br", "html", None)]
-    out = extract.css_records(df, "div", [{"name": n, "selector": s, "type": t, "attr": a} for n, s, t, a in fields], "c_custkey")
+    out = nodes.css_records(df, "div", [{"name": n, "selector": s, "type": t, "attr": a} for n, s, t, a in fields], "c_custkey")
     return out.select("c_custkey", F.regexp_replace("label", " x$", "").alias("label"), F.regexp_extract("markup", "^<p>(.*)</p>$", 1).alias("markup"), "href", "src", "attr", "empty")
 
 

@@ -9,15 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions import dom, values
+from pagemill.functions import dom
 
 # Fixed values.
 SKIP_SCHEMES = r"^(?i)(#|mailto:|tel:|javascript:|data:|ftp:|file:)"
 SKIP_FILES = r"(?i)\.(css|js|mjs|json|xml|png|jpe?g|gif|svg|webp|ico|bmp|woff2?|ttf|eot|otf|mp3|mp4|avi|mov|webm|zip|gz|rar|7z|pdf|exe|dmg)(\?|#|$)"
 STATES = ["__NEXT_DATA__", "__NUXT_DATA__", "__APOLLO_STATE__", "__INITIAL_STATE__", "__PRELOADED_STATE__", "ng-state"]
-BOILERPLATE = re.compile(r"nav|menu|sidebar|footer|header|comment|share|related|promo|advert|banner|breadcrumb|cookie", re.I)
-CONTENT = re.compile(r"article|content|post|entry|story|body|text|main", re.I)
-DROPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "iframe", "svg"}
 # Names of meta tags and the fields they fill.
 META = dict(x.split("=") for x in """
 og:title=title og:description=description og:url=canonical og:site_name=site_name og:type=kind og:image=image og:image:secure_url=image
@@ -25,29 +22,27 @@ og:video=video og:video:url=video og:video:secure_url=video og:video:type=video_
 twitter:title=title twitter:description=description twitter:image=image twitter:player=video description=description author=author
 og:video:duration=duration_s video:duration=duration_s
 """.split())
-WORD = re.compile(r"[0-9a-zA-ZÀ-ɏ가-힣一-鿿ぁ-んァ-ヶ]+")
 
-
-def _links(tree, _):
+def _links(tree):
     out = [(n.attrs.get("href") or "").strip() for n in dom.select(tree, "a[href]")]
     return [x for x in dict.fromkeys(out) if x]
 
 
-def _canonical(tree, _):
+def _canonical(tree):
     n = dom.first(tree, 'link[rel="canonical"]')
     return (n.attrs.get("href") or "").strip() or None if n else None
 
 
-def _title(tree, _):
+def _title(tree):
     n = dom.first(tree, "title")
     return dom.clean(n.text()) if n else None
 
 
-def _visible(tree, _):
+def _visible(tree):
     return dom.clean((dom.first(tree, "body") or tree).text(dom.SILENT))
 
 
-def _meta(tree, _):
+def _meta(tree):
     """Fields of meta tags, the first value of each in the page; other og: and twitter: names as they are."""
     out = {}
     for n in dom.select(tree, "meta"):
@@ -60,7 +55,7 @@ def _meta(tree, _):
                 continue
         elif field and value:
             out.setdefault(field, value)
-    if "canonical" not in out and (link := _canonical(tree, None)):
+    if "canonical" not in out and (link := _canonical(tree)):
         out["canonical"] = link
     return out
 
@@ -90,7 +85,7 @@ def _flatten(value, depth=0):
                 yield from _flatten(v, depth + 1)
 
 
-def _jsonld(tree, _):
+def _jsonld(tree):
     found = [_loads(n.text()) for n in dom.select(tree, 'script[type="application/ld+json"]')]
     return [json.dumps(x, ensure_ascii=False, sort_keys=True) for v in found for x in _flatten(v)]
 
@@ -123,16 +118,16 @@ def _item(scope, depth=0):
     return out
 
 
-def _microdata(tree, _):
+def _microdata(tree):
     tops = [n for n in dom.select(tree, "[itemscope]") if "itemprop" not in n.attrs]
     return [json.dumps(x, ensure_ascii=False, sort_keys=True) for x in map(_item, tops) if len(x) > 1]
 
 
-def _embedded(tree, _):
+def _embedded(tree):
     return {n.attrs["id"]: json.dumps(v, ensure_ascii=False) for n in dom.select(tree, "script[id]") if n.attrs["id"] in STATES and (v := _loads(n.text())) is not None}
 
 
-def _tables(tree, _):
+def _tables(tree):
     """The first table with a header of two cells and two rows, as maps."""
     for t in dom.select(tree, "table"):
         rows = dom.select(t, "tr")
@@ -145,62 +140,13 @@ def _tables(tree, _):
     return []
 
 
-def _words(text):
-    return len(WORD.findall(text))
-
-
-def _article(tree, _):
-    """(title, text, word_count) of the densest block; a block of links or of boilerplate counts little."""
-    best, score = None, 0.0
-    for n in dom.select(tree, "article, main, section, div, td, body"):
-        words = _words(n.text(DROPPED))
-        linked = sum(_words(a.text()) for a in dom.select(n, "a"))
-        own = words * (1 - min(linked / max(words, 1), 1))
-        hint = f"{n.attrs.get('class') or ''} {n.attrs.get('id') or ''}"
-        own *= (0.25 if BOILERPLATE.search(hint) else 1) * (1.6 if CONTENT.search(hint) else 1) * (1.5 if n.tag == "article" else 1)
-        if own > score:
-            best, score = n, own
-    text = dom.clean(best.text(DROPPED)) if best else None
-    if not text or _words(text) < 40:
-        return None
-    h1 = dom.first(tree, "h1")
-    return {"title": (dom.clean(h1.text()) if h1 else None) or _title(tree, None), "text": text, "word_count": _words(text)}
-
-
-def field_value(node, kind: str, attr: str | None = None):
-    if kind == "html":
-        return node.markup() if node.tag != "#root" else "".join(c.markup() if isinstance(c, dom.Node) else c for c in node.children)
-    if kind == "href":
-        return node.attrs.get("href")
-    if kind == "src":
-        return node.attrs.get("data-src") or node.attrs.get("src")
-    if kind == "attr":
-        return node.attrs.get(attr)
-    return dom.clean(node.text())
-
-
-def _css(tree, spec):
-    """A map of each container's fields; a page without a container setting is one record."""
-    tops = dom.select(tree, spec["container"]) if spec.get("container") else [tree]
-    out = []
-    for top in tops:
-        row = {}
-        for f in spec["fields"]:
-            n = dom.first(top, f["selector"]) if f.get("selector") else top
-            row[f["name"]] = field_value(n, f.get("type", "text"), f.get("attr")) if n is not None else None
-        if any(v not in (None, "") for v in row.values()):
-            out.append(row)
-    return out
-
-
 PARTS = {
     "links": (_links, "array<string>"), "canonical": (_canonical, "string"), "title": (_title, "string"), "visible_text": (_visible, "string"), "meta": (_meta, "map<string,string>"),
     "jsonld": (_jsonld, "array<string>"), "microdata": (_microdata, "array<string>"), "embedded": (_embedded, "map<string,string>"), "table": (_tables, "array<map<string,string>>"),
-    "article": (_article, "struct<title: string, text: string, word_count: long>"), "css": (_css, "array<map<string,string>>"),
 }
 
 
-def extract(pages: DataFrame, parts: list[str], spec: dict | None = None, html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, parts: list[str], html: str = "html") -> DataFrame:
     """Adds the parts of each page that are asked for as columns, from one parse. The page itself is dropped, so
     that it is not carried on. Null pages give empty parts."""
 
@@ -209,7 +155,7 @@ def extract(pages: DataFrame, parts: list[str], spec: dict | None = None, html:
             trees = [dom.parse(x.as_py()) for x in batch.column(html)]
             cols = {}
             for p in parts:
-                found, kind = [PARTS[p][0](t, spec) for t in trees], batch.schema.field(p).type
+                found, kind = [PARTS[p][0](t) for t in trees], batch.schema.field(p).type
                 cols[p] = pa.array([list(map(_pairs, x)) if pa.types.is_list(kind) and pa.types.is_map(kind.value_type) else _pairs(x) if pa.types.is_map(kind) else x for x in found], kind)
             names = [n for n in batch.schema.names if n != html]
             yield pa.RecordBatch.from_arrays([cols[n] if n in cols else batch.column(n) for n in names], names=names)
@@ -227,10 +173,3 @@ def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     df = extract(pages.select(key, "html"), ["links"])
     df = df.select(key, F.posexplode("links").alias("pos", "href"))
     return df.where((F.col("href") != "") & ~F.col("href").rlike(SKIP_SCHEMES) & ~F.col("href").rlike(SKIP_FILES))
-
-
-def css_records(pages: DataFrame, container: str | None, fields: list[dict], key: str = "page_id", url: str = "url") -> DataFrame:
-    """(key, url, one column a field): a row for each container; transforms are columns after the parse."""
-    df = extract(pages.select(key, url, "html"), ["css"], {"container": container, "fields": fields})
-    df = df.select(key, url, F.explode("css").alias("row"))
-    return df.select(key, url, *[values.chain(F.col("row")[f["name"]], f.get("transform", ["trim"]), F.col(url)).alias(f["name"]) for f in fields])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.functions import urls
+from pagemill.functions import texts, urls
 
 
 @dataclass(frozen=True)
@@ -81,15 +81,16 @@ def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return best.select(key, *[F.col(f"_first.{c}").alias(c) for c in names])
 
 
-def admit(candidates: DataFrame, limits: Limits, order: list[str], used: DataFrame | None = None) -> DataFrame:
+def admit(candidates: DataFrame, limits: Limits, order: list[str], used: DataFrame | None = None, keep_table=lambda t: t) -> DataFrame:
     """candidates (url, depth, ..., normal if it is known) with normal, pattern and reject_reason (null: admitted).
 
-    Every check but the last is by the row; the budget of a pattern counts what passes the others, in
-    ``order``, on top of ``used`` (pattern, n) of earlier rounds."""
-    df = candidates
-    if "normal" not in df.columns:
-        df = df.withColumn("normal", urls.normalize(F.col("url"), keep=list(limits.query_whitelist) if limits.query_whitelist else None))
-    df = df.withColumn("reject_reason", reject_reason(F.col("normal"), F.col("depth"), limits)).withColumn("pattern", urls.pattern(F.col("normal")))
+    Every check but the last is by the row, and all of them read one parsed URL; the budget of a pattern counts what passes the others, in
+    ``order``, on top of ``used`` (pattern, n) of earlier rounds. ``keep_table`` may write the rows checked, which are read several times."""
+    known = "normal" in candidates.columns
+    normal = F.col("normal") if known else urls.normalize(F.col("url"), keep=list(limits.query_whitelist) if limits.query_whitelist else None)
+    told = lambda n: F.struct(n.alias("normal"), reject_reason(n, F.col("depth"), limits).alias("reject_reason"), urls.pattern(n).alias("pattern"))
+    df = candidates.withColumn("_told", texts.bound(normal, told)).select(*[c for c in candidates.columns if c != "normal"], "_told.*")
+    df = keep_table(df)
     passing = df.where(F.col("reject_reason").isNull())
     ranked = within_budget(passing, "pattern", order, limits.per_pattern_budget, used)
     ranked = ranked.withColumn("reject_reason", F.when(F.col("over"), "pattern_budget")).drop("over")

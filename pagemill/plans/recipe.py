@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import paths, values
-from pagemill.operators import extract, filters, quality
+from pagemill.operators import extract, filters, nodes, quality
 from pagemill.sources import web
 
 SOURCES = ["css", "jsonld", "microdata", "embedded", "feed", "table", "article"]
@@ -116,13 +116,13 @@ def records(recipe: Recipe, pages: DataFrame, key: str = "page_id", url: str = "
         pages = pages.where(supported(recipe, F.col("content_type")))
     fields = [{"name": f.name, "selector": f.selector, "type": f.type, "attr": f.attr, "transform": list(f.transform) or ["trim"]} for f in recipe.fields]
     if recipe.source == "css":
-        return extract.css_records(pages, recipe.container, fields, key, url)
+        return nodes.css_records(pages, recipe.container, fields, key, url)
     shown = lambda f, v: values.chain(v, list(f.transform), F.col(url)).alias(f.name)
     if recipe.source in SHAPES or recipe.source == "table":
         if recipe.source == "feed":
             rows = pages.select(key, url, F.explode(web.read_feed(F.col("html").cast("binary"), F.col(url))).alias("row")).where(F.col("row.error").isNull())
         elif recipe.source == "article":
-            rows = extract.extract(pages.select(key, url, "html"), ["article"]).where(F.col("article").isNotNull()).withColumnRenamed("article", "row")
+            rows = nodes.articles(pages, [key, url]).select(key, url, F.struct("title", "text", "word_count").alias("row"))
         else:
             rows = extract.extract(pages.select(key, url, "html"), ["table"]).select(key, url, F.explode("table").alias("row"))
         own = recipe.fields or tuple(Field(n, n) for n in SHAPES.get(recipe.source, ()))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import paths, texts, urls, values
-from pagemill.operators import dedupe, extract, filters, gate, jobs, quality
+from pagemill.operators import dedupe, extract, filters, gate, jobs, nodes, quality
 from pagemill.operators.filters import RecordFilter
-from pagemill.registry import QUERIES, SQL, query, table
+from pagemill.registry import QUERIES, SQL, query, spread, table
 from pagemill.streaming import crawl
 
 # Common parts of the SQL side. The pages' URLs have no userinfo, port, escape or dot segment.
@@ -29,7 +29,7 @@ p AS (SELECT *, host || '/' || array_to_string(list_transform(list_filter(string
 
 
 def seen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("u"))
+    df = spread(table(spark, sf_dir, "pages")).select("page_id", urls.normalize(F.col("url")).alias("u"))
     return df.select("page_id", "u.*", urls.pattern(F.col("u")).alias("pattern"), urls.score(F.col("u.url"), F.col("page_id") % 4).alias("score"))
 
 
@@ -63,8 +63,8 @@ GATE = gate.Limits(max_depth=2, allowed_domains=("example.com", "example.org"),
   WHEN length(url) > 40 THEN 'url_length' WHEN len(q) > 0 THEN 'query_params' END AS r FROM p)
 SELECT page_id, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY r IS NULL, pattern ORDER BY page_id) > 1 THEN 'pattern_budget' ELSE r END AS reject_reason FROM g""")
 def q_gate_reasons(spark, sf_dir):
-    df = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 4).cast("int").alias("depth"))
-    return gate.admit(df, GATE, ["page_id"]).select("page_id", "reject_reason")
+    df = spread(table(spark, sf_dir, "pages")).select("page_id", "url", (F.col("page_id") % 4).cast("int").alias("depth"))
+    return gate.admit(df, GATE, ["page_id"], keep_table=crawl.keeper(spark)).select("page_id", "reject_reason")
 
 
 @query(URLS + "SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, count(*) AS n FROM p GROUP BY ALL")
@@ -91,27 +91,34 @@ u AS (SELECT page_id, replace(trim(href), '&amp;', '&') AS href, min(i) AS i FRO
 
 @query(LINKS + "SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, href FROM u WHERE href <> ''")
 def q_links(spark, sf_dir):
-    return extract.links(table(spark, sf_dir, "pages")).select("page_id", "pos", "href")
+    return extract.links(spread(table(spark, sf_dir, "pages"))).select("page_id", "pos", "href")
 
 
 @query(LINKS + "SELECT page_id, count(*) AS links, count(DISTINCT href[1:2]) AS heads FROM u WHERE href <> '' GROUP BY page_id")
 def q_link_counts(spark, sf_dir):
-    return extract.links(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.countDistinct(F.substring("href", 1, 2)).alias("heads"))
+    return extract.links(spread(table(spark, sf_dir, "pages"))).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.countDistinct(F.substring("href", 1, 2)).alias("heads"))
 
 
-UNESCAPED = "trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))"
+UNESCAPED = "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(f"SELECT page_id, {UNESCAPED.replace('x,', 'regexp_extract(html, $$<h1>([^<]*)$$, 1),', 1)} AS title, length({UNESCAPED.replace('x,', 'regexp_extract(html, $$<title>([^<]*)$$, 1),', 1)}) AS title_length FROM pages")
 def q_css_records(spark, sf_dir):
-    df = extract.css_records(table(spark, sf_dir, "pages"), None, [{"name": "title", "selector": "article > h1"}, {"name": "head", "selector": "head title"}])
+    df = nodes.css_records(spread(table(spark, sf_dir, "pages")), None, [{"name": "title", "selector": "article > h1"}, {"name": "head", "selector": "head title"}])
     return df.select("page_id", "title", F.length("head").alias("title_length"))
 
 
-@query()
+# Runs of text between tags; every page's best block is its article element. A title that holds references is read as they are.
+ARTICLE = r"""WITH a AS (SELECT page_id, list_transform(list_filter(string_split_regex(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>'), lambda x: x <> ''), lambda x: {0}) AS runs, {1} AS title FROM pages),
+t AS (SELECT page_id, title, trim(regexp_replace(array_to_string(runs, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM a)
+SELECT page_id, title, len(regexp_extract_all(text, '[0-9a-zA-Z가-힣一-鿿ぁ-ヿ]+'))::BIGINT AS word_count, sha256(text) AS text_sha256 FROM t WHERE len(regexp_extract_all(text, '[0-9a-zA-Z가-힣一-鿿ぁ-ヿ]+')) >= 40"""
+READ = "trim(regexp_replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&nbsp;', ' '), '&amp;?', '&', 'g'), ' ' || chr(10))"
+
+
+@query(ARTICLE.replace("{0}", READ.format("x")).replace("{1}", READ.format("regexp_extract(html, '<h1>([^<]*)', 1)")))
 def q_article(spark, sf_dir):
-    df = extract.extract(table(spark, sf_dir, "pages"), ["article", "visible_text", "meta", "canonical", "jsonld", "microdata", "embedded", "table"])
-    return df.select("page_id", "article.title", "article.word_count", F.sha2("article.text", 256).alias("text_sha256"), F.size(texts.tokens(F.col("visible_text"))).alias("visible_tokens"), "canonical", F.size("meta").alias("metas"), F.size("jsonld").alias("jsonld"))
+    df = nodes.articles(spread(table(spark, sf_dir, "pages")), ["page_id"])
+    return df.select("page_id", "title", "word_count", F.sha2("text", 256).alias("text_sha256"))
 
 
 TOKENS = "regexp_extract_all(text, '[0-9a-zA-Z가-힣一-鿿]+')"
@@ -120,12 +127,12 @@ TOKENS = "regexp_extract_all(text, '[0-9a-zA-Z가-힣一-鿿]+')"
 @query(f"SELECT doc_id, len({TOKENS}) AS n_tokens, len({TOKENS}) >= 30 AS long_enough FROM documents")
 def q_tokens(spark, sf_dir):
     n = F.size(texts.tokens(F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_tokens"), (n >= 30).alias("long_enough"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", n.alias("n_tokens"), (n >= 30).alias("long_enough"))
 
 
 @query(f"WITH d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS of_key FROM documents WHERE len({TOKENS}) >= 30) SELECT * FROM d WHERE doc_id <> of_key")
 def q_exact_duplicates(spark, sf_dir):
-    return dedupe.exact(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_id").select("doc_id", "of_key")
+    return dedupe.exact(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "doc_id").select("doc_id", "of_key")
 
 
 # 60 sums a document, as in the operator
@@ -138,7 +145,7 @@ f AS (SELECT doc_id, sum(CASE WHEN ones * 2 > n THEN 1::BIGINT << bit ELSE 0 END
 
 @query(SIMHASH + "SELECT doc_id, fingerprint FROM f")
 def q_simhash(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").where(F.size(texts.tokens(F.col("text"))) >= 30)
+    df = spread(table(spark, sf_dir, "documents")).where(F.size(texts.tokens(F.col("text"))) >= 30)
     return texts.simhash(df, "doc_id", texts.tokens(F.col("text")))
 
 
@@ -160,12 +167,12 @@ SELECT doc_id, coalesce(l.leader, g.node) AS leader FROM f JOIN g USING (fingerp
 
 @query(LEADERS.replace("WITH t AS", "WITH RECURSIVE t AS", 1))
 def q_near_leaders(spark, sf_dir):
-    return dedupe.near_leaders(table(spark, sf_dir, "documents"), "doc_id", "text", crawl.keeper(spark))
+    return dedupe.near_leaders(spread(table(spark, sf_dir, "documents")), "doc_id", "text", crawl.keeper(spark))
 
 
 @query(f"SELECT doc_id, trim(text) = '' OR (regexp_matches(lower(text), 'not found|no longer exists|does not exist|doesn''t exist|sorry, we can') AND len({TOKENS}) < 160) AS soft_404 FROM documents")
 def q_soft_404(spark, sf_dir):
-    return dedupe.soft_404(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "soft_404")
+    return dedupe.soft_404(spread(table(spark, sf_dir, "documents")), "doc_id", "text").select("doc_id", "soft_404")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag NOT IN ('A', 'X') AND l_discount > 0.05 AND l_linestatus <> 'F' AND contains(CAST(l_orderkey AS VARCHAR), '1')")
@@ -208,7 +215,7 @@ def q_quality(spark, sf_dir):
 def q_json_path(spark, sf_dir):
     k = paths.json_path(F.col("props"), "k")
     nested = F.concat(F.lit('{"a":[{"b":{"@value":'), k, F.lit("}}]}"))
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), paths.json_path(nested, "a.b").alias("deep"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", k.alias("k"), paths.json_path(nested, "a.b").alias("deep"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'page' WHEN 1 THEN 'cursor' WHEN 2 THEN 'offset' ELSE 'none' END AS style,
@@ -219,7 +226,7 @@ def q_pagination(spark, sf_dir):
         F.when(way == 0, F.concat(F.lit('{"meta":{"page":'), c, F.lit("}}"))).when(way == 1, F.concat(F.lit('{"next_cursor":"c'), c, F.lit('"}')))
         .when(way == 2, F.concat(F.lit('{"offset":'), c, F.lit(',"limit":20}'))).otherwise("[]")
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", paths.pagination(body).alias("p")).select("o_orderkey", "p.style", "p.next")
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", paths.pagination(body).alias("p")).select("o_orderkey", "p.style", "p.next")
 
 
 @query("""SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18, 2))::DOUBLE AS price, o_custkey::DOUBLE AS grouped, ((o_custkey % 60) * 60 + o_orderkey % 60)::BIGINT AS clock, (o_orderkey % 24 * 3600 + o_custkey % 60)::BIGINT AS iso,
@@ -228,7 +235,7 @@ def q_transforms(spark, sf_dir):
     price = F.concat(F.lit("$"), F.format_string("%.2f", "o_totalprice"), F.lit(" net"))
     clock = F.format_string("%02d:%02d", (F.col("o_custkey") % 60).cast("int"), (F.col("o_orderkey") % 60).cast("int"))
     iso = F.format_string("PT%dH%dS", (F.col("o_orderkey") % 24).cast("int"), (F.col("o_custkey") % 60).cast("int"))
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         "o_orderkey", values.chain(price, ["to_number"]).alias("price"), values.chain(F.concat(F.lit("no. "), F.format_number("o_custkey", 0)), ["to_float"]).alias("grouped"),
         values.chain(clock, ["duration_to_seconds"]).alias("clock"), values.chain(iso, ["trim", "duration_to_seconds"]).alias("iso"), values.chain(F.date_format("o_orderdate", "yyyy/MM/dd"), ["parse_date"]).alias("day"),
     )
@@ -294,7 +301,7 @@ def q_bfs_depth(spark, sf_dir):
 
 @query()
 def q_crawl(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     found = extract.extract(pages.select("page_id", "url", "html"), ["links"]).select(urls.normalize(F.col("url"))["dedupe_key"].alias("page_key"), "links")
     found = found.select("page_key", F.explode("links").alias("href"))
     frontier, _ = crawl.crawl(found, pages.select("url"), gate.Limits(max_pages=1 << 30, max_depth=1, per_pattern_budget=50))
@@ -313,7 +320,7 @@ def q_semantic(spark, sf_dir):
 @query(f"""WITH t AS (SELECT doc_id, list_distinct(list_transform({TOKENS}, lambda x: lower(x))) AS w FROM documents)
 SELECT a.doc_id, CASE WHEN len(list_distinct(list_concat(a.w, b.w))) > 0 THEN round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 3) ELSE 0.0 END AS similarity FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
 def q_fingerprint_jaccard(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(texts.tokens(F.col("text"))).alias("w"))
+    df = spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_distinct(texts.tokens(F.col("text"))).alias("w"))
     other = df.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("w2"))
     return df.join(other, "doc_id").select("doc_id", texts.jaccard(F.col("w"), F.col("w2")).alias("similarity"))
 

@@ -11,6 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read, dealt to as many tasks as there are cores where it is read in fewer: a small file of one row group is one
+    task, whatever work a row costs. A table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def query(sql: str | None = None):
     def named(f):
         QUERIES[f.__name__] = f

@@ -25,7 +25,7 @@ def pages(spark):
 
 
 def test_parts(pages):
-    got = {r.page_id: r for r in extract.extract(pages, list(set(extract.PARTS) - {"css"})).collect()}
+    got = {r.page_id: r for r in extract.extract(pages, list(extract.PARTS)).collect()}
     r = got[1]
     assert (r.title, r.canonical, r.meta["title"], r.meta["description"]) == ("T", "https://a.com/c", "OG", "D")
     assert len(r.jsonld) == 2 and '"Offer"' in r.jsonld[1] and '"Ann"' in r.microdata[0]

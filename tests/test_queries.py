@@ -1,7 +1,6 @@
 """Every query with SQL gives the rows that DuckDB gives; the others run and keep their schema."""
 
 import datetime as dt
-import hashlib
 import math
 from collections import Counter
 from pathlib import Path
@@ -51,18 +50,3 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(own.queries()) - set(own.oracle_sql())))
 def test_runs_over_whole_tables(spark, name):
     assert own.queries()[name](spark, DATA).collect()
-
-
-def test_articles_against_plain_reading(spark):
-    """Each page's article is its article element: paragraphs of text between tags, entities read."""
-    import html
-    import re
-
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
-    for r in own.queries()["q_article"](spark, DATA).collect():
-        inner = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
-        text = " ".join(html.unescape(re.sub(r"<[^>]*>", "", inner)).split())
-        words = len(re.findall(r"[0-9a-zA-ZÀ-ɏ가-힣一-鿿ぁ-んァ-ヶ]+", text))
-        if words >= 40:
-            title = " ".join(html.unescape(re.search(r"<h1>(.*?)</h1>", inner, re.S)[1]).split())
-            assert (r.title, r.word_count, r.text_sha256) == (title, words, hashlib.sha256(text.encode()).hexdigest())
