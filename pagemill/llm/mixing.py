@@ -22,7 +22,7 @@ CHUNK = 4096  # slots, and rows, that are numbered in one group
 class Mix(NamedTuple):
     sources: DataFrame  # key, source, source_size, weight, target, words, slots
     schedule: DataFrame  # slot, key, rank, block, epoch, words
-    documents: DataFrame  # k1, k2, copy_no, doc_id, size, source_size, target, taken, starts
+    documents: DataFrame  # k1, k2, copy_no, doc_id, size, source_size, target, taken, slots, at
 
 
 def word_count(text: Column) -> Column:
@@ -70,9 +70,9 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, r
     taken more than ``repeat`` times.
 
     documents has one row for each input row: copy_no tells apart rows of equal doc_id and text (k1
-    and k2 are their hash), taken counts words, repeats included, and starts says how many slots
-    take the document's first word. Null or wordless text: size, taken and starts 0. Null doc_id: as
-    any value. Null source: a source of its own, last. An empty table gives empty tables. Ties in
+    and k2 are their hash), taken counts words, repeats included, slots has the slots that take the
+    document's first word, rising, and at its place in its source's stream. Null or wordless text: size and taken 0,
+    no slots. Null doc_id: as any value. Null source: a source of its own, last. An empty table gives empty tables. Ties in
     the shuffle go by doc_id and the second hash. Other columns are ignored."""
     spark, stash = docs.sparkSession, Stash(docs.sparkSession, "mix")
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
@@ -110,8 +110,8 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, r
     sched = sched.withColumn("block", F.col("rank") % F.col("blocks")).withColumn("epoch", F.floor(F.col("rank") / F.col("blocks")))
     reach = F.col("epoch") * size + F.col("block") * block
     part = F.least(F.lit(block), size - F.col("block") * block, F.col("words") - reach).cast("long")
-    sched = sched.select("slot", "key", "rank", "block", "epoch", part.alias("words"), (F.col("rank") == F.col("slots") - 1).alias("last"))
-    taken = sched.groupBy("key", "block").agg(F.sum(F.when(~F.col("last"), 1).otherwise(0)).alias("full"), F.coalesce(F.max(F.when(F.col("last"), F.col("words"))), F.lit(0)).alias("part"))
+    sched = sched.select("slot", "key", "rank", "block", "epoch", part.alias("words"))
+    taken = sched.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("slot", "words"))).alias("uses"))  # ``repeat`` at most
 
     buckets = 1
     while buckets * CHUNK < n_rows:
@@ -120,29 +120,31 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, r
     copy_no = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("key"))
     streams = rows.withColumn("copy_no", copy_no).withColumn("h", mixed).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
     streams = stash.keep(_running(streams, ["key"], "bucket", ["h", "doc_id", "k2", "copy_no"], "size"), "streams")
-    blank = streams.where(F.col("size") == 0)
     some = streams.where(F.col("size") > 0).withColumn("to", F.col("from") + F.col("size"))
     pieces = some.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     start = F.col("block") * block
     left, right = F.greatest("from", start), F.least(F.col("to"), start + block)
     first = F.col("from") >= start
-    met = pieces.join(taken, ["key", "block"], "left").withColumns({"full": F.coalesce("full", F.lit(0)), "part": F.coalesce("part", F.lit(0))})
-    got = met.withColumns({
-        "taken": F.col("full") * (right - left) + F.greatest(F.lit(0), F.least(right, start + F.col("part")) - left),
-        "starts": F.when(first, F.col("full") + (F.col("from") < start + F.col("part")).cast("long")).otherwise(0),
-    })
+    met = pieces.join(taken, ["key", "block"])
+    words_of = F.aggregate("uses", F.lit(0).cast("long"), lambda sum_, u: sum_ + F.greatest(F.lit(0).cast("long"), F.least(right, start + u["words"]) - left))
+    begun = F.transform(F.filter("uses", lambda u: F.col("from") < start + u["words"]), lambda u: u["slot"])
+    got = met.withColumns({"taken": words_of, "slots": F.when(first, begun)})
     cols = ["k1", "k2", "copy_no", "doc_id", "size", "key"]
-    got = got.groupBy(*cols).agg(F.sum("taken").cast("long").alias("taken"), F.sum("starts").cast("long").alias("starts"))
-    every = got.unionByName(blank.select(*cols, F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("starts")))
+    got = got.groupBy(*cols, F.col("from").alias("at")).agg(F.sum("taken").alias("taken"), F.max("slots").alias("slots"))
+    none = F.array().cast("array<long>")
+    every = streams.select(*cols, F.col("from").alias("at")).join(got.select("k1", "k2", "copy_no", "taken", "slots"), ["k1", "k2", "copy_no"], "left")
+    every = every.withColumns({"taken": F.coalesce("taken", F.lit(0).cast("long")), "slots": F.coalesce("slots", none)})
     documents = every.join(plan.select("key", "source_size", "target"), "key").drop("key")
-    return Mix(plan, sched.drop("last"), documents)
+    return Mix(plan, sched, documents)
 
 
 def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """The rows of docs as the mix takes them: each once for every slot that takes its first word, so
-    none to ``repeat`` times; wordless documents go. The columns are those of docs."""
+    none to ``repeat`` times, in the order of the slots and within a slot in that of its source's stream; wordless
+    documents go. Partitions hold ranges of slots, so that any first part of the output is mixed as the whole is. The
+    columns are those of docs."""
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
     by = Window.partitionBy("k1", "k2").orderBy("_0")
-    mine = mix.documents.where(F.col("starts") > 0).select("k1", "k2", "copy_no", "starts")
+    mine = mix.documents.where(F.size("slots") > 0).select("k1", "k2", "copy_no", F.explode("slots").alias("slot"), "at")
     out = hidden(docs, k1=k1, k2=k2).withColumn("copy_no", F.row_number().over(by)).join(mine, ["k1", "k2", "copy_no"])
-    return out.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("starts")))).select(*shown(docs))
+    return out.repartitionByRange("slot", "at").sortWithinPartitions("slot", "at", "k1", "k2", "copy_no").select(*shown(docs))

@@ -29,7 +29,7 @@ def op2_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mix.documents.select("doc_id", "size", "source_size", "target", "taken", "starts")
+    return mix.documents.select("doc_id", "size", "source_size", "target", "taken", F.get("slots", 0).alias("first_slot"), F.get("slots", 1).alias("second_slot"))
 
 
 def op4_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

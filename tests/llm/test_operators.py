@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from pagemill.llm import chat, decontam, langid, licenses, media, mixing, neardup, quality, repeats, sharding, words
 
 
@@ -131,7 +132,7 @@ def test_mix(odd_docs, odd_rows, no_docs):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mix_rows(odd_docs.repartition(5))), key=str)
     out = mixing.mixed_documents(odd_docs, mixing.mix_sources(odd_docs))
     assert out.columns == odd_docs.columns
-    assert by_row(out.collect(), "doc_id").total() == sum(r.starts for r in rows)
+    assert by_row(out.collect(), "doc_id").total() == sum(len(r.slots) for r in rows)
     assert mix_rows(no_docs) == [] and mixing.mixed_documents(no_docs, mixing.mix_sources(no_docs)).count() == 0
 
 
@@ -150,14 +151,36 @@ def test_targets_refill(spark):
     assert got == pytest.approx(want)
 
 
-def test_schedule_spreads_sources(spark):
-    docs = spark.createDataFrame([(i, "w " * 50, "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+def test_schedule_spreads_sources(spark, monkeypatch, tmp_path):
+    """Any first slots, and any first rows of the mix, hold the sources as the whole does; a schedule that is spoilt shows."""
+    docs = spark.createDataFrame([(i, f"w{i} " * 50, "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    query = __spark_entry__.queries()["op3_mix_sources"]
+
+    def furthest(keys, share):
+        """The most that a first part of keys is off its share."""
+        return max(abs(sum(k == key for k in keys[:n]) - part * n) for key, part in share.items() for n in range(10, len(keys), 10))
+
+    def run():
+        mix = mixing.mix_sources(docs)
+        slots = [k for _, k in sorted((r.slot, r.key) for r in mix.schedule.collect())]
+        out = [r.source for r in mixing.mixed_documents(docs, mix).collect()]
+        share = lambda keys: {k: n / len(keys) for k, n in Counter(keys).items()}
+        told = by_row(query(spark, str(tmp_path)).collect(), "doc_id", "taken", "first_slot", "second_slot")
+        return furthest(slots, share(slots)), furthest(out, share(out)), told
+
+    slots, rows, told = run()
+    assert slots < 12 and rows < 12
+    monkeypatch.setattr(mixing, "GOLDEN", 1)  # all points next to 0
+    slots, rows, spoilt = run()
+    assert slots > 100 and rows > 40 and told != spoilt
+
+
+def test_mix_comes_in_the_order_of_its_slots(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 40), "abcd"[i % 3]) for i in range(400)], "doc_id long, text string, source string").repartition(4)
     mix = mixing.mix_sources(docs)
-    slots = sorted((r.slot, r.key) for r in mix.schedule.collect())
-    share = {r.key: r.slots / len(slots) for r in mix.sources.collect()}
-    for key, part in share.items():
-        for n in range(50, len(slots), 50):
-            assert abs(sum(k == key for _, k in slots[:n]) - part * n) < 12
+    want = sorted((slot, r["at"], r.doc_id) for r in mix.documents.collect() for slot in r.slots)
+    assert [r.doc_id for r in mixing.mixed_documents(docs, mix).collect()] == [i for _, _, i in want]
 
 
 # --- 4 repeats
