@@ -514,11 +514,19 @@ def crawl_events(spark, sf_dir) -> DataFrame:
     return events.select("event_id", F.col("user_id").alias("job_id"), kind.alias("type"), (F.col("event_id") % 7).alias("count"), via.alias("via"))
 
 
-@query(f"""WITH e AS ({CRAWL}), r AS (SELECT job_id, event_id, type, count(*) FILTER (type = 'page.fetched') OVER w AS pages_done, coalesce(sum(count) FILTER (type = 'records.extracted') OVER w, 0)::BIGINT AS records_total FROM e WINDOW w AS (PARTITION BY job_id % 9 ORDER BY event_id)) SELECT job_id, event_id, pages_done, records_total FROM r WHERE false
-UNION ALL SELECT job_id, event_id, pages_done, records_total FROM (SELECT job_id % 9 AS job_id, event_id, type, count(*) FILTER (type = 'page.fetched') OVER w AS pages_done, coalesce(sum(count) FILTER (type = 'records.extracted') OVER w, 0)::BIGINT AS records_total FROM e WINDOW w AS (PARTITION BY job_id % 9 ORDER BY event_id)) WHERE type = 'page.fetched' AND pages_done % 10 = 0""")
+@query(f"""WITH e AS (SELECT job_id % 9 AS job_id, 'h' || event_id % 5 AS host, event_id, type, count FROM ({CRAWL})),
+a AS (SELECT job_id, host, event_id * 2 + 1 AS event_id, (type = 'page.fetched')::INT AS page, 0 AS came, (type IN ('page.fetched', 'page.failed'))::INT AS gone, CASE WHEN type = 'records.extracted' THEN count ELSE 0 END AS records FROM e
+  UNION ALL SELECT job_id, host, (event_id - event_id % 50) * 2, 0, 1, 0, 0 FROM e WHERE type IN ('page.fetched', 'page.failed') AND event_id % 11 > 0),
+g AS (SELECT job_id, host, event_id, sum(page) AS page, sum(came) AS came, sum(gone) AS gone, sum(records) AS records FROM a GROUP BY ALL),
+h AS (SELECT *, sum(came - gone) OVER (PARTITION BY job_id, host ORDER BY event_id) AS own FROM g),
+r AS (SELECT job_id, event_id, page, sum(page) OVER w AS pages_done, sum(came - gone) OVER w AS pages_queued, sum(records) OVER w AS records_total, sum((own > 0)::INT - (own - came + gone > 0)::INT) OVER w AS hosts_active FROM h WINDOW w AS (PARTITION BY job_id ORDER BY event_id))
+SELECT DISTINCT job_id, event_id, pages_done::BIGINT AS pages_done, pages_queued::BIGINT AS pages_queued, records_total::BIGINT AS records_total, hosts_active::BIGINT AS hosts_active FROM r WHERE page = 1 AND pages_done % 10 = 0""")
 def q_progress(spark, sf_dir):
-    """A snapshot after each ten pages of a job; nine jobs share all events."""
-    return jobs.progress(crawl_events(spark, sf_dir).withColumn("job_id", F.col("job_id") % 9))
+    """Snapshots after each ten pages of nine jobs, whose URLs were queued fifty events at a time; one in eleven never was."""
+    events = crawl_events(spark, sf_dir).withColumns({"job_id": F.col("job_id") % 9, "host": F.concat(F.lit("h"), F.col("event_id") % 5)}).select("job_id", "host", "event_id", "type", "count")
+    pages = events.where("type IN ('page.fetched', 'page.failed') AND event_id % 11 > 0")
+    queued = pages.select("job_id", "host", ((F.col("event_id") - F.col("event_id") % 50) * 2).alias("event_id"), F.lit(jobs.QUEUED).alias("type"), F.lit(None).cast("long").alias("count"))
+    return jobs.progress(events.withColumn("event_id", F.col("event_id") * 2 + 1).unionByName(queued))
 
 
 @query(f"SELECT via, count(*) AS n FROM ({CRAWL}) WHERE type = 'duplicate.detected' GROUP BY 1")
@@ -547,11 +555,14 @@ def q_paging(spark, sf_dir):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("""SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 5 = 0 AND o_orderstatus IN ('F', 'P') THEN 'pending' WHEN o_orderkey % 5 = 1 AND o_orderstatus = 'O' THEN 'cancelled' ELSE CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'failed' ELSE 'completed' END END AS status,
-  CASE WHEN o_orderkey % 5 = 0 AND o_orderstatus IN ('F', 'P') THEN 0 ELSE o_custkey END AS pages_crawled FROM orders WHERE o_orderkey < 500""")
+@query("""WITH j AS (SELECT o_orderkey AS job_id, o_orderkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) AND o_orderstatus IN ('F', 'P') AS again, o_orderkey IN (SELECT c_custkey FROM customer WHERE c_nationkey > 8) AS off,
+  CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'failed' ELSE 'completed' END AS status, o_custkey FROM orders)
+SELECT job_id, CASE WHEN off AND (again OR status = 'running') THEN 'cancelled' WHEN again THEN 'pending' ELSE status END AS status, CASE WHEN again THEN 0 ELSE o_custkey END AS pages_crawled FROM j""")
 def q_retry_cancel(spark, sf_dir):
-    df = made(spark, sf_dir, "orders", job_id="o_orderkey", status="CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'failed' ELSE 'completed' END", pages_crawled="o_custkey").where("job_id < 500")
-    return jobs.cancel(jobs.retry(df, list(range(0, 500, 5))), list(range(1, 500, 5)))
+    """Jobs named by one table start anew, then those named by another one are cancelled; some are in both."""
+    df = made(spark, sf_dir, "orders", job_id="o_orderkey", status="CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'failed' ELSE 'completed' END", pages_crawled="o_custkey")
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id"), "c_nationkey")
+    return jobs.cancel(jobs.retry(df, people.where("c_nationkey < 12")), people.where("c_nationkey > 8"))
 
 
 RECORDS = """'{"name": "' || p_name || '", "size": ' || p_size || CASE p_partkey % 2 WHEN 0 THEN ', "tags": ["a", "' || p_brand || '"]' ELSE '' END || CASE WHEN p_partkey % 50 = 49 THEN ', "late": null, "extra": {"k": 1}' ELSE '' END || '}'"""

@@ -36,16 +36,23 @@ def reap_stale(jobs: DataFrame, now: Column, after_s: int = 120, attempts: int =
 TERMINAL = ["completed", "failed", "cancelled"]
 
 
-def retry(jobs: DataFrame, ids: list[str]) -> DataFrame:
-    """Finished jobs of these ids start anew with their counters at 0; their records stay."""
-    again = F.col("job_id").isin(ids) & F.col("status").isin(TERMINAL)
+def _named(jobs: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
+    """jobs with a flag: whether ids (job_id) names the job."""
+    return jobs.join(ids.select("job_id").distinct().withColumn(flag, F.lit(True)), "job_id", "left")
+
+
+def retry(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Finished jobs that ids (job_id) names start anew with their counters at 0; their records stay."""
+    df = _named(jobs, ids, "_again")
+    again = F.col("_again").isNotNull() & F.col("status").isin(TERMINAL)
     zero = {c: F.when(again, 0).otherwise(F.col(c)) for c in ("attempts", "pages_crawled", "pages_failed", "records_extracted") if c in jobs.columns}
-    return jobs.withColumns({"status": F.when(again, "pending").otherwise(F.col("status")), **zero})
+    return df.withColumns({"status": F.when(again, "pending").otherwise(F.col("status")), **zero}).select(jobs.columns)
 
 
-def cancel(jobs: DataFrame, ids: list[str]) -> DataFrame:
-    """Open jobs of these ids are cancelled."""
-    return jobs.withColumn("status", F.when(F.col("job_id").isin(ids) & ~F.col("status").isin(TERMINAL), "cancelled").otherwise(F.col("status")))
+def cancel(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Open jobs that ids (job_id) names are cancelled."""
+    df = _named(jobs, ids, "_off")
+    return df.withColumn("status", F.when(F.col("_off").isNotNull() & ~F.col("status").isin(TERMINAL), "cancelled").otherwise(F.col("status"))).select(jobs.columns)
 
 
 def after_cursor(events: DataFrame, cursor: int, limit: int, id_: str = "event_id") -> DataFrame:
@@ -68,22 +75,42 @@ def duplicates_by_via(events: DataFrame) -> DataFrame:
 
 
 PROGRESS_EVERY = 10
+QUEUED = "url.queued"
 RUN = 1 << 16  # event ids that are added up in one group
 
 
+def _running(df: DataFrame, part: list[str], order: str, run: int, **sums: Column) -> DataFrame:
+    """df with running sums by ``order``, a whole number, within ``part``: inside runs of ``run`` numbers and between the totals of
+    those, so one task sees a part of a long sequence. Rows of equal order count together."""
+    df = df.withColumn("_run", F.floor(F.col(order) / run))
+    df = df.withColumns({f"_in_{n}": c for n, c in sums.items()})
+    totals = df.groupBy(*part, "_run").agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums])
+    past = Window.partitionBy(*part).orderBy("_run")
+    totals = totals.select(*part, "_run", *[(F.sum(f"_t_{n}").over(past) - F.col(f"_t_{n}")).alias(f"_p_{n}") for n in sums])
+    here = Window.partitionBy(*part, "_run").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"_in_{n}": F.sum(f"_in_{n}").over(here) for n in sums}).join(totals, [*part, "_run"])
+    return df.withColumns({n: F.col(f"_p_{n}") + F.col(f"_in_{n}") for n in sums}).drop("_run", *[x for n in sums for x in (f"_in_{n}", f"_p_{n}")])
+
+
 def progress(events: DataFrame, job: str = "job_id", every: int = PROGRESS_EVERY) -> DataFrame:
-    """(job, event_id, pages_done, records_total) after each ``every`` pages of a job, in order of event_id.
-
-    Sums run within RUN ids and between the totals of those, so one task sees a part of a long job."""
-    page, count = (F.col("type") == "page.fetched").cast("long"), F.when(F.col("type") == "records.extracted", F.coalesce("count", F.lit(0))).otherwise(0).cast("long")
-    rows = events.select(job, "event_id", page.alias("page"), count.alias("records"), F.floor(F.col("event_id") / RUN).alias("run"))
-    runs = rows.groupBy(job, "run").agg(F.sum("page").alias("p"), F.sum("records").alias("r"))
-    past = Window.partitionBy(job).orderBy("run")
-    runs = runs.select(job, "run", (F.sum("p").over(past) - F.col("p")).alias("p0"), (F.sum("r").over(past) - F.col("r")).alias("r0"))
-    here = Window.partitionBy(job, "run").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"p": F.sum("page").over(here), "r": F.sum("records").over(here)}).join(runs, [job, "run"])
-    rows = rows.select(job, "event_id", "page", (F.col("p0") + F.col("p")).alias("pages_done"), (F.col("r0") + F.col("r")).alias("records_total"))
-    return rows.where((F.col("page") == 1) & (F.col("pages_done") % every == 0)).drop("page")
+    """(job, event_id, pages_done, pages_queued, records_total, hosts_active) after each ``every`` pages of a job, by event_id.
+
+    events has type, count, url and host. pages_queued: URLs queued (events of type QUEUED) less those that were fetched or failed so far.
+    hosts_active: hosts of which some URL is queued and neither fetched nor failed. Rejected URLs do not count.
+
+    All four are sums of differences: a page adds one, a URL leaves its queue by one, and a host adds one when its own queue
+    rises from nothing and takes one away when it is empty again. Sums run within RUN ids and between the totals of those, for a
+    job and for each of its hosts, so one task sees a part of a long job."""
+    type_, one = F.col("type"), lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    count = F.when(type_ == "records.extracted", F.coalesce("count", F.lit(0))).otherwise(0).cast("long")
+    rows = events.select(job, "event_id", F.coalesce("host", F.lit("")).alias("host"), one(type_ == "page.fetched").alias("page"), one(type_ == QUEUED).alias("came"), one(type_.isin("page.fetched", "page.failed")).alias("left"), count.alias("records"))
+    rows = rows.groupBy(job, "host", "event_id").agg(*[F.sum(c).alias(c) for c in ("page", "came", "left", "records")])
+    queue = _running(rows, [job, "host"], "event_id", RUN, own=F.col("came") - F.col("left"))
+    before = F.col("own") - F.col("came") + F.col("left")
+    queue = queue.withColumn("turn", one(F.col("own") > 0) - one(before > 0)).groupBy(job, "event_id").agg(*[F.sum(c).alias(c) for c in ("page", "came", "left", "records", "turn")])
+    out = _running(queue, [job], "event_id", RUN, pages_done=F.col("page"), records_total=F.col("records"), pages_queued=F.col("came") - F.col("left"), hosts_active=F.col("turn"))
+    shown = out.where(F.floor(F.col("pages_done") / every) > F.floor((F.col("pages_done") - F.col("page")) / every))
+    return shown.select(job, "event_id", "pages_done", "pages_queued", "records_total", "hosts_active")
 
 
 def best_recipes(measured: DataFrame, key: str, recipe: str = "recipe", score: str = "score") -> DataFrame:

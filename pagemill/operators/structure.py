@@ -127,8 +127,8 @@ def containers(pages: DataFrame, keep_table, key: str = "page_id", html: str = "
 
     (key, place, selector, parent_selector, count, depth, text_density, score, columns). The score grows with
     the number of members, how filled and how many their columns are, and the words of a member; a group
-    inside navigation counts a quarter. Of groups with equal counts on a page the one of the better score stays
-    if they share over 0.6 of the samples of the smaller. Ties go by place in the page. Pages without
+    inside navigation counts a quarter. Of groups with equal counts on a page, from the best score down, one goes that shares over
+    0.6 of the samples of the smaller with the last one kept. Ties go by place in the page. Pages without
     repeats, null and empty ones give no rows. ``keep_table`` writes the elements, which are read several times."""
     nodes = keep_table(elements(pages, key, html))
     group = [key, "parent", "sig"]
@@ -145,14 +145,31 @@ def containers(pages: DataFrame, keep_table, key: str = "page_id", html: str = "
     parents = nodes.select(key, F.col("node").alias("parent"), F.col("sel").alias("parent_selector"))
     found = found.join(parents, [key, "parent"])
     found = found.withColumn("seen", F.array_distinct(F.flatten(F.col("columns.samples"))))
-    better = found.select(key, F.col("count"), F.col("score").alias("score2"), F.col("first").alias("first2"), F.col("seen").alias("seen2"))
-    share = F.size(F.array_intersect("seen", "seen2")) / F.least(F.size("seen"), F.size("seen2"))
-    above = (F.col("score2") > F.col("score")) | ((F.col("score2") == F.col("score")) & (F.col("first2") < F.col("first")))
-    same = found.join(better, [key, "count"]).where(above & (share > 0.6)).select(*group).distinct()
-    kept = found.join(same, group, "left_anti").withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "first")))
+    kept = found.join(_unlike(found, key), group, "left_semi").withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "first")))
     return kept.where(F.col("place") <= limit).select(key, "place", "selector", "parent_selector", "count", "depth", F.round("density", 1).alias("text_density"), "score", "columns")
 
 
+SAME_ROWS = 0.6  # of the samples of the smaller group
+
+
+def _unlike(found: DataFrame, key: str) -> DataFrame:
+    """(key, parent, sig) of the groups that stay, of groups with seen, their samples. Each is held against the last one kept of its
+    count, so the order decides: a fold over the groups of one page and count, best first."""
+    here = F.struct((-F.col("score")).alias("s"), F.col("first"), F.col("parent"), F.col("sig"), F.col("seen"))
+    lined = found.groupBy(key, "count").agg(F.sort_array(F.collect_list(here)).alias("line"))
+    ident = "struct<parent: int, sig: string>"
+    start = F.struct(F.array().cast("array<string>").alias("last"), F.array().cast(f"array<{ident}>").alias("kept"))
+
+    def step(done: Column, g: Column) -> Column:
+        share = F.size(F.array_intersect(done["last"], g["seen"])) / F.least(F.size(done["last"]), F.size(g["seen"]))
+        like = (F.size(done["last"]) > 0) & (F.size(g["seen"]) > 0) & (share > SAME_ROWS)
+        own = F.array(F.struct(g["parent"].cast("int").alias("parent"), g["sig"].alias("sig")))
+        return F.when(like, done).otherwise(F.struct(g["seen"].alias("last"), F.concat(done["kept"], own).alias("kept")))
+
+    kept = lined.select(key, F.explode(F.aggregate("line", start, step)["kept"]).alias("x"))
+    return kept.select(key, "x.parent", "x.sig")
+
+
 def magnitude(count: Column) -> Column:
     return F.when(count < 5, "s").when(count < 20, "m").when(count < 100, "l").otherwise("xl")
 

@@ -122,8 +122,9 @@ def test_leaders_are_kept_pages(spark):
 
 def test_jobs(spark):
     df = spark.createDataFrame([("a", "completed", 2, 9), ("b", "running", 1, 4), ("c", "pending", 0, 0)], "job_id string, status string, attempts int, pages_crawled int")
-    assert {r.job_id: (r.status, r.pages_crawled) for r in jobs.retry(df, ["a", "b"]).collect()} == {"a": ("pending", 0), "b": ("running", 4), "c": ("pending", 0)}
-    assert {r.job_id: r.status for r in jobs.cancel(df, ["a", "b"]).collect()} == {"a": "completed", "b": "cancelled", "c": "pending"}
+    named = df.sparkSession.createDataFrame([("a",), ("b",), ("b",), (None,)], "job_id string")
+    assert {r.job_id: (r.status, r.pages_crawled) for r in jobs.retry(df, named).collect()} == {"a": ("pending", 0), "b": ("running", 4), "c": ("pending", 0)}
+    assert {r.job_id: r.status for r in jobs.cancel(df, named).collect()} == {"a": "completed", "b": "cancelled", "c": "pending"}
     assert [r.job_id for r in jobs.page(df, ["job_id"], 1, 1).collect()] == ["b"]
 
 

@@ -40,3 +40,12 @@ def test_fingerprints(found):
 def test_similarity(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], ["a"])], "a array<string>, b array<string>")
     assert [r.x for r in df.select(structure.similarity(F.col("a"), F.col("b")).alias("x")).collect()] == [0.333, 0.0]
+
+
+def test_like_groups_are_held_against_the_last_kept(spark):
+    """Best first: B is like A and goes; C is like B, but not like A, and stays; D is like C and goes; E of another count stays."""
+    rows = [(1, "A", 9.0, ["1", "2", "3"]), (1, "B", 8.0, ["2", "3", "4"]), (1, "C", 7.0, ["3", "4", "5"]), (1, "D", 6.0, ["3", "4", "5", "6"]), (1, "F", 5.0, []), (2, "A", 1.0, ["1", "2", "3"])]
+    table = [(p, i, sig, 3, score, i, seen) for i, (p, sig, score, seen) in enumerate(rows)] + [(1, 9, "E", 4, 1.0, 9, ["1", "2", "3"])]
+    found = spark.createDataFrame(table, "page_id int, parent int, sig string, count long, score double, first int, seen array<string>").repartition(3)
+    got = sorted((r.page_id, r.sig) for r in structure._unlike(found, "page_id").collect())
+    assert got == [(1, "A"), (1, "C"), (1, "E"), (1, "F"), (2, "A")]
