@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import paths, texts, urls, values
-from pagemill.operators import dedupe, discover, extract, filters, gate, jobs, naming, nodes, reduce, structure, structured
+from pagemill.operators import dedupe, discover, extract, filters, gate, jobs, naming, nodes, redirects, reduce, structure, structured
 from pagemill.operators.filters import RecordFilter
 from pagemill.plans import recipe, verbs
 from pagemill.registry import query, spread, table
@@ -218,6 +218,27 @@ def q_trap_reasons(spark, sf_dir):
     return gate.admit(df, gate.Limits(max_path_depth=5, max_repeated_segment=2, max_query_params=2, per_pattern_budget=1 << 30), ["c_custkey"], keep_table=crawl.keeper(spark)).select("c_custkey", "reject_reason")
 
 
+HOP = "CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey + 1 WHEN o_orderkey % 97 = 1 THEN o_orderkey - 1 WHEN o_orderkey % 31 = 0 THEN o_orderkey WHEN o_orderkey % 5 = 0 THEN o_orderkey + 100000000 WHEN o_orderkey % 8 < 4 THEN o_orderkey + 3 ELSE o_orderkey // 2 END"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN 'bad' WHEN o_orderkey % 17 = 0 THEN 'denied' WHEN o_orderkey % 7 = 0 THEN 'end' ELSE 'hop' END AS kind, {HOP} AS nxt FROM orders),
+w AS (SELECT k AS s, k AS cur, 0 AS hops, [k] AS seen, NULL::VARCHAR AS error, false AS done FROM n
+  UNION ALL SELECT s, CASE WHEN step THEN nxt ELSE cur END, CASE WHEN step THEN hops + 1 ELSE hops END, CASE WHEN step THEN list_append(seen, nxt) ELSE seen END,
+    CASE WHEN step OR there AND kind = 'end' THEN NULL WHEN NOT there THEN CASE WHEN cur = -1 THEN 'ssrf_reject' ELSE 'absent' END WHEN hops >= 5 THEN 'redirect_max' WHEN kind = 'bad' THEN 'ssrf_reject' ELSE 'redirect_loop' END, NOT step
+  FROM (SELECT w.*, n.k IS NOT NULL AS there, n.kind, CASE WHEN n.kind = 'denied' THEN -1 ELSE n.nxt END AS nxt,
+    n.k IS NOT NULL AND n.kind IN ('hop', 'denied') AND w.hops < 5 AND NOT list_contains(w.seen, CASE WHEN n.kind = 'denied' THEN -1 ELSE n.nxt END) AS step FROM w LEFT JOIN n ON n.k = w.cur WHERE NOT w.done))
+SELECT 'https://r.test/o/' || s || 'x' AS url, CASE WHEN cur = -1 THEN 'http://10.0.0.1/' ELSE 'https://r.test/o/' || cur || 'x' END AS final_url, hops::INT AS hops, CASE WHEN error IS NULL THEN 200 END::INT AS status, error AS error_kind FROM w WHERE done
+UNION ALL SELECT 'http://10.0.0.1/', 'http://10.0.0.1/', 0, NULL, 'ssrf_reject'""")
+def q_redirects(spark, sf_dir):
+    """Chains over the orders: answers, hops up, hops to half, pairs and single ones that lead back, missing, denied and unusable targets."""
+    hop = HOP.replace("o_orderkey // 2", "o_orderkey div 2")
+    status = "CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 OR o_orderkey % 7 > 0 THEN element_at(array(301, 302, 303, 307, 308), CAST(o_orderkey % 5 AS INT) + 1) ELSE 200 END"
+    location = f"CASE WHEN o_orderkey % 13 = 0 THEN 'ftp://r.test/x' WHEN o_orderkey % 17 = 0 THEN 'http://10.0.0.1' WHEN o_orderkey % 7 > 0 THEN '../o/' || ({hop}) || 'x?utm_source=' || o_custkey END"
+    df = made(spark, sf_dir, "orders", url="'https://r.test/o/' || o_orderkey || 'x'", status=status, location=location)
+    denied = spark.createDataFrame([("http://10.0.0.1/", 200, None)], "url string, status int, location string")
+    return redirects.follow(df.unionByName(denied), crawl.keeper(spark))
+
+
 # --- filters
 
 
