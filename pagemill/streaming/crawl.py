@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import texts, urls
 from pagemill.operators import dedupe, gate
+from pagemill.operators.seen import SeenSet
 from pagemill.tables import Keeper, keeper, shared_folder  # noqa: F401
 
 
@@ -26,12 +27,12 @@ def depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     return seen
 
 
-def fresh(links: DataFrame, seen: DataFrame | None, limits: gate.Limits) -> DataFrame:
-    """Links (url, depth) of keys not in seen (dedupe_key), one of each, with normal; those without a key stay as they are."""
+def fresh(links: DataFrame, seen: SeenSet, limits: gate.Limits) -> DataFrame:
+    """Links (url, depth) of keys not in seen, one of each, with normal; those without a key stay as they are."""
     normal = urls.normalize(F.col("url"), keep=list(limits.query_whitelist) if limits.query_whitelist else None)
     plain = links.select("url", "depth").distinct().withColumn("normal", normal)
     one = gate.first_seen(plain.withColumn("dedupe_key", F.coalesce("normal.dedupe_key", "url")), "dedupe_key", ["url"])
-    return one.join(seen.select("dedupe_key"), "dedupe_key", "left_anti") if seen is not None else one
+    return seen.fresh(one, "dedupe_key")
 
 
 def _admitted(checked: DataFrame) -> DataFrame:
@@ -52,15 +53,18 @@ def crawl(links: DataFrame, seeds: DataFrame, limits: gate.Limits, keep: Keeper
     from round to round."""
     keep = keep or keeper(links.sparkSession)
     todo = seeds.select("url").withColumn("depth", F.lit(0))
+    seen = SeenSet(links.sparkSession, keep)
     frontier = rejects = used = None
     for d in range(limits.max_depth + 1):
-        checked = keep(gate.admit(fresh(todo, frontier, limits), limits, ["url"], used))
-        new, bad = keep(_admitted(checked)), _rejected(checked)
+        checked = keep(gate.admit(fresh(todo, seen, limits), limits, ["url"], used))
+        new, bad = _admitted(checked), _rejected(checked)
         frontier = new if frontier is None else frontier.unionByName(new)
         rejects = bad if rejects is None else rejects.unionByName(bad)
         if new.isEmpty() or d == limits.max_depth:
             break
-        used = keep(frontier.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+        seen.add(new.select(F.col("dedupe_key").alias("key")))
+        counted = new.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+        used = keep(counted if used is None else used.unionByName(counted).groupBy("pattern").agg(F.sum("n").alias("n")))
         todo = new.join(links, new.dedupe_key == links.page_key).select(urls.join(F.col("url"), F.col("href")).alias("url"), F.lit(d + 1).alias("depth")).where(F.col("url").isNotNull())
     # the hosts met first, and of their pages the first ones
     place = frontier.withColumns({"host": urls.normalize(F.col("url"))["host"], "seq": F.struct("depth", (-F.col("priority")).alias("p"), "dedupe_key")})
@@ -86,7 +90,7 @@ def spider(pages: DataFrame, seeds: DataFrame, limits: gate.Limits, keep: Keeper
     keep = keep or keeper(pages.sparkSession)
     todo = seeds.select("url").withColumn("depth", F.lit(0))
     visited = rejects = used = burnt = None
-    seen, left, thin, kept = None, limits.max_pages, None, None
+    seen, left, thin, kept = SeenSet(pages.sparkSession, keep), limits.max_pages, None, None
     both = lambda a, b: b if a is None else a.unionByName(b)
     for d in range(limits.max_depth + 1):
         checked = keep(gate.admit(fresh(todo, seen, limits), limits, ["url"], used))
@@ -113,7 +117,7 @@ def spider(pages: DataFrame, seeds: DataFrame, limits: gate.Limits, keep: Keeper
         kept = keep(both(kept, good).join(leaders.where("place <> leader").select("place"), "place", "left_anti"))
         canonical = urls.normalize(urls.join(F.col("url"), F.col("canonical")), keep=list(limits.query_whitelist) if limits.query_whitelist else None)["dedupe_key"]
         named = judged.where("canonical IS NOT NULL").select(canonical.alias("dedupe_key")).where("dedupe_key IS NOT NULL")
-        seen = keep(both(seen, admitted.select("dedupe_key").union(named)).distinct())
+        seen.add(admitted.select("dedupe_key").union(named).withColumnRenamed("dedupe_key", "key"))
         burnt = both(burnt, judged.where("outcome = 'soft_404'").select("pattern", F.lit(limits.per_pattern_budget).cast("long").alias("n")))
         counted = both(used, admitted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))).unionByName(burnt)
         used = keep(counted.groupBy("pattern").agg(F.least(F.sum("n"), F.lit(limits.per_pattern_budget).cast("long")).alias("n")))
