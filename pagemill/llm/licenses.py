@@ -169,6 +169,23 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _held(place: np.ndarray, word: np.ndarray, most: np.ndarray, text_start: np.ndarray, size: int) -> np.ndarray:
+    """For each of some rising places, how many words of ``place`` the stretch of ``size`` words from there holds, each word up to its
+    ``most`` and inside one text. A word counts for the stretches that begin behind the word ``most`` times before it."""
+    order = np.argsort(word, kind="stable")
+    rank = np.arange(len(order)) - np.searchsorted(word[order], word[order])  # among those of the same word
+    earlier = np.full(len(order), -1)
+    some = rank >= most[order]
+    earlier[some] = place[order][np.flatnonzero(some) - most[order][some]]
+    before = np.empty(len(order), np.int64)
+    before[order] = earlier
+    low = np.maximum(np.maximum(before + 1, place - size + 1), text_start)
+    steps = np.zeros(len(place) + 1, np.int64)
+    np.add.at(steps, np.searchsorted(place, low), 1)
+    steps[1:] -= 1
+    return np.cumsum(steps)[:-1]
+
+
 class _Scanner:
     def __init__(self, templates: dict[str, list[str]], coverage: float):
         self.coverage, self.texts = coverage, []
@@ -179,9 +196,10 @@ class _Scanner:
                 if len(words):
                     self.texts.append((name, words.tolist()))
         self.known = np.unique(np.array([w for _, t in self.texts for w in t], np.uint64))
-        self.holds = np.zeros((len(self.texts), len(self.known) + 1), bool)
+        # how often each template has each word
+        self.holds = np.zeros((len(self.texts), len(self.known) + 1), np.int32)
         for k, (_, t) in enumerate(self.texts):
-            self.holds[k, np.searchsorted(self.known, np.array(t, np.uint64))] = True
+            np.add.at(self.holds[k], np.searchsorted(self.known, np.array(t, np.uint64)), 1)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.known >> np.uint64(44)] = True
 
@@ -193,18 +211,19 @@ class _Scanner:
         same = self.known[at] == hashes[some]
         which[some[same]] = at[same]
         some = some[same]  # words of any template, by rising place
-        text_end = starts[np.searchsorted(starts, some, "right")] if len(some) else some
+        text = np.searchsorted(starts, some, "right")
+        text_start, text_end = (starts[text - 1], starts[text]) if len(some) else (some, some)
         for k, (_, template) in enumerate(self.texts):
             # no notice without a stretch of twice the template's words that holds enough of its words
             need = int(np.ceil(self.coverage * len(template) - 1e-9))
-            mine = self.holds[k][which[some]]
+            most = self.holds[k][which[some]]
+            mine = most > 0
             place, end = some[mine], text_end[mine]
             if len(place) < need:
                 continue
-            full = place[need - 1 :] - place[: len(place) - need + 1] < 2 * len(template)
-            full &= place[need - 1 :] < end[: len(place) - need + 1]
+            held = _held(place, which[place], most[mine], text_start[mine], 2 * len(template))
             region = None
-            for p in np.flatnonzero(full).tolist():
+            for p in np.flatnonzero(held >= need).tolist():
                 span = (int(place[p]), int(end[p]))
                 if region and span[0] < region[1]:
                     continue  # inside the notice just found
@@ -230,7 +249,7 @@ def scan_licenses(docs: DataFrame, coverage: float = COVERAGE, templates: dict[s
     notice of each license; the given ones are notices and short forms, not whole license texts.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z folded. Where a stretch of twice a
-    template's length holds enough of its words, the stretch is aligned with it by patience; a notice is
+    template's length holds enough of its words, each counted no more often than the template has it, the stretch is aligned with it by patience; a notice is
     found where at least ``coverage`` of the template's words are aligned. Of notices that overlap, the one of more
     bytes stays, then of more aligned words, then of the lesser name. start and stop are bytes of the UTF-8 text. Null, empty
     and wordless texts: none. Repeated notices and rows repeat. Empty table: no rows. A column of

@@ -89,6 +89,96 @@ def test_patience_pairs_rise(a, b):
         assert len(pairs) == len(a)
 
 
+def plain_patience(a, b):
+    """As the definition says it: equal heads, equal tails, then the longest rising run of words that both have once."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = [(i, i) for i in range(head)] + [(len(a) - i, len(b) - i) for i in range(1, tail + 1)]
+    mid_a, mid_b = a[head : len(a) - tail], b[head : len(b) - tail]
+    once = [(i, mid_b.index(w)) for i, w in enumerate(mid_a) if mid_a.count(w) == 1 and mid_b.count(w) == 1]
+    best = []  # the longest rising run that ends at each pair
+    for n, (_, y) in enumerate(once):
+        runs = [best[m] for m in range(n) if once[m][1] < y]
+        best.append(max(runs, key=len, default=[]) + [once[n]])
+    anchors = max(best, key=len, default=[])
+    edges = [(-1, -1), *anchors, (len(mid_a), len(mid_b))]
+    inner = list(anchors)
+    if anchors:
+        for (p, q), (x, y) in zip(edges, edges[1:]):
+            inner += [(p + 1 + i, q + 1 + k) for i, k in plain_patience(mid_a[p + 1 : x], mid_b[q + 1 : y])]
+    return sorted(out + [(i + head, k + head) for i, k in inner])
+
+
+def plain_notices(text, templates, coverage):
+    """Each place of a text held against each template, without any test before the alignment."""
+    import re
+
+    spots = [(m[0], len(text[: m.start()].encode()), len(text[: m.end()].encode())) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.fold(text))]
+    own, found = [w for w, _, _ in spots], []
+    for name, forms in sorted(templates.items()):
+        for form in forms:
+            t = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.fold(form))
+            need, skip = -(-coverage * len(t) // 1), 0
+            for p in range(len(own)):
+                if p < skip:
+                    continue
+                for size in (2 * len(t), len(t) + len(t) // 4):
+                    pairs = plain_patience(own[p : p + size], t)
+                    if pairs and pairs[0][0] == 0 and len(pairs) >= need - 1e-9:
+                        skip = p + pairs[-1][0] + 1
+                        found.append((name, len(pairs) / len(t), len(pairs), spots[p][1], spots[skip - 1][2]))
+                        break
+    kept = []
+    for x in sorted(found, key=lambda x: (x[3] - x[4], -x[2], -x[1], x[0], x[3])):
+        if all(x[4] <= y[3] or y[4] <= x[3] for y in kept):
+            kept.append(x)
+    return sorted(kept, key=lambda x: x[3])
+
+
+def test_notices_as_by_holding_each_place_against_each_template(spark, tmp_path):
+    """The query over texts made of notices, whole, cut, doubled, shuffled and edited, among words that templates are full of."""
+    rng = random.Random(12)
+    forms = [f for x in licenses.TEMPLATES.values() for f in x]
+    common = "the of or to and software license a is this in any".split()
+    texts = []
+    for _ in range(24):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            words = rng.choice(forms).split()[:60]
+            what = rng.random()
+            if what < 0.3:
+                words = [w if rng.random() > 0.1 else rng.choice(common) for w in words]
+            elif what < 0.45:
+                rng.shuffle(words)
+            elif what < 0.6:
+                words = words[: rng.randint(1, len(words))]
+            parts += words + rng.choices(common, k=rng.randint(0, 20))
+        texts.append(" ".join(parts))
+    texts += [None, "", "the of or to " * 40, "é the MIT license"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in __spark_entry__.queries()["op1_patience_licenses"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        want = plain_notices(t or "", licenses.TEMPLATES, licenses.COVERAGE)
+        assert [(x.license, x.coverage, x.words, x.start, x.stop) for x in got[i].notices] == want
+        assert (got[i].n_notices, got[i].licenses) == (len(want), ",".join(sorted({x[0] for x in want})))
+
+
+def test_words_that_repeat_cost_their_length():
+    """A long text of a template's common words holds no stretch of enough of its words, so nothing is aligned."""
+    import time
+
+    texts = pa.array(["the of or to and software " * 40_000])
+    data, at = words.flat(texts)
+    hashes, starts = words.word_hashes(data, at, "alnum")
+    scanner = licenses._Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    began = time.perf_counter()
+    assert list(scanner.scan(hashes, starts)) == [] and time.perf_counter() - began < 10
+
+
 # --- 2 quality
 
 
