@@ -65,6 +65,64 @@ def test_op3(run, odd_docs):
     assert all(abs(taken[v] - targets[name[v]]) <= 1 for v in name)
 
 
+def test_op2(spark, tmp_path):
+    """Learning in a dictionary, a coordinate at a time, from n-grams counted as strings; scores as sums over them."""
+    import math
+
+    import numpy as np
+
+    from pagemill.llm import quality, words
+
+    rng = random.Random(21)
+    good, bad = "the cat sat on a mat and saw it".split(), "BUY now!! 100% | free $$$ click".split()
+    rows = [(i, " ".join(rng.choices(good if i % 3 else bad, k=rng.randint(0, 30)))) for i in range(60)] + [(100, None), (101, ""), (None, "x"), (3, "twice the id"), (102, "Ünï code\tÄ1 2")]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(50)] + [(None, 1, 0), (51, None, 0), (7, 0, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def grams(text):
+        shape = re.sub(r"(.)\1*", lambda m: m[1], "".join("u" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "a" if "a" <= c <= "z" or ord(c) > 127 else " " if c in "\t\n\v\f\r" else c for c in text))
+        out = Counter()
+        for kind, longest, own in (("word", quality.SURFACE, re.findall(r"[^\x20\x09-\x0D]+", brute.fold(text))), ("shape", quality.SHAPE, re.findall(r"[^\x20\x09-\x0D]+", brute.fold(shape)))):
+            out.update((kind, tuple(own[i : i + n])) for n in range(1, longest + 1) for i in range(len(own) - n + 1))
+        return out
+
+    def vector(text):
+        data, at = words.flat(__import__("pyarrow").array([text or ""]))
+        found, values = next(quality.features(data, at))
+        counts = Counter()
+        for n in grams(text or "").values():
+            counts[n] += 1
+        back = Counter(np.round(np.expm1(values * math.sqrt(sum(math.log1p(n) ** 2 for n in grams(text or "").values()))), 6).tolist()) if len(values) else Counter()
+        assert back == Counter({float(n): c for n, c in counts.items()})  # as many n-grams of each count
+        return dict(zip(found.tolist(), values.astype(np.float32).astype(float).tolist())), dict(zip(found.tolist(), values.tolist()))
+
+    fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 5
+    df = spark.createDataFrame([(i, y) for i, y, _ in labels if i is not None and y is not None and fold(i) != 0], "doc_id long, label int").join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+    sample = [(r.text, r.label) for r in df.orderBy(F.xxhash64("doc_id", "label"), "doc_id", "text").collect()]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= quality.L1 else (math.copysign(quality.L1, z[k]) - z[k]) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    for epoch in range(quality.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(sample)):
+            text, label = sample[k]
+            x = vector(text)[0] | {"bias": 1.0}
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items())))
+            for f, v in x.items():
+                g = (p - label) * v
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / quality.ALPHA * w[f]
+                n[f] += g * g
+    want = Counter()
+    for i, text in rows:
+        score = 1 / (1 + math.exp(-weight("bias") - sum(weight(f) * v for f, v in vector(text)[1].items())))
+        want[i, fold(i) == 0, round(score, 6), int(score >= 0.3)] += 1
+    got = __spark_entry__.queries()["op2_ftrl_quality"](spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.held_out, round(r.score, 6), r.predicted) for r in got) == want
+
+
 def test_op5(spark, tmp_path):
     rng = random.Random(9)
     made = {"aa": "abcde", "bb": "defgh", "cc": "éßñ한ab"}
