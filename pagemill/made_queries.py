@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import paths, texts, urls, values
 from pagemill.operators import dedupe, discover, extract, filters, gate, jobs, naming, nodes, redirects, reduce, structure, structured
 from pagemill.operators.filters import RecordFilter
+from pagemill.operators.seen import SeenSet
 from pagemill.plans import recipe, verbs
 from pagemill.registry import query, spread, table
 from pagemill.sources import web
@@ -305,25 +306,29 @@ def q_microdata_records(spark, sf_dir):
     return recipe.records(r, declared(spark, sf_dir), "p_partkey")
 
 
-@query("""SELECT c_nationkey AS nation, 'https://n.test/' AS url, c_custkey::VARCHAR AS id, c_name AS title FROM customer""")
+# Pages hold a bounded number of customers: of each sixty four, twelve and forty-four.
+LIST = "CAST((c_custkey // 60) * 3 + CASE WHEN c_custkey % 60 < 4 THEN 0 WHEN c_custkey % 60 < 16 THEN 1 ELSE 2 END AS INT)"
+
+
+@query(f"""SELECT {LIST} AS page, 'https://n.test/' AS url, c_custkey::VARCHAR AS id, c_name AS title FROM customer""")
 def q_embedded_records(spark, sf_dir):
-    """One page a nation, with its customers in the state of its framework."""
+    """One page for each sixty customers, with them in the state of its framework."""
     item = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("title")).alias("info")))
     state = F.concat(F.lit('{"props": {"page": {"items": ['), F.array_join(F.collect_list(item), ", "), F.lit("]}}}"))
-    pages = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(state.alias("state"))
-    pages = pages.select("nation", F.lit("https://n.test/").alias("url"), F.concat(F.lit("<script id=__NUXT_DATA__>{}</script><script id=__NEXT_DATA__ type=application/json>"), "state", F.lit("</script>")).alias("html"))
+    pages = table(spark, sf_dir, "customer").groupBy(F.expr(LIST.replace("//", "div")).alias("page")).agg(state.alias("state"))
+    pages = pages.select("page", F.lit("https://n.test/").alias("url"), F.concat(F.lit("<script id=__NUXT_DATA__>{}</script><script id=__NEXT_DATA__ type=application/json>"), "state", F.lit("</script>")).alias("html"))
     r = recipe.Recipe("people", "embedded", "__NEXT_DATA__.props.page.items", (recipe.Field("id", "id"), recipe.Field("title", "info.title")))
-    return recipe.records(r, pages, "nation")
+    return recipe.records(r, pages, "page")
 
 
-@query("""SELECT c_nationkey AS nation, 'https://n.test/' AS url, c_custkey::BIGINT AS id, c_mktsegment AS segment, '' AS col_2 FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1)""")
+@query(f"""SELECT {LIST} AS page, 'https://n.test/' AS url, c_custkey::BIGINT AS id, c_mktsegment AS segment, '' AS col_2 FROM customer WHERE {LIST} IN (SELECT {LIST} FROM customer GROUP BY 1 HAVING count(*) > 1)""")
 def q_table_records(spark, sf_dir):
-    """One page a nation, with a small table that does not count before the one of its customers."""
+    """One page for each few customers, with a small table that does not count before theirs."""
     row = F.concat(F.lit("<tr><td> "), "c_custkey", F.lit("<td><b>"), "c_mktsegment", F.lit("</b></td><td></td></tr>"))
-    pages = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.array_join(F.collect_list(row), "").alias("rows"))
+    pages = table(spark, sf_dir, "customer").groupBy(F.expr(LIST.replace("//", "div")).alias("page")).agg(F.array_join(F.collect_list(row), "").alias("rows"))
     html = F.concat(F.lit("<table><tr><th>one</th></tr><tr><td>1</td></tr><tr><td>2</td></tr></table><table><tr><th>id</th><th>segment</th><th></th></tr>"), "rows", F.lit("</table>"))
     r = recipe.Recipe("t", "table", fields=tuple(map(recipe.parse_field, ["id=id|to_int", "segment=segment", "col_2=col_2"])))
-    return recipe.records(r, pages.select("nation", F.lit("https://n.test/").alias("url"), html.alias("html")), "nation")
+    return recipe.records(r, pages.select("page", F.lit("https://n.test/").alias("url"), html.alias("html")), "page")
 
 
 @query("""SELECT o_orderkey, 'https://f.test/' AS url, 'order ' || o_orderkey AS title, 'https://f.test/o/' || o_orderkey AS link FROM orders WHERE o_orderstatus = 'O'""")
@@ -419,15 +424,15 @@ def q_stub_pages(spark, sf_dir):
 
 
 def shelf(spark, sf_dir) -> DataFrame:
-    """A shop page for each nation, with a card for each of its customers and a menu."""
+    """Shop pages of a few customers each, with a card for each of them and a menu."""
     card = """'<li class="card col-' || c_custkey || '"><h3><a href="/c/' || c_custkey || '">Customer ' || c_name || ' of this shop</a></h3><span class="price">$' || c_custkey || '.50</span><p class="desc">some words that tell of ' || c_name || ' at length</p></li>'"""
-    cards = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("c_custkey", F.expr(card).alias("card"))))["card"], "").alias("cards"), F.count(F.lit(1)).alias("n"))
+    cards = table(spark, sf_dir, "customer").groupBy(F.expr(LIST.replace("//", "div")).alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("c_custkey", F.expr(card).alias("card"))))["card"], "").alias("cards"), F.count(F.lit(1)).alias("n"))
     menu = "<nav><ul><li><a href=/a>A</a><li><a href=/b>B</a><li><a href=/c>C</a></ul></nav>"
     html = F.concat(F.lit(f"<html><head><title>Shop</title></head><body>{menu}<main><ul class=list>"), "cards", F.lit("</ul></main></body></html>"))
     return cards.where("n >= 3").select("page_id", F.concat(F.lit("https://s.test/"), "page_id").alias("url"), html.alias("html"))
 
 
-SHELF = "SELECT c_nationkey AS page_id, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1 HAVING count(*) >= 3"
+SHELF = f"SELECT {LIST} AS page_id, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1 HAVING count(*) >= 3"
 
 
 @query(f"""SELECT page_id, 'li.card' AS selector, 'ul.list' AS parent_selector, n AS count, unnest(['h3', 'h3 > a', 'p.desc', 'span.price']) AS path, unnest(['text', 'href', 'text', 'text']) AS kind, 1.0::DOUBLE AS fill_rate,
@@ -475,7 +480,7 @@ def q_inspect(spark, sf_dir):
     return out.select("page_id", "title", "container", "count", named.alias("names"))
 
 
-@query(f"""SELECT c_nationkey AS page_id, 'https://s.test/' || c_nationkey AS url, 'Customer ' || c_name || ' of this shop' AS name, 'https://s.test/c/' || c_custkey AS link FROM customer WHERE c_nationkey IN (SELECT page_id FROM ({SHELF}))""")
+@query(f"""SELECT {LIST} AS page_id, 'https://s.test/' || {LIST} AS url, 'Customer ' || c_name || ' of this shop' AS name, 'https://s.test/c/' || c_custkey AS link FROM customer WHERE {LIST} IN (SELECT page_id FROM ({SHELF}))""")
 def q_collect(spark, sf_dir):
     return verbs.collect(shelf(spark, sf_dir), "li.card", [("name", "h3 > a", "text"), ("link", "h3 > a", "href"), (" ", "p", "text")])
 
@@ -596,7 +601,7 @@ def q_export(spark, sf_dir):
     """The cells of the CSV, the lines of the JSONL, both with their source, and the columns by first appearance."""
     df = made(spark, sf_dir, "part", seq="p_partkey", data=RECORDS, page_url="'https://p.test/' || p_partkey", extractor="'css'")
     cells = web.csv_cells(df, "data", ["seq"], include_source=True)
-    seen = ",".join(r.key for r in web.first_seen_columns(df, "data", "seq").collect())
+    seen = ",".join(web.column_names(web.first_seen_columns(df, "data", "seq"), web.MOST_COLUMNS))
     lines = web.jsonl_lines(df, "data", "seq", include_source=True).withColumnRenamed("value", "line")
     return cells.join(lines, "seq").withColumn("first_seen", F.lit(seen))
 
@@ -629,6 +634,16 @@ def q_record_sink(spark, sf_dir):
 # --- traversal
 
 
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority LIKE '%U%')""")
+def q_seen_set(spark, sf_dir):
+    """Customers met in none of two batches of orders: the filter tells most of them, the exact table the rest."""
+    met = SeenSet(spark, crawl.keeper(spark))
+    orders = table(spark, sf_dir, "orders")
+    for rule in ("o_orderstatus = 'F'", "o_orderpriority LIKE '%U%'"):
+        met.add(orders.where(rule).select(F.col("o_custkey").alias("key")))
+    return met.fresh(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+
+
 LINKED = "(o_orderkey * 7 + o_custkey) % 2000"
 
 

@@ -265,7 +265,7 @@ def first_seen_columns(records: DataFrame, data: str, seq: str) -> DataFrame:
     return each.groupBy("key").agg(F.min(F.struct("seq", "pos")).alias("at")).orderBy("at").select("key")
 
 
-def _names(columns: DataFrame, most: int) -> list[str]:
+def column_names(columns: DataFrame, most: int) -> list[str]:
     names = [r.key for r in columns.limit(most + 1).collect()]
     if len(names) > most:
         raise ValueError(f"more than {most} columns")
@@ -295,7 +295,7 @@ def export_jsonl(records: DataFrame, data: str, seq: str, path: str, include_sou
 def csv_cells(records: DataFrame, data: str, keep: list[str], include_source: bool = False, order: str | None = None, most: int = MOST_COLUMNS) -> DataFrame:
     """JSON records flattened to the union of their keys, sorted, or by first appearance in ``order``; null is empty, nested
     values are JSON. More than ``most`` keys are an error: no table has so many columns."""
-    keys = _names(first_seen_columns(records, data, order) if order else export_columns(records, data), most)
+    keys = column_names(first_seen_columns(records, data, order) if order else export_columns(records, data), most)
     cell = lambda k: F.coalesce(F.get_json_object(data, "$['" + k.replace("'", "\\'") + "']"), F.lit(""))
     source = [F.col(c).alias(k) for k, c in SOURCE.items()] if include_source else []
     return records.select(*keep, *[cell(k).alias(k) for k in keys], *source)
