@@ -138,13 +138,16 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, r
     return Mix(plan, sched, documents)
 
 
-def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
+def mixed_documents(docs: DataFrame, mix: Mix, one_order: bool = True) -> DataFrame:
     """The rows of docs as the mix takes them: each once for every slot that takes its first word, so
-    none to ``repeat`` times, in the order of the slots and within a slot in that of its source's stream; wordless
-    documents go. Partitions hold ranges of slots, so that any first part of the output is mixed as the whole is. The
-    columns are those of docs."""
+    none to ``repeat`` times; wordless documents go. The columns are those of docs.
+
+    Rows come in the order of the slots, and within a slot in that of its source's stream. With ``one_order`` partitions hold
+    ranges of slots, one behind the other, which shuffles the texts once more; without it each partition holds a random part of
+    the rows in that order. Either way any first part of a file is mixed as the whole is."""
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
     by = Window.partitionBy("k1", "k2").orderBy("_0")
     mine = mix.documents.where(F.size("slots") > 0).select("k1", "k2", "copy_no", F.explode("slots").alias("slot"), "at")
     out = hidden(docs, k1=k1, k2=k2).withColumn("copy_no", F.row_number().over(by)).join(mine, ["k1", "k2", "copy_no"])
-    return out.repartitionByRange("slot", "at").sortWithinPartitions("slot", "at", "k1", "k2", "copy_no").select(*shown(docs))
+    out = out.repartitionByRange("slot", "at") if one_order else out
+    return out.sortWithinPartitions("slot", "at", "k1", "k2", "copy_no").select(*shown(docs))

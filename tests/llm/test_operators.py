@@ -271,6 +271,14 @@ def test_mix_comes_in_the_order_of_its_slots(spark):
     mix = mixing.mix_sources(docs)
     want = sorted((slot, r["at"], r.doc_id) for r in mix.documents.collect() for slot in r.slots)
     assert [r.doc_id for r in mixing.mixed_documents(docs, mix).collect()] == [i for _, _, i in want]
+    slots = defaultdict(list)  # with an order for each partition, every document's slots are met in it from the first on
+    for slot, _, i in want:
+        slots[i].append(slot)
+    parts = mixing.mixed_documents(docs, mix, one_order=False).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    for p in {r.p for r in parts}:
+        met = [slots[r.doc_id].pop(0) for r in parts if r.p == p]
+        assert met == sorted(met)
+    assert not any(slots.values())
 
 
 # --- 4 repeats
