@@ -5,7 +5,8 @@ Each stage takes what its predecessor kept, written as Parquet and read again:
 1. language_id: documents in which no language is found (null or letterless text) go;
 2. near_duplicates: of each group linked by similarity 0.8 over 5-word shingles, the document of the least doc_id stays;
 3. decontaminate: documents of which benchmark windows cover a twentieth of the words go;
-4. mix_sources: documents come as often as the schedule takes their first word: never, once or twice;
+4. mix_sources: documents come as often as the schedule takes their first word: never, once or twice; each file in the
+   order of its slots;
 5. shards: what is left is dealt to 24 shards of near equal bytes, with a gapless slot in each.
 """
 
@@ -31,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs, mixing.mix_sources(docs))
+    return mixing.mixed_documents(docs, mixing.mix_sources(docs), one_order=False)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
