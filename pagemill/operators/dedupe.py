@@ -23,18 +23,24 @@ def exact(df: DataFrame, key: str, text: str, order: str, min_tokens: int = MIN_
     return long.join(first, "digest").where(F.col(key) != F.col("of_key")).select(key, "of_key")
 
 
+def block_keys(prints: DataFrame, threshold: int = THRESHOLD, bits: int = BITS, blocks: int = 9) -> tuple[DataFrame, list[int]]:
+    """prints (..., fingerprint) with a row (n, k) for each choice of blocks - threshold of ``blocks`` disjoint blocks of bits, k being a hash of
+    those bits, and the bits of each choice as a mask. Fingerprints within the threshold share all but ``threshold`` blocks at least,
+    so they agree in some choice: 84 keys of 20 bits each, in place of the 7 keys of 9 bits that single blocks give."""
+    width = -(-bits // blocks)
+    part = [F.shiftright("fingerprint", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for i in range(blocks)]
+    choices = list(combinations(range(blocks), blocks - threshold))
+    masks = [sum(((1 << width) - 1) << i * width for i in choice) & ((1 << bits) - 1) for choice in choices]
+    keys = F.array(*[F.xxhash64(F.lit(n), *[part[i] for i in choice]) for n, choice in enumerate(choices)])
+    return prints.select("*", F.posexplode(keys).alias("n", "k")), masks
+
+
 def near_pairs(prints: DataFrame, key: str, threshold: int = THRESHOLD, bits: int = BITS, blocks: int = 9) -> DataFrame:
     """(a, b, distance) of different fingerprints within the threshold, a < b by key.
 
-    Of ``blocks`` disjoint blocks of bits two such fingerprints share all but ``threshold`` at least, so those
-    meet that agree in some choice of blocks - threshold of them: 84 keys of 20 bits each, in place of the 7 keys of
-    9 bits that single blocks give. A key of 20 bits has 2,000 times the values of one of 9. A pair is kept by the first choice that
+    Those meet that agree in some choice of ``block_keys``. A pair is kept by the first choice that
     it agrees in, so none comes twice. Equal fingerprints should be one row before, as in ``near_leaders``."""
-    width = -(-bits // blocks)
-    part = [F.shiftright("fingerprint", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for i in range(blocks)]
-    masks = [sum(((1 << width) - 1) << i * width for i in choice) & ((1 << bits) - 1) for choice in combinations(range(blocks), blocks - threshold)]
-    keys = F.array(*[F.xxhash64(F.lit(n), *[part[i] for i in choice]) for n, choice in enumerate(combinations(range(blocks), blocks - threshold))])
-    cut = prints.select(F.col(key).alias("a"), "fingerprint", F.posexplode(keys).alias("n", "k"))
+    cut, masks = block_keys(prints.select(F.col(key).alias("a"), "fingerprint"), threshold, bits, blocks)
     shared = cut.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k")
     cut = cut.join(shared, "k")
     other = cut.select("k", "n", F.col("a").alias("b"), F.col("fingerprint").alias("fb"))
@@ -44,23 +50,53 @@ def near_pairs(prints: DataFrame, key: str, threshold: int = THRESHOLD, bits: in
     return met.where(~earlier).select("a", "b", F.bit_count(differ).alias("distance"))
 
 
-def near_leaders(df: DataFrame, key: str, text: str, keep_table, threshold: int = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+class PrintIndex:
+    """Fingerprints of pages kept before, with their block keys, so that a batch meets them without work on their texts.
+
+    Keys are written in order of their hash, so that a look-up joins the batch's keys with sorted files. ``add`` takes (key, fingerprint);
+    ``nearest`` gives (node, leader) of the batch's nodes that have a page within the threshold, leader being the least key of those."""
+
+    def __init__(self, keep_table, threshold: int = THRESHOLD):
+        self.keep, self.threshold, self.parts = keep_table, threshold, []
+
+    def add(self, prints: DataFrame, key: str) -> None:
+        cut, _ = block_keys(prints.select(F.col(key).alias("kept"), "fingerprint"), self.threshold)
+        self.parts.append(self.keep(cut.repartition("k").sortWithinPartitions("k")))
+
+    def nearest(self, groups: DataFrame) -> DataFrame | None:
+        """Of groups (node, fingerprint)."""
+        if not self.parts:
+            return None
+        cut, _ = block_keys(groups.select("node", "fingerprint"), self.threshold)
+        known = reduce(DataFrame.unionByName, self.parts).withColumnRenamed("fingerprint", "_print")
+        met = cut.join(known, ["k", "n"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("_print"))) <= self.threshold)
+        return met.groupBy("node").agg(F.min("kept").alias("leader"))
+
+
+def near_leaders(df: DataFrame, key: str, text: str, keep_table, threshold: int = THRESHOLD, min_tokens: int = MIN_TOKENS, known: PrintIndex | None = None) -> DataFrame:
     """(key, leader): each page of enough words and the earliest kept page within the threshold, itself if kept.
 
     A page is kept if no page kept before it is that near; keys give the order. Exact copies follow their first.
     Each step settles the pages whose earlier neighbours are settled; settled pages and their pairs leave, so that
     tables shrink from round to round, and a round takes STEPS steps before it writes. A chain of pages each near the next
-    needs a step for each two of them: that is the order's own nature, and rounds end when nothing is open."""
+    needs a step for each two of them: that is the order's own nature, and rounds end when nothing is open.
+
+    ``known`` holds pages kept before, whose keys precede all of df: a page near one of them follows the earliest of those, and the pages
+    that are kept now are added to it. Neither the texts nor the fingerprints of known pages are worked on again."""
     long = df.where(F.size(texts.tokens(F.col(text))) >= min_tokens)
     prints = keep_table(texts.simhash(long, key, texts.tokens(F.col(text))))
     groups = prints.groupBy("fingerprint").agg(F.min(key).alias("node"))
     kind = groups.schema["node"].dataType
+    followers = known.nearest(groups) if known is not None else None
+    if followers is not None:
+        followers = keep_table(followers)
+        groups = groups.join(followers.select("node"), "node", "left_anti")
     pairs = keep_table(near_pairs(groups, "node", threshold).select("a", "b"))
     done, state = [], pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("leader", F.lit(None).cast(kind))
     while True:
         for _ in range(STEPS):
-            known = state.select(F.col("node").alias("a"), F.col("leader").alias("la"))
-            before = pairs.join(known, "a").groupBy(F.col("b").alias("node")).agg(
+            led = state.select(F.col("node").alias("a"), F.col("leader").alias("la"))
+            before = pairs.join(led, "a").groupBy(F.col("b").alias("node")).agg(
                 F.min(F.when(F.col("la") == F.col("a"), F.col("a"))).alias("lead"), F.min(F.when(F.col("la").isNull(), F.col("a"))).alias("open"),
             )
             # settled once the earliest leader precedes all open neighbours, or none is open
@@ -77,8 +113,14 @@ def near_leaders(df: DataFrame, key: str, text: str, keep_table, threshold: int
         pairs = keep_table(pairs.join(open_.select(F.col("node").alias("a")).union(still), "a", "left_semi"))
         state = open_.unionByName(still.select(F.col("a").alias("node"), F.col("a").alias("leader")))
     settled = reduce(DataFrame.unionByName, done).distinct()
+    if followers is not None:
+        settled = settled.unionByName(followers)
+        groups = prints.groupBy("fingerprint").agg(F.min(key).alias("node"))
     back = groups.join(settled, "node", "left").select("fingerprint", F.coalesce("leader", "node").alias("leader"))
-    return prints.join(back, "fingerprint").select(key, "leader")
+    out = prints.join(back, "fingerprint")
+    if known is not None:
+        known.add(out.where(F.col(key) == F.col("leader")), key)
+    return out.select(key, "leader")
 
 
 def canonical_duplicates(pages: DataFrame) -> DataFrame:

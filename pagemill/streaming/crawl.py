@@ -85,12 +85,12 @@ def spider(pages: DataFrame, seeds: DataFrame, limits: gate.Limits, keep: Keeper
     - ``page``: any other. Only the links of these are followed.
 
     Another page that a page names as canonical counts as seen from the next round on. Earlier is of less
-    depth, then of more priority, then by key. Judging reads the texts of the round's pages and of those
-    kept before; no more than max_pages are visited."""
+    depth, then of more priority, then by key. Judging reads the texts of the round's pages and an index of the
+    fingerprints of those kept before; no more than max_pages are visited."""
     keep = keep or keeper(pages.sparkSession)
     todo = seeds.select("url").withColumn("depth", F.lit(0))
     visited = rejects = used = burnt = None
-    seen, left, thin, kept = SeenSet(pages.sparkSession, keep), limits.max_pages, None, None
+    seen, left, thin, kept = SeenSet(pages.sparkSession, keep), limits.max_pages, None, dedupe.PrintIndex(keep)
     both = lambda a, b: b if a is None else a.unionByName(b)
     for d in range(limits.max_depth + 1):
         checked = keep(gate.admit(fresh(todo, seen, limits), limits, ["url"], used))
@@ -105,7 +105,7 @@ def spider(pages: DataFrame, seeds: DataFrame, limits: gate.Limits, keep: Keeper
         stubs = dedupe.stub_pages(thin, "place", "text", keep_table=keep).select("place") if not thin.isEmpty() else missing.where("false")
         soft = keep(missing.union(stubs.join(round_.select("place"), "place", "left_semi")).withColumn("soft", F.lit(True)))
         good = keep(round_.where("there").join(soft, "place", "left_anti").where(F.size(texts.tokens(F.col("text"))) >= dedupe.MIN_TOKENS).select("place", "text"))
-        leaders = good.select("place", F.col("place").alias("leader")) if good.isEmpty() else keep(dedupe.near_leaders(both(kept, good), "place", "text", keep))
+        leaders = good.select("place", F.col("place").alias("leader")) if good.isEmpty() else keep(dedupe.near_leaders(good, "place", "text", keep, known=kept))
         judged = round_.join(soft, "place", "left").join(leaders, "place", "left")
         outcome = F.when(~F.col("there"), "absent").when(F.col("soft"), "soft_404").when(F.col("leader") != F.col("place"), "duplicate").otherwise("page")
         judged = judged.withColumn("outcome", outcome).withColumn("of_key", F.when(F.col("outcome") == "duplicate", F.substring_index("leader", " ", -1)))
@@ -114,7 +114,6 @@ def spider(pages: DataFrame, seeds: DataFrame, limits: gate.Limits, keep: Keeper
         here, left = judged.count(), left - judged.count()
         if not here or left <= 0 or d == limits.max_depth:
             break
-        kept = keep(both(kept, good).join(leaders.where("place <> leader").select("place"), "place", "left_anti"))
         canonical = urls.normalize(urls.join(F.col("url"), F.col("canonical")), keep=list(limits.query_whitelist) if limits.query_whitelist else None)["dedupe_key"]
         named = judged.where("canonical IS NOT NULL").select(canonical.alias("dedupe_key")).where("dedupe_key IS NOT NULL")
         seen.add(admitted.select("dedupe_key").union(named).withColumnRenamed("dedupe_key", "key"))

@@ -82,3 +82,29 @@ def test_walk_sitemaps(spark, tmp_path):
 
     assert walk() == ([("a", "p1"), ("a", "p2"), ("a", "p3"), ("b", "q1")], [("b", "https://b.test/sitemap.xml")])
     assert walk(max_documents=3)[0] == [("a", "p1"), ("a", "p2"), ("b", "q1")]
+
+
+def test_batches_against_an_index_as_all_at_once(spark):
+    """Pages in three batches by key, each near to some before: the leaders are those of all pages together."""
+    import random
+
+    from pagemill.operators import dedupe
+    from pagemill.streaming import crawl
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    bases = [[word() for _ in range(120)] for _ in range(8)]
+    rows = []
+    for i in range(60):
+        text = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 60])):
+            text[rng.randrange(len(text))] = word()
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "k long, t string").repartition(3).cache()
+    keep = crawl.keeper(spark)
+    want = {r.k: r.leader for r in dedupe.near_leaders(df, "k", "t", keep).collect()}
+    index, got = dedupe.PrintIndex(keep), {}
+    for lo in (0, 25, 45):
+        batch = df.where(f"k >= {lo} AND k < {dict([(0, 25), (25, 45), (45, 99)])[lo]}")
+        got |= {r.k: r.leader for r in dedupe.near_leaders(batch, "k", "t", keep, known=index).collect()}
+    assert got == want and len(set(want.values())) < len(want)
