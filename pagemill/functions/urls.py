@@ -369,12 +369,24 @@ def denied_address(address: Column) -> Column:
     return bound(ipv6_digits(address), lambda six: _denied(address, six))
 
 
-def _denied(address: Column, six: Column) -> Column:
+def _inner(six: Column) -> Column:
+    """The digits of the IPv4 address that an IPv6 one stands for."""
     zeros = "0" * 24
-    inner = (
+    return (
         F.when(six.startswith("0" * 20 + "ffff") | (six.startswith(zeros) & ~six.isin("0" * 32, "0" * 31 + "1")), F.substring(six, 25, 8))
         .when(six.startswith("2002"), F.substring(six, 5, 8))
     )
+
+
+def routing_digits(address: Column) -> Column:
+    """The 32 hexadecimal digits of an address of either family, IPv4 and what stands for it in its mapped form; null for others."""
+    mapped = lambda four: F.concat(F.lit("0" * 20 + "ffff"), four)
+    four = F.lpad(F.lower(F.hex(ipv4_number(address))), 8, "0")
+    return bound(ipv6_digits(address), lambda six: F.coalesce(mapped(four), mapped(_inner(six)), six))
+
+
+def _denied(address: Column, six: Column) -> Column:
+    inner = _inner(six)
     four = bound(F.coalesce(ipv4_number(address), F.conv(inner, 16, 10).cast("long")), _denied4)
     return F.coalesce(four, F.when(inner.isNull(), _denied6(six)))
 

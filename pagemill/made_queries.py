@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import paths, texts, urls, values
-from pagemill.operators import dedupe, discover, extract, filters, gate, jobs, naming, nodes, redirects, reduce, structure, structured
+from pagemill.operators import dedupe, discover, extract, filters, gate, jobs, naming, nodes, redirects, reduce, scopes, structure, structured
 from pagemill.operators.filters import RecordFilter
 from pagemill.operators.seen import SeenSet
 from pagemill.plans import recipe, verbs
@@ -219,6 +219,42 @@ def q_trap_reasons(spark, sf_dir):
     return gate.admit(df, gate.Limits(max_path_depth=5, max_repeated_segment=2, max_query_params=2, per_pattern_budget=1 << 30), ["c_custkey"], keep_table=crawl.keeper(spark)).select("c_custkey", "reject_reason")
 
 
+SITE = "CASE WHEN c_custkey % 4 = 0 THEN 'a' || c_custkey || '.shop' || c_nationkey || '.com' WHEN c_custkey % 4 = 1 THEN 'shop' || c_nationkey || '.com' WHEN c_custkey % 4 = 2 THEN 'myshop' || c_nationkey || '.com' ELSE '10.0.0.' || c_nationkey END"
+DOMAIN = "CASE WHEN s_suppkey % 3 = 0 THEN 'shop' || s_nationkey || '.com' WHEN s_suppkey % 3 = 1 THEN 'a' || s_suppkey || '.shop' || s_nationkey || '.com' ELSE '10.0.0.' || s_nationkey END"
+
+
+@query(f"""WITH h AS (SELECT c_custkey, {SITE} AS host FROM customer), d AS (SELECT DISTINCT {DOMAIN} AS domain FROM supplier)
+SELECT c_custkey, host, max_by(domain, length(domain)) AS scope FROM h LEFT JOIN d ON host = domain OR (host LIKE '%.' || domain AND NOT host LIKE '10.%') GROUP BY ALL""")
+def q_scopes(spark, sf_dir):
+    """The narrowest domain of a table of scopes for each host."""
+    hosts = made(spark, sf_dir, "customer", "c_custkey", host=SITE)
+    return scopes.within(hosts, "host", made(spark, sf_dir, "supplier", domain=DOMAIN))
+
+
+@query(f"""WITH a AS (SELECT DISTINCT s_nationkey % 5 AS crawl, {DOMAIN} AS domain FROM supplier), b AS (SELECT DISTINCT c_nationkey % 4 AS crawl, {SITE} AS domain FROM customer),
+p AS (SELECT a.crawl, a.domain AS x, b.domain AS y FROM a JOIN b ON a.crawl = b.crawl)
+SELECT crawl, x AS domain FROM p WHERE x = y OR (x LIKE '%.' || y AND NOT x LIKE '10.%') UNION SELECT crawl, y FROM p WHERE y = x OR (y LIKE '%.' || x AND NOT y LIKE '10.%')
+UNION SELECT crawl, domain FROM a WHERE crawl NOT IN (SELECT crawl FROM b)""")
+def q_narrowed_scopes(spark, sf_dir):
+    """What the scopes of crawls and of their recipes share; the fifth crawl's recipe has none."""
+    spec = made(spark, sf_dir, "supplier", crawl="s_nationkey % 5", domain=DOMAIN)
+    return scopes.narrowed(spec, made(spark, sf_dir, "customer", crawl="c_nationkey % 4", domain=SITE), "crawl")
+
+
+@query("""WITH r AS (SELECT o_custkey AS host, o_orderkey, o_orderkey % 9 AS k FROM orders),
+d AS (SELECT host, CASE k WHEN 0 THEN 'private' WHEN 1 THEN 'loopback' WHEN 2 THEN 'invalid' WHEN 3 THEN 'documentation' WHEN 4 THEN 'private' END AS reason,
+  CASE k WHEN 0 THEN '10.' || o_orderkey % 200 WHEN 1 THEN '1' WHEN 2 THEN 'x' WHEN 3 THEN 'd' || o_orderkey % 200 WHEN 4 THEN 'f' WHEN 5 THEN 'g' || o_orderkey % 200 ELSE 'h' || o_orderkey % 200 || '.' || k END AS address FROM r),
+u AS (SELECT DISTINCT host, address, reason FROM d)
+SELECT host, count(*) AS addresses, count(reason) AS denied, min(reason) AS reason, count(reason) = 0 AS allowed FROM u GROUP BY host""")
+def q_routable_hosts(spark, sf_dir):
+    """One verdict for each host over all of its addresses, of both families; one private network is let in by a longer prefix."""
+    n = "(o_orderkey % 200)"
+    address = f"""CASE o_orderkey % 9 WHEN 0 THEN '10.1.2.' || {n} WHEN 1 THEN '::ffff:127.0.0.1' WHEN 2 THEN 'nowhere' WHEN 3 THEN '2001:db8::' || lower(hex({n})) WHEN 4 THEN 'fd00::1' WHEN 5 THEN '10.77.0.' || {n}
+      WHEN 6 THEN '8.8.4.' || {n} WHEN 7 THEN '2606:4700::' || lower(hex({n})) ELSE '1.1.' || {n} || '.1' END"""
+    more = spark.createDataFrame(scopes.network_rows({"10.77.0.0/16": None}), "length int, prefix string, reason string")
+    return scopes.routable(made(spark, sf_dir, "orders", host="o_custkey", address=address), scopes.denied_networks(spark).unionByName(more))
+
+
 HOP = "CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey + 1 WHEN o_orderkey % 97 = 1 THEN o_orderkey - 1 WHEN o_orderkey % 31 = 0 THEN o_orderkey WHEN o_orderkey % 5 = 0 THEN o_orderkey + 100000000 WHEN o_orderkey % 8 < 4 THEN o_orderkey + 3 ELSE o_orderkey // 2 END"
 
 
