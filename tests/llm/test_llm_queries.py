@@ -226,3 +226,17 @@ def test_held_out_accuracy(spark):
     area = sum((a > b) + (a == b) / 2 for a in good for b in bad) / max(1, len(good) * len(bad))
     print(f"op2: area under the curve {area:.3f} of {len(good)} + {len(bad)} held-out labels")
     assert area >= 0.75
+
+
+def test_every_query_and_the_pipeline_over_empty_tables(spark, tmp_path):
+    """No rows, but for conversation -1, which op10 adds."""
+    empty = {
+        "documents": "doc_id long, text string, lang string, source string, n_chars long, kept string, shard string", "benchmark": "item_id string, text string", "labels": "doc_id long, quality int, toxic int",
+        "conversations": "conv_id long, turn long, role string, text string", "embeddings": "vec_id long, embedding array<float>, label int",
+    }
+    for name, schema in empty.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, q in __spark_entry__.queries().items():
+        if name.startswith("op") or name == "pipeline":
+            df = q(spark, str(tmp_path))
+            assert [r.conv_id for r in df.collect()] == [-1] if name.startswith("op10") else df.count() == 0, name
