@@ -240,3 +240,14 @@ def test_every_query_and_the_pipeline_over_empty_tables(spark, tmp_path):
         if name.startswith("op") or name == "pipeline":
             df = q(spark, str(tmp_path))
             assert [r.conv_id for r in df.collect()] == [-1] if name.startswith("op10") else df.count() == 0, name
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the given tables")
+def test_held_out_lines(spark):
+    """Documents that op13 did not learn from: those labelled good stay unless a base rule fails them, the others go."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
+    out = __spark_entry__.queries()["op13_line_rules"](spark, str(DATA)).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    rows = Counter((r.quality, r.base_failed, r.kept) for r in out.collect())
+    print(f"op13: {rows}")
+    good, bad = ({k: n for k, n in rows.items() if k[0] == y and not k[1]} for y in (1, 0))
+    assert good[1, False, True] >= 0.95 * sum(good.values()) and bad.get((0, False, True), 0) <= 0.1 * sum(bad.values())
