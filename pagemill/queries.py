@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import paths, texts, urls, values
-from pagemill.operators import dedupe, extract, filters, gate, jobs, nodes, quality
+from pagemill.operators import dedupe, extract, filters, gate, jobs, nodes, quality, references
 from pagemill.operators.filters import RecordFilter
 from pagemill.registry import QUERIES, SQL, query, spread, table
 from pagemill.streaming import crawl
@@ -317,6 +317,33 @@ def q_semantic(spark, sf_dir):
     return df.select("vec_id", F.round("score", 5).alias("score"))
 
 
+def asked_vectors(spark, sf_dir):
+    """All vectors, those of each twentieth row as references, and cells for them."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("ref_id"), "embedding")
+    return rows, asked, references.fit(rows, "embedding")
+
+
+NAMES = {"key": "vec_id", "vector": "embedding", "ref_vector": "embedding"}
+
+
+@query("""SELECT r.vec_id AS ref_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], r.embedding::DOUBLE[]), 5) AS score
+FROM embeddings e JOIN embeddings r ON r.vec_id % 20 = 0 AND list_cosine_similarity(e.embedding::DOUBLE[], r.embedding::DOUBLE[]) >= 0.3""")
+def q_semantic_references(spark, sf_dir):
+    """Rows close to any of many references, by all cells within reach: none is lost."""
+    rows, asked, index = asked_vectors(spark, sf_dir)
+    return references.close_to(rows, asked, index, 0.3, **NAMES).withColumn("score", F.round("score", 5))
+
+
+@query()
+def q_semantic_recall(spark, sf_dir):
+    """The nearest cells alone, as many as a recall of 0.95 takes in the sample, against the exact way."""
+    rows, asked, index = asked_vectors(spark, sf_dir)
+    probes = index.probes(0.3)
+    some = references.close_to(rows, asked, index, 0.3, probes, **NAMES)
+    return references.recall(some, references.close_to(rows, asked, index, 0.3, **NAMES), ["ref_id", "vec_id"]).withColumn("probes", F.lit(probes))
+
+
 @query(f"""WITH t AS (SELECT doc_id, list_distinct(list_transform({TOKENS}, lambda x: lower(x))) AS w FROM documents)
 SELECT a.doc_id, CASE WHEN len(list_distinct(list_concat(a.w, b.w))) > 0 THEN round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 3) ELSE 0.0 END AS similarity FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
 def q_fingerprint_jaccard(spark, sf_dir):
