@@ -13,7 +13,7 @@ from pagemill.operators.seen import SeenSet
 from pagemill.plans import recipe, verbs
 from pagemill.registry import query, spread, table
 from pagemill.sources import web
-from pagemill.streaming import crawl, events as event_stream
+from pagemill.streaming import crawl, events as event_stream, tail
 
 
 def made(spark, sf_dir: str, name: str, *key: str, **columns: str) -> DataFrame:
@@ -667,6 +667,25 @@ def q_record_sink(spark, sf_dir):
     return spark.read.parquet(f"{root}/out/records").select("job_id", "url", "data")
 
 
+@query("""SELECT (user_id % 20)::VARCHAR AS job_id, event_id, 'id: ' || event_id || chr(10) || 'event: ' || type || chr(10) || 'data: {"id":' || event_id || ',"event_type":"' || type || '","payload":{"k":' || json_extract_string(props, '$.k') || '},"created_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"}' || chr(10) || chr(10)
+  || CASE WHEN type = 'job.completed' THEN 'event: end' || chr(10) || 'data: {}' || chr(10) || chr(10) ELSE '' END AS frame
+FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'job.completed' ELSE 'page.' || event_type END AS type FROM events WHERE event_id > 10)""")
+def q_live_tail(spark, sf_dir):
+    """A log that grows in three goes, followed from behind an id on; the tail is started anew after each and goes on where it was."""
+    root = crawl.shared_folder(spark)
+    rows = made(spark, sf_dir, "events", "event_id", at="ts", job_id="CAST(user_id % 20 AS STRING)", type="CASE event_type WHEN 'signup' THEN 'job.completed' ELSE 'page.' || event_type END", url="'u'", reason="CAST(NULL AS STRING)", count="1L", payload="props")
+    ends = rows.agg(F.max("event_id")).first()[0] or 0
+
+    def take(batch, n):
+        tail.frames(batch).write.mode("overwrite").parquet(f"{root}/out/batch={n}")
+
+    for go in range(3):
+        rows.where((F.col("event_id") > ends * go // 3) & (F.col("event_id") <= ends * (go + 1) // 3)).repartition(4).write.mode("append").parquet(f"{root}/log")
+        written = tail.follow(spark, f"{root}/log", cursor=10).writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/checkpoint")
+        written.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("job_id", "event_id", "frame")
+
+
 # --- traversal
 
 
