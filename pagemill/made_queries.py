@@ -462,7 +462,9 @@ def q_stub_pages(spark, sf_dir):
 def shelf(spark, sf_dir) -> DataFrame:
     """Shop pages of a few customers each, with a card for each of them and a menu."""
     card = """'<li class="card col-' || c_custkey || '"><h3><a href="/c/' || c_custkey || '">Customer ' || c_name || ' of this shop</a></h3><span class="price">$' || c_custkey || '.50</span><p class="desc">some words that tell of ' || c_name || ' at length</p></li>'"""
-    cards = table(spark, sf_dir, "customer").groupBy(F.expr(LIST.replace("//", "div")).alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("c_custkey", F.expr(card).alias("card"))))["card"], "").alias("cards"), F.count(F.lit(1)).alias("n"))
+    # pages are dealt to all cores, as grouping alone would leave so few bytes to one task
+    customers = table(spark, sf_dir, "customer").withColumn("page_id", F.expr(LIST.replace("//", "div"))).repartition(spark.sparkContext.defaultParallelism, "page_id")
+    cards = customers.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("c_custkey", F.expr(card).alias("card"))))["card"], "").alias("cards"), F.count(F.lit(1)).alias("n"))
     menu = "<nav><ul><li><a href=/a>A</a><li><a href=/b>B</a><li><a href=/c>C</a></ul></nav>"
     html = F.concat(F.lit(f"<html><head><title>Shop</title></head><body>{menu}<main><ul class=list>"), "cards", F.lit("</ul></main></body></html>"))
     return cards.where("n >= 3").select("page_id", F.concat(F.lit("https://s.test/"), "page_id").alias("url"), html.alias("html"))
@@ -497,7 +499,7 @@ def q_fingerprints(spark, sf_dir):
 @query(f"""SELECT page_id, '<title>  Shop' || chr(10) || '<body>' || chr(10) || '  <nav>' || chr(10) || '    <ul>' || chr(10) || '      [x3] li' || chr(10) || '        <li>' || chr(10) || '          <a href="/a">  A' || chr(10) || '        <li>' || chr(10) || '          <a href="/b">  B' || chr(10) || '  <main>' || chr(10) || '    <ul class="list">' || chr(10) || '      [x' || n || '] li.card' AS head, false AS truncated, true AS smaller FROM ({SHELF})""")
 def q_reduced(spark, sf_dir):
     """The skeleton of each page, up to where its cards are told once with their number."""
-    out = reduce.reduced(shelf(spark, sf_dir))
+    out = reduce.reduced(shelf(spark, sf_dir), keep_table=crawl.keeper(spark))
     return out.select("page_id", F.regexp_extract("skeleton", r"(?s)^(.*?\] li\.card)", 1).alias("head"), "truncated", (F.col("tokens") <= F.col("original_tokens")).alias("smaller"))
 
 

@@ -17,7 +17,7 @@ from pagemill.functions import dom, values
 from pagemill.tables import keeper
 
 NODE = "struct<node: int, parent: int, last: int, depth: int, tag: string, classes: array<string>, attrs: map<string,string>, r0: int, r1: int, m0: int, m1: int>"
-PAGE = {"runs": "array<string>", "markup": "array<string>", "nodes": f"array<{NODE}>"}
+PAGE = {"runs": "array<string>", "owners": "array<int>", "markup": "array<string>", "nodes": f"array<{NODE}>"}
 SPACE = r"(?U)[\s\x1C-\x1F]+"
 
 
@@ -27,12 +27,13 @@ NUMBERS = ("node", "parent", "last", "depth", "r0", "r1", "m0", "m1")
 class _Pages:
     """The elements of some pages, column by column, and where each page's begin."""
 
-    def __init__(self, markup: bool):
-        self.markup = markup
+    def __init__(self, markup: bool, owners: bool = False):
+        self.markup, self.owned = markup, owners
         self.numbers: dict[str, list] = {c: [] for c in NUMBERS}
         self.tags: list[str] = []
         self.lists: dict[str, list] = {c: [] for c in ("classes", "names", "values", "runs", "markup")}
-        self.ends: dict[str, list] = {c: [0] for c in ("nodes", "runs", "markup", "classes", "attrs")}
+        self.owners: list[int] = []
+        self.ends: dict[str, list] = {c: [0] for c in ("nodes", "runs", "owners", "markup", "classes", "attrs")}
 
     def add(self, html: str | None) -> None:
         """Elements in document order, each with the first of its runs of text and the one behind its last, and so for the pieces that
@@ -52,6 +53,8 @@ class _Pages:
             if isinstance(x, str):
                 if x:
                     runs.append(x)
+                    if self.owned:
+                        self.owners.append(parent)
                     if self.markup:
                         out.append(x if self.tags[base + parent] in dom.RAW else dom.escape(x, quote=False))
                 continue
@@ -70,6 +73,7 @@ class _Pages:
             todo += [(c, me - base, depth + 1) for c in reversed(x.children)]
         ends["nodes"].append(len(self.tags))
         ends["runs"].append(len(runs))
+        ends["owners"].append(len(self.owners))
         ends["markup"].append(len(out))
 
     def columns(self) -> dict[str, pa.Array]:
@@ -78,16 +82,17 @@ class _Pages:
         parts = {c: pa.array(v, pa.int32()) for c, v in self.numbers.items()} | {"tag": pa.array(self.tags, pa.string()), "classes": listed("classes", texts("classes"))}
         parts["attrs"] = pa.MapArray.from_arrays(pa.array(self.ends["attrs"], pa.int32()), texts("names"), texts("values"))
         names = ["node", "parent", "last", "depth", "tag", "classes", "attrs", "r0", "r1", "m0", "m1"]
-        return {"runs": listed("runs", texts("runs")), "markup": listed("markup", texts("markup")), "nodes": listed("nodes", pa.StructArray.from_arrays([parts[x] for x in names], names))}
+        return {"runs": listed("runs", texts("runs")), "owners": listed("owners", pa.array(self.owners, pa.int32())), "markup": listed("markup", texts("markup")), "nodes": listed("nodes", pa.StructArray.from_arrays([parts[x] for x in names], names))}
 
 
-def parsed(pages: DataFrame, keep: list[str], html: str = "html", markup: bool = False, keep_table=None) -> DataFrame:
-    """(row, the columns of ``keep``, runs, markup, nodes): each page parsed once and written, as what follows reads it more than
-    once. ``row`` tells pages apart, whatever their keys. Null pages have element 0 alone. ``keep_table`` writes to a place of its own."""
+def parsed(pages: DataFrame, keep: list[str], html: str = "html", markup: bool = False, keep_table=None, owners: bool = False) -> DataFrame:
+    """(row, the columns of ``keep``, runs, owners, markup, nodes): each page parsed once and written, as what follows reads it more than
+    once. ``row`` tells pages apart, whatever their keys. Null pages have element 0 alone. ``keep_table`` writes to a place of its own.
+    ``markup`` and ``owners``, for each run the element right above it, are empty unless asked for."""
 
     def run(batches):
         for batch in batches:
-            found = _Pages(markup)
+            found = _Pages(markup, owners)
             for x in batch.column("_html"):
                 found.add(x.as_py())
             made, names = found.columns(), [n for n in batch.schema.names if n != "_html"]
@@ -284,6 +289,28 @@ def articles(pages: DataFrame, keep: list[str], html: str = "html", keep_table=N
     return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.nullif(trimmed(piece(F.col("_runs"), F.col("h0"), F.col("h1"))), F.lit("")).alias("title"), "text", "word_count")
 
 
+def region_sums(nodes: DataFrame, **sums: Column) -> DataFrame:
+    """nodes with, for each name, the sum of a column over an element and all elements around it.
+
+    Each element adds its number where it begins and takes it away behind its last, so that a running sum by place holds
+    those that are open: linear in a page's length, however deep it is."""
+    marks = {f"_own_{n}": c for n, c in sums.items()}
+    less = {n: -F.col(n) for n in marks}
+    begun = nodes.withColumns(marks)
+    at = begun.withColumns({"_mark": F.col("node"), "_side": F.lit(0)}).unionByName(begun.withColumns(less | {"_mark": F.col("last"), "_side": F.lit(1)}))
+    order = Window.partitionBy("row").orderBy("_mark", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    return at.withColumns({n: F.sum(f"_own_{n}").over(order) for n in sums}).where("_side = 0").drop("_mark", "_side", *marks)
+
+
+def subtree_sums(nodes: DataFrame, name: str, value: Column) -> DataFrame:
+    """nodes with the sum of a column over an element and all elements below it: what the running sum grows by from one of its ends to the other."""
+    own = nodes.withColumn("_own", value)
+    ends = own.select("row", "node", F.col("node").alias("_at"), F.lit(0).alias("_side"), "_own").unionByName(own.select("row", "node", F.col("last").alias("_at"), F.lit(1).alias("_side"), F.lit(0).alias("_own")))
+    order = Window.partitionBy("row").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    grown = ends.withColumn("_so_far", F.sum("_own").over(order)).groupBy("row", "node").agg((F.max("_so_far") - F.min("_so_far") + F.max("_own")).alias(name))
+    return nodes.join(grown, ["row", "node"])
+
+
 def trimmed(text: Column) -> Column:
     """Without white space at the ends."""
     return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")

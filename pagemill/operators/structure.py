@@ -42,6 +42,13 @@ def naming_classes(node: dom.Node) -> list[str]:
     return sorted(c for c in node.classes() if not NO_NAME.fullmatch(c))
 
 
+def naming(classes: Column) -> Column:
+    """The same of a column of class lists."""
+    named = lambda flags: lambda c: ~c.rlike(f"(?{flags})^(?:{NO_NAME.pattern})$")
+    # letters beyond ASCII take other tables, which cost four times as much
+    return F.array_sort(F.filter(classes, lambda c: F.when(F.length(c) == F.octet_length(c), named("i")(c)).otherwise(named("iU")(c))))
+
+
 def _rows(tree: dom.Node) -> list[dict]:
     """The elements of a body in document order; ``last`` is the last element below."""
     top = dom.first(tree, "body") or tree
