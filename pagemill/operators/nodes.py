@@ -109,6 +109,14 @@ def elements(pages: DataFrame) -> DataFrame:
     return pages.select("row", F.explode("nodes").alias("x")).select("row", "x.*")
 
 
+def with_body(pages: DataFrame) -> DataFrame:
+    """The elements with _body (node, last): the bounds of their page's first body, or of element 0. The body is looked for once a page: an
+    explode of one value, unlike a column, is not put into what is asked of each element."""
+    body = F.coalesce(F.get(F.filter("nodes", lambda x: x["tag"] == "body"), 0), F.get("nodes", 0))
+    once = pages.select("row", "nodes", F.explode(F.array(F.struct(body["node"].alias("node"), body["last"].alias("last")))).alias("_body"))
+    return once.select("row", "_body", F.explode("nodes").alias("x")).select("row", "_body", "x.*")
+
+
 def clean(text: Column) -> Column:
     """Runs of white space as one space, none at the ends; null if nothing is left."""
     return F.nullif(F.trim(F.regexp_replace(text, SPACE, " ")), F.lit(""))
@@ -251,9 +259,7 @@ def articles(pages: DataFrame, keep: list[str], html: str = "html", keep_table=N
     is what they grow by between its ends: each page costs its length, however deep its blocks are."""
     keep_table = keep_table or keeper(pages.sparkSession)
     took = parsed(pages, keep, html, keep_table=keep_table)
-    # the first body, or element 0
-    body = F.coalesce(F.get(F.filter("nodes", lambda x: x["tag"] == "body"), 0), F.get("nodes", 0))
-    nodes = took.select("row", body.alias("_body"), F.explode("nodes").alias("x")).select("row", F.struct("_body.node", "_body.last").alias("_body"), "x.*")
+    nodes = with_body(took)
     inside = (F.col("node") > F.col("_body.node")) & (F.col("node") <= F.col("_body.last"))
     marker = F.concat_ws(" ", F.coalesce(F.col("attrs")["class"], F.lit("")), F.coalesce(F.col("attrs")["id"], F.lit("")))
     weight = F.when(announces(marker, FURNITURE), 0.25).otherwise(1.0) * F.when(announces(marker, CONTENT), 1.6).otherwise(1.0) * F.when(F.col("tag") == "article", 1.5).otherwise(1.0)

@@ -39,8 +39,7 @@ def _opening() -> Column:
 def _shown(took: DataFrame) -> DataFrame:
     """The elements of bodies that the outline shows, with their group: ``first`` and ``many``, its first member and its size, and
     ``nth``, their place in it. A page without a body is one, but for what stands in its head."""
-    body = F.coalesce(F.get(F.filter("nodes", lambda x: x["tag"] == "body"), 0), F.get("nodes", 0))
-    found = took.where("NOT _blank").select("row", F.struct(body["node"].alias("node"), body["last"].alias("last")).alias("_body"), F.explode("nodes").alias("x")).select("row", "_body", "x.*")
+    found = nodes.with_body(took.where("NOT _blank"))
     found = found.where((F.col("node") >= F.col("_body.node")) & (F.col("node") <= F.col("_body.last")))
     bare = (F.col("_body.node") == 0) & (F.col("depth") == 1) & F.col("tag").isin("head", "title")
     found = found.where(~F.col("tag").isin(DROPPED) | (F.col("node") == F.col("_body.node")) | (F.col("last") > F.col("node")))  # a dropped element with none below hides nothing
