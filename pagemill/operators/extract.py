@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import dom
+from pagemill.functions.batches import slices
 
 # Fixed values.
 SKIP_SCHEMES = r"^(?i)(#|mailto:|tel:|javascript:|data:|ftp:|file:)"
@@ -151,7 +152,7 @@ def extract(pages: DataFrame, parts: list[str], html: str = "html") -> DataFrame
     that it is not carried on. Null pages give empty parts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, html):
             trees = [dom.parse(x.as_py()) for x in batch.column(html)]
             cols = {}
             for p in parts:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import dom, texts
+from pagemill.functions.batches import slices
 
 MIN_GROUP, MAX_DEPTH, MIN_FILL, TOP, MIN_SCORE = 3, 4, 0.5, 5, 1.0
 # Elements that hold no records, and those around them that are no content.
@@ -75,7 +76,7 @@ def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
     """(key, node, parent, last, depth, sig, sel, chrome, text, href, src): a row for each element of each body."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = pa.array([_rows(dom.parse(x.as_py())) for x in batch.column(1)], batch.schema.field("found").type)
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["key", "found"])
 
