@@ -15,6 +15,12 @@ BITS, THRESHOLD, MIN_TOKENS = 60, 6, 30
 STEPS = 3  # of near_leaders before its state is written
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, for joins that shuffle both sides. Pairs and keys of repeated documents take a bit or so a row as files, so Spark takes many millions
+    of them for a small table and gathers them on the driver to send them to all tasks."""
+    return df.hint("merge")
+
+
 def exact(df: DataFrame, key: str, text: str, order: str, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(key, of_key) of pages whose text an earlier page has. A group of any size costs one join of two
     columns; only digests are shuffled."""
@@ -42,11 +48,11 @@ def near_pairs(prints: DataFrame, key: str, threshold: int = THRESHOLD, bits: in
     it agrees in, so none comes twice. Equal fingerprints should be one row before, as in ``near_leaders``."""
     cut, masks = block_keys(prints.select(F.col(key).alias("a"), "fingerprint"), threshold, bits, blocks)
     shared = cut.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k")
-    cut = cut.join(shared, "k")
+    cut = cut.join(shuffled(shared), "k")
     other = cut.select("k", "n", F.col("a").alias("b"), F.col("fingerprint").alias("fb"))
     differ = F.col("fingerprint").bitwiseXOR(F.col("fb"))
     earlier = F.exists(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).cast("long").alias("m")) for n, m in enumerate(masks)]), lambda x: (x["n"] < F.col("n")) & (differ.bitwiseAND(x["m"]) == 0))
-    met = cut.join(other, ["k", "n"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= threshold))
+    met = cut.join(shuffled(other), ["k", "n"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= threshold))
     return met.where(~earlier).select("a", "b", F.bit_count(differ).alias("distance"))
 
 
@@ -69,7 +75,7 @@ class PrintIndex:
             return None
         cut, _ = block_keys(groups.select("node", "fingerprint"), self.threshold)
         known = reduce(DataFrame.unionByName, self.parts).withColumnRenamed("fingerprint", "_print")
-        met = cut.join(known, ["k", "n"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("_print"))) <= self.threshold)
+        met = cut.join(shuffled(known), ["k", "n"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("_print"))) <= self.threshold)
         return met.groupBy("node").agg(F.min("kept").alias("leader"))
 
 
@@ -90,34 +96,34 @@ def near_leaders(df: DataFrame, key: str, text: str, keep_table, threshold: int
     followers = known.nearest(groups) if known is not None else None
     if followers is not None:
         followers = keep_table(followers)
-        groups = groups.join(followers.select("node"), "node", "left_anti")
+        groups = groups.join(shuffled(followers.select("node")), "node", "left_anti")
     pairs = keep_table(near_pairs(groups, "node", threshold).select("a", "b"))
     done, state = [], pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("leader", F.lit(None).cast(kind))
     while True:
         for _ in range(STEPS):
             led = state.select(F.col("node").alias("a"), F.col("leader").alias("la"))
-            before = pairs.join(led, "a").groupBy(F.col("b").alias("node")).agg(
+            before = pairs.join(shuffled(led), "a").groupBy(F.col("b").alias("node")).agg(
                 F.min(F.when(F.col("la") == F.col("a"), F.col("a"))).alias("lead"), F.min(F.when(F.col("la").isNull(), F.col("a"))).alias("open"),
             )
             # settled once the earliest leader precedes all open neighbours, or none is open
             sure = F.when(F.col("open").isNull(), F.coalesce("lead", "node")).when(F.col("lead") < F.col("open"), F.col("lead"))
-            state = state.join(before, "node", "left").select("node", F.coalesce("leader", sure).alias("leader"))
+            state = state.join(shuffled(before), "node", "left").select("node", F.coalesce("leader", sure).alias("leader"))
         state = keep_table(state)
         done.append(state.where("leader IS NOT NULL"))
         open_ = state.where("leader IS NULL")
         if open_.isEmpty():
             break
         # settled leaders still decide for the open pages next to them; nothing else does
-        pairs = keep_table(pairs.join(open_.select(F.col("node").alias("b")), "b", "left_semi"))
-        still = pairs.select("a").distinct().join(done[-1].where("leader = node").select(F.col("node").alias("a")), "a", "left_semi")
-        pairs = keep_table(pairs.join(open_.select(F.col("node").alias("a")).union(still), "a", "left_semi"))
+        pairs = keep_table(pairs.join(shuffled(open_.select(F.col("node").alias("b"))), "b", "left_semi"))
+        still = pairs.select("a").distinct().join(shuffled(done[-1].where("leader = node").select(F.col("node").alias("a"))), "a", "left_semi")
+        pairs = keep_table(pairs.join(shuffled(open_.select(F.col("node").alias("a")).union(still)), "a", "left_semi"))
         state = open_.unionByName(still.select(F.col("a").alias("node"), F.col("a").alias("leader")))
     settled = reduce(DataFrame.unionByName, done).distinct()
     if followers is not None:
         settled = settled.unionByName(followers)
         groups = prints.groupBy("fingerprint").agg(F.min(key).alias("node"))
-    back = groups.join(settled, "node", "left").select("fingerprint", F.coalesce("leader", "node").alias("leader"))
-    out = prints.join(back, "fingerprint")
+    back = groups.join(shuffled(settled), "node", "left").select("fingerprint", F.coalesce("leader", "node").alias("leader"))
+    out = prints.join(shuffled(back), "fingerprint")
     if known is not None:
         known.add(out.where(F.col(key) == F.col("leader")), key)
     return out.select(key, "leader")
