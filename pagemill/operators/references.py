@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 CELLS, SAMPLE, ASKED, ROUNDS = 64, 8192, 512, 8
 MOST_BYTES = 32 << 20  # of references that are broadcast
-SALTS = 16  # parts of each cell where references are shuffled
+SALTS = 64  # parts that all rows are cut in where references are shuffled, beside one for each cell
+BLOCK_BYTES = 1 << 19  # of vectors that are packed to one row
 SLACK = 1e-6  # of an angle, for its rounding
 FEWEST_PAIRS = 20  # that a number of cells is judged by
 
@@ -107,6 +108,81 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
+def _packed(df: DataFrame, group: list[str], vector: str, numbers: list[str], key: str) -> DataFrame:
+    """df as blocks: a row for many of one group, whose vectors, and each of whose columns of doubles, are one binary value, with an array of
+    their keys. A task holds BLOCK_BYTES of a group at most before it packs them, and packs the rest at its end."""
+    schema = df.select(*group, F.array(key).alias(key), *[F.lit(None).cast("binary").alias(c) for c in (vector, *numbers)]).schema
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        total = 0
+        kinds = None
+
+        def block(g: tuple, parts: list) -> pa.RecordBatch:
+            columns = [pa.array([x]).cast(t) for x, t in zip(g, kinds[0])]
+            keys = pa.ListArray.from_arrays(pa.array([0, sum(len(p[0]) for p in parts)], pa.int32()), pa.concat_arrays([p[0] for p in parts]))
+            columns += [keys, *[pa.array([b"".join(np.ascontiguousarray(p[i]).tobytes() for p in parts)], pa.binary()) for i in range(1, len(numbers) + 2)]]
+            return pa.RecordBatch.from_arrays(columns, names=[*group, key, vector, *numbers])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [[batch.schema.field(g).type for g in group]]
+            keys, lists = batch.column(batch.schema.get_field_index(key)), batch.column(batch.schema.get_field_index(vector))
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            plain = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in numbers]
+            found: dict[tuple, list[int]] = {}
+            for i, g in enumerate(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in group])):
+                found.setdefault(g, []).append(i)
+            for g, at in found.items():
+                wide = int(ends[at[0] + 1] - ends[at[0]])  # a group's vectors have one length
+                step = max(1, BLOCK_BYTES // (8 * wide))
+                for part in (np.array(at[i : i + step]) for i in range(0, len(at), step)):
+                    rows = values[(ends[part][:, None] + np.arange(wide)[None, :])]
+                    parts, size = held.pop(g, ([], 0))
+                    parts.append((keys.take(pa.array(part)), rows, *[c[part] for c in plain]))
+                    size, total = size + rows.nbytes, total + rows.nbytes
+                    if size >= BLOCK_BYTES:
+                        yield block(g, parts)
+                        total -= size
+                    else:
+                        held[g] = (parts, size)
+                while total > MOST_BYTES:  # many groups, none of them full: the oldest one goes
+                    old = next(iter(held))
+                    parts, size = held.pop(old)
+                    yield block(old, parts)
+                    total -= size
+        for g, (parts, _) in held.items():
+            yield block(g, parts)
+
+    return df.select(*group, key, vector, *numbers).mapInArrow(run, schema)
+
+
+def _scored(met: DataFrame) -> DataFrame:
+    """(_ref, _key, score) of pairs of blocks: candidates by a product of matrices, with some slack, then each of them by a sum in the order of
+    its entries, so that a score does not depend on how rows were packed."""
+    schema = met.select(F.get("_ref", 0).alias("_ref"), F.get("_key", 0).alias("_key"), F.lit(0.0).alias("score")).schema
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = {n: batch.column(i)[row] for i, n in enumerate(batch.schema.names)}
+                numbers = {n: np.frombuffer(one[n].as_buffer(), dtype=np.float64) for n in ("_v", "_w", "_a", "_b", "_norm", "_wnorm", "_least", "_t")}
+                v, w = numbers["_v"].reshape(len(numbers["_a"]), -1), numbers["_w"].reshape(len(numbers["_b"]), -1)
+                step = max(1, (1 << 21) // len(w))  # of the products that are held at once
+                for lo in range(0, len(v), step):
+                    close = (v[lo : lo + step] @ w.T) / (numbers["_norm"][lo : lo + step, None] * numbers["_wnorm"][None, :])
+                    near = np.abs(numbers["_a"][lo : lo + step, None] - numbers["_b"][None, :]) <= numbers["_t"][None, :] + SLACK
+                    i, j = np.nonzero((close >= numbers["_least"][None, :] - SLACK) & near)
+                    for k in range(0, len(i), 4096):
+                        x, y = i[k : k + 4096] + lo, j[k : k + 4096]
+                        score = np.cumsum(v[x] * w[y], axis=1)[:, -1] / (numbers["_norm"][x] * numbers["_wnorm"][y])
+                        good = score >= numbers["_least"][y]
+                        yield pa.RecordBatch.from_arrays([one["_ref"].values.take(pa.array(y[good])), one["_key"].values.take(pa.array(x[good])), pa.array(score[good])], names=["_ref", "_key", "score"])
+
+    return met.mapInArrow(run, schema)
+
+
 def close_to(
     rows: DataFrame, references: DataFrame, index: Cells, threshold: float | Column = 0.7, probes: int | None = None,
     key: str = "id", vector: str = "vector", ref_key: str = "ref_id", ref_vector: str = "vector",
@@ -116,9 +192,9 @@ def close_to(
 
     Without ``probes`` none is lost: a row whose angle to its centre is a can only be within the angle t of a reference whose
     angle to that centre is between a - t and a + t, so cells out of reach, and rows out of reach within a cell, are passed over.
-    With it, each reference tries so many nearest cells. Rows have one cell each and are not moved while
-    references fit in MOST_BYTES by count; else both are shuffled by cell and part of a cell, SALTS of them, so that a cell with a third of
-    all rows is no one task's. Null, empty, zero and not finite vectors meet nothing; vectors meet those of their own
+    With it, each reference tries so many nearest cells. Rows have one cell each. Rows and references of a cell meet as blocks, each pair of
+    blocks scored as a product of matrices. Rows are not moved while references fit in MOST_BYTES by count; else both are shuffled by
+    cell and part of a cell, so that a cell with a third of all rows is no one task's. Null, empty, zero and not finite vectors meet nothing; vectors meet those of their own
     length. Repeated rows and references give repeated pairs; other columns do not matter."""
     if not isinstance(threshold, Column) and not threshold > 0:
         raise ValueError("a threshold is above 0")
@@ -136,16 +212,18 @@ def close_to(
         asked = asked.join(reach, "_cell").where((F.col("_b") - F.col("_t") <= F.col("_to") + SLACK) & (F.col("_b") + F.col("_t") >= F.col("_from") - SLACK)).drop("_from", "_to")
     size = references.agg(F.sum(F.coalesce(F.size(ref_vector), F.lit(0)) * 8 + 64)).first()[0] or 0
     size *= probes or max(len(index.centres), 1)  # a copy for each cell that is tried
-    on = ["_cell"]
-    if size <= MOST_BYTES:
-        asked = F.broadcast(asked)
-    else:
-        mine = mine.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
-        asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on.append("_salt")
-    met = mine.join(asked, on).where(F.abs(F.col("_a") - F.col("_b")) <= F.col("_t") + SLACK)
-    scored = met.select("_ref", "_key", "_least", (_dot(F.col("_v"), F.col("_w")) / (F.col("_norm") * F.col("_wnorm"))).alias("score"))
-    return scored.where("score >= _least").select(F.col("_ref").alias(ref_key), F.col("_key").alias(key), "score")
+    group = ["_cell"]
+    if size > MOST_BYTES:
+        # a cell is cut in as many parts as its share of all rows asks for, so that references are copied cells + SALTS times at most
+        share = mine.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+        share = share.crossJoin(F.broadcast(share.agg(F.sum("_n").alias("_all")))).select("_cell", F.ceil(F.col("_n") * SALTS / F.col("_all")).cast("int").alias("_parts"))
+        mine = mine.join(F.broadcast(share), "_cell").withColumn("_salt", (F.monotonically_increasing_id() % F.col("_parts")).cast("int"))
+        asked = asked.join(F.broadcast(share), "_cell").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        group.append("_salt")
+    many = _packed(mine, group, "_v", ["_a", "_norm"], "_key")
+    few = _packed(asked, group, "_w", ["_b", "_wnorm", "_least", "_t"], "_ref")
+    met = many.join(F.broadcast(few) if size <= MOST_BYTES else few.hint("merge"), group).drop(*group)
+    return _scored(met).select(F.col("_ref").alias(ref_key), F.col("_key").alias(key), "score")
 
 
 def recall(found: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
