@@ -24,8 +24,9 @@ LEAVES, LEAF_DEPTH, ARRAYS, ARRAY_DEPTH = 15, 2, 200, 6
 def entities(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, source, pos, entity): the JSON-LD entities of each page, then its microdata; entity is JSON."""
     read = extract.extract(pages.select(key, "html"), ["jsonld", "microdata"])
-    one = lambda c: read.select(key, F.lit(c).alias("source"), F.posexplode(c).alias("pos", "entity"))
-    return one("jsonld").unionByName(one("microdata"))
+    # both from one parse; a union would parse each page for either
+    both = F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("found")) for c in ("jsonld", "microdata")])
+    return read.select(key, F.explode(both).alias("x")).select(key, "x.source", F.posexplode("x.found").alias("pos", "entity"))
 
 
 def types(entity: Column) -> Column:
