@@ -98,7 +98,8 @@ def spider(pages: DataFrame, seeds: DataFrame, limits: gate.Limits, keep: Keeper
         rejects = both(rejects, _rejected(checked))
         place = F.concat_ws(" ", F.lpad(F.col("depth").cast("string"), 4, "0"), F.lpad((F.lit(1_000_000) - F.col("priority")).cast("string"), 8, "0"), "dedupe_key")
         now = admitted.withColumn("place", place).orderBy("place").limit(left)
-        round_ = keep(now.join(pages.withColumnRenamed("page_key", "dedupe_key"), "dedupe_key", "left").withColumn("there", F.col("records").isNotNull()))
+        # by shuffles: pages made from a short column, and keys that repeat, pass for small tables and would go through the driver to all tasks
+        round_ = keep(now.join(dedupe.shuffled(pages.withColumnRenamed("page_key", "dedupe_key")), "dedupe_key", "left").withColumn("there", F.col("records").isNotNull()))
         bare = round_.where("there AND records = 0")
         missing = bare.where(texts.says_missing(F.col("text"))).select("place")
         thin = keep(both(thin, bare.where(~texts.says_missing(F.col("text"))).where(F.size(texts.tokens(F.col("text"))) < 40).select("place", "text")))
@@ -106,7 +107,7 @@ def spider(pages: DataFrame, seeds: DataFrame, limits: gate.Limits, keep: Keeper
         soft = keep(missing.union(stubs.join(round_.select("place"), "place", "left_semi")).withColumn("soft", F.lit(True)))
         good = keep(round_.where("there").join(soft, "place", "left_anti").where(F.size(texts.tokens(F.col("text"))) >= dedupe.MIN_TOKENS).select("place", "text"))
         leaders = good.select("place", F.col("place").alias("leader")) if good.isEmpty() else keep(dedupe.near_leaders(good, "place", "text", keep, known=kept))
-        judged = round_.join(soft, "place", "left").join(leaders, "place", "left")
+        judged = round_.join(dedupe.shuffled(soft), "place", "left").join(dedupe.shuffled(leaders), "place", "left")
         outcome = F.when(~F.col("there"), "absent").when(F.col("soft"), "soft_404").when(F.col("leader") != F.col("place"), "duplicate").otherwise("page")
         judged = judged.withColumn("outcome", outcome).withColumn("of_key", F.when(F.col("outcome") == "duplicate", F.substring_index("leader", " ", -1)))
         judged = keep(judged.drop("text", "soft", "leader", "there", "records"))
