@@ -18,7 +18,8 @@ def hops(responses: DataFrame) -> DataFrame:
     ``next`` is the dedupe_key that a redirect leads to. It is null where the chain ends: stop is then null for a response that is
     the answer, "ssrf_reject" for a URL whose address is denied, and "bad_target" for a redirect to what is no URL that can be fetched."""
     own = texts.bound(urls.normalize(F.col("url")), lambda n: F.struct(n["dedupe_key"].alias("key"), n["url"].alias("url"), urls.denied_address(n["host"]).alias("denied")))
-    df = responses.select(own.alias("n"), "status", F.trim(F.coalesce("location", F.lit(""))).alias("location")).where("n.key IS NOT NULL")
+    # an explode of one value: what is asked of a column goes down to where the table is read, in few tasks, and normalises each URL once more
+    df = responses.select(F.explode(F.array(own)).alias("n"), "status", F.trim(F.coalesce("location", F.lit(""))).alias("location")).where("n.key IS NOT NULL")
     df = df.groupBy("n.key").agg(F.min(F.struct("n.url", "n.denied", "status", "location")).alias("r")).select("key", "r.*")
     leads = F.col("status").isin(STATUSES) & (F.col("location") != "") & F.col("denied").isNull()
     target = F.when(leads, urls.normalize(F.col("location"), F.col("url"))["dedupe_key"])

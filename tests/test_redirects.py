@@ -51,3 +51,13 @@ def test_addresses_rows_and_repeats(spark):
         ("https://a.test/y", "https://a.test/y", 0, 200, None), ("https://a.test/z", "https://a.test/z", 0, None, None),
     ]
     assert redirects.follow(spark.createDataFrame([], SCHEMA), crawl.keeper(spark)).count() == 0
+
+
+def test_urls_are_normalised_after_rows_are_dealt(spark, tmp_path):
+    from pagemill import registry
+
+    spark.createDataFrame([("https://a.test/x", 301, "/y"), (None, 301, "x")], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "t"))
+    found = redirects.hops(registry.spread(spark.read.parquet(str(tmp_path / "t"))))
+    above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Repartition", 1)
+    assert "transform(" in above and "transform(" not in below
+    assert [tuple(r) for r in found.collect()] == [("https://a.test/x", "https://a.test/x", 301, None, "https://a.test/y")]
