@@ -73,3 +73,22 @@ def test_store_setting_is_put_back(spark, tmp_path):
     put(spark, tmp_path, [found(1, "j", "u", "{}")])
     sink(spark, tmp_path)
     assert spark.conf.get(ev.STORE, None) == before
+
+
+def test_payloads_are_dealt_before_they_are_parsed(spark, tmp_path, monkeypatch):
+    put(spark, tmp_path, [found(i, "j", f"u{i % 5}", f'[{{"a":{i}}}, {{"a":{i + 1}}}, 3]') for i in range(50)])
+    plans, real = {}, ev._start
+
+    def noted(rows, write, checkpoint, interval):
+        plans[checkpoint.rsplit("/", 1)[-1]] = (rows.columns, rows._jdf.queryExecution().analyzed().toString())
+        return real(rows, write, checkpoint, interval)
+
+    monkeypatch.setattr(ev, "_start", noted)
+    events, records, _ = sink(spark, tmp_path)
+    above, below = plans["records"][1].split("Repartition", 1)
+    assert above.count("parse_json") == 1 and "parse_json" not in below  # by all tasks, once a payload
+    assert "payload" not in plans["events"][0]
+    assert events.count() == 50 and "payload" not in events.columns
+    want = {(f"u{i % 5}", f'{{"a":{j}}}') for i in range(50) for j in (i, i + 1)} | {(f"u{u}", "3") for u in range(5)}
+    got = [(r.url, r.data) for r in records.collect()]
+    assert set(got) == want and len(got) == len(want)
