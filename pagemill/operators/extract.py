@@ -153,11 +153,10 @@ def extract(pages: DataFrame, parts: list[str], html: str = "html") -> DataFrame
 
     def run(batches):
         for batch in slices(batches, html):
-            trees = [dom.parse(x.as_py()) for x in batch.column(html)]
-            cols = {}
-            for p in parts:
-                found, kind = [PARTS[p][0](t) for t in trees], batch.schema.field(p).type
-                cols[p] = pa.array([list(map(_pairs, x)) if pa.types.is_list(kind) and pa.types.is_map(kind.value_type) else _pairs(x) if pa.types.is_map(kind) else x for x in found], kind)
+            found, cols = [[PARTS[p][0](t) for p in parts] for t in dom.trees(x.as_py() for x in batch.column(html))], {}
+            for i, p in enumerate(parts):
+                kind = batch.schema.field(p).type
+                cols[p] = pa.array([list(map(_pairs, x[i])) if pa.types.is_list(kind) and pa.types.is_map(kind.value_type) else _pairs(x[i]) if pa.types.is_map(kind) else x[i] for x in found], kind)
             names = [n for n in batch.schema.names if n != html]
             yield pa.RecordBatch.from_arrays([cols[n] if n in cols else batch.column(n) for n in names], names=names)
 

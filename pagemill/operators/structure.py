@@ -77,7 +77,7 @@ def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
 
     def run(batches):
         for batch in slices(batches, 1):
-            found = pa.array([_rows(dom.parse(x.as_py())) for x in batch.column(1)], batch.schema.field("found").type)
+            found = pa.array([_rows(t) for t in dom.trees(x.as_py() for x in batch.column(1))], batch.schema.field("found").type)
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["key", "found"])
 
     plain = pages.select(F.col(key).alias("key"), F.col(html).alias("html"), F.lit(None).cast(NODES).alias("found"))
