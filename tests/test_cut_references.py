@@ -2,6 +2,7 @@
 names below count without their semicolon, and what is left of a name is text. Literals, not the library's own table."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.operators import nodes
 
@@ -18,6 +19,13 @@ def cut(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string"), [(i, CUTS[t]) for i, t in enumerate(titles)]
 
 
+def test_titles_of_records(cut):
+    df, want = cut
+    got = nodes.css_records(df, None, [{"name": "title", "selector": "article > h1"}, {"name": "head", "selector": "head title"}])
+    assert sorted(got.select("page_id", "title").collect()) == want
+    assert got.where(~F.col("title").eqNullSafe(F.col("head"))).count() == 0
+
+
 def test_titles_of_articles(cut):
     df, want = cut
     assert sorted(nodes.articles(df, ["page_id"]).select("page_id", "title").collect()) == want
